@@ -89,12 +89,15 @@ def template_answer(alerts: DataFrame, name: str = "response") -> DataFrame:
 
 
 def run_agent(df: DataFrame, prompt: str, responder: Responder, name: str = "response",
-              max_iterations: int = 3) -> DataFrame:
+              max_iterations: int = 3, partitions: int | None = None) -> DataFrame:
     """Adds the responder's answer. Blank answers are asked again, `max_iterations` times in all.
 
-    Batches stay inside their task. Write the result before using it twice: a model may answer
-    differently when Spark recomputes the plan.
+    `partitions` sets how many tasks ask at once; without it the upstream partitions are used, which
+    Spark sizes by bytes and not by the time a model takes. Write the result before using it twice: a
+    model may answer differently when Spark recomputes the plan.
     """
+    if partitions:
+        df = df.repartition(partitions, prompt)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +136,11 @@ def parse_response(df: DataFrame, response: str = "response") -> DataFrame:
 
 
 def dispatcher_decisions(alerts: DataFrame, responder: Responder | None = None,
-                         max_iterations: int = 3) -> DataFrame:
+                         max_iterations: int = 3, partitions: int | None = None) -> DataFrame:
     """One decision per distinct alert. The action comes from the rules, never from the answer."""
     asked = dispatcher_prompt(dedup_alerts(alerts))
     answered = (template_answer(asked) if responder is None
-                else run_agent(asked, "prompt", responder, max_iterations=max_iterations))
+                else run_agent(asked, "prompt", responder, max_iterations=max_iterations, partitions=partitions))
     return parse_response(answered).select(
         "route_id", "direction", "stop_id", "curr_trip", "prev_trip", "stop_name", "stop_lat", "stop_lon",
         "alert_type", "severity", "headway_seconds", "arrival_time",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.functions.ids import blank_to
@@ -23,29 +23,23 @@ MAX_ROWS = 8
 
 
 def _candidates(df: DataFrame, board: Sequence[str], order: list[str], n: int) -> DataFrame:
-    """Rows the passes can reach; with n places, n seen keys can at most hide n others."""
-    near = top_per_group(df, [*board, "_key", "_bracket"], order, 2 * n, rank="_r")
-    later = F.col("eta_seconds") >= ARRIVING
-    blank = F.col("_key") == ""
-
-    def place(*groups):
-        return F.row_number().over(Window.partitionBy(*board, *groups).orderBy(*order))
-
-    leads = (F.col("_r") == 1) & ~blank
-    flagged = (
-        near.withColumn("_any", place())
-        .withColumn("_lead", place("_bracket", leads))
-        .withColumn("_first_later", place("_key", later) == 1)
-    )
-    opens = F.col("_first_later") & later & ~blank
-    flagged = flagged.withColumn("_open", place(opens)).withColumn("_blank", place(blank & later))
-    keep = (
-        (F.col("_any") <= 2 * n)
-        | (leads & (F.col("_bracket") < len(BRACKET_ENDS)) & (F.col("_lead") <= n))
-        | (opens & (F.col("_open") <= 2 * n))
-        | (blank & later & (F.col("_blank") <= n))
-    )
-    return flagged.filter(keep).drop("_r", "_any", "_lead", "_first_later", "_open", "_blank")
+    """Rows the passes can reach; with n places, n seen keys can at most hide n others.
+
+    Every step is a group limit, so even a single global board reaches its task as a few rows.
+    """
+    near = top_per_group(df, [*board, "_key", "_bracket"], order, 2 * n, rank="_place")
+    leads = near.filter((F.col("_place") == 1) & (F.col("_key") != ""))
+    later = F.col("_bracket") > 0
+    parts = [
+        top_per_group(near, board, order, 2 * n),
+        top_per_group(leads.filter(F.col("_bracket") < len(BRACKET_ENDS)), [*board, "_bracket"], order, n),
+        top_per_group(top_per_group(leads.filter(later), [*board, "_key"], order, 1), board, order, 2 * n),
+        top_per_group(near.filter(later & (F.col("_key") == "")), board, order, n),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.dropDuplicates([*board, "_key", "_bracket", "_place"]).drop("_place")
 
 
 def fill_board(rows: pd.DataFrame, n: int) -> pd.DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetline.functions.jsons import json_object
+from fleetline.schemas import array, struct
+
 # Accepted coordinate box.
 LAT_RANGE = (40.3, 41.1)
 LON_RANGE = (-74.3, -73.6)
 
-PROPOSAL_SCHEMA = ("name string, waypoints array<string>, stops array<string>, rationale string, "
-                   "connections array<string>")
+PROPOSAL = struct(name="string", waypoints=array("string"), stops=array("string"), rationale="string",
+                  connections=array("string"))
 
 
-def json_object(text: Column) -> Column:
+def object_text(text: Column) -> Column:
     """The text from its first opening to its last closing brace; null when there is none."""
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
@@ -31,7 +34,7 @@ def parse_route_proposals(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds name, waypoints, stops, rationale and connections; all null unless two points are valid."""
     points = F.transform("_obj.waypoints", _point)
     valid = F.filter(points, lambda p: p[0].between(*LAT_RANGE) & p[1].between(*LON_RANGE))
-    parsed = df.withColumn("_obj", F.from_json(json_object(F.col(text)), PROPOSAL_SCHEMA))
+    parsed = df.withColumn("_obj", json_object(object_text(F.col(text)), PROPOSAL))
     parsed = parsed.withColumn("_points", valid)
     usable = F.size("_points") >= 2
     return parsed.select(

@@ -12,6 +12,7 @@ from fleetline.operators.agent import dispatcher_decisions
 from fleetline.operators.dedup import dedup_first, dedup_last
 from fleetline.operators.enrich import station_bottlenecks, weather_impact
 from fleetline.operators.sequence import headway, headway_forecast
+from fleetline.session import staged
 
 STOP_COLUMNS = ("trip_id", "route_id", "direction", "stop_id", "stop_name", "stop_lat", "stop_lon")
 
@@ -57,16 +58,22 @@ def headway_alerts(headways: DataFrame, bunch: int = rules.BUNCH_BELOW, gap: int
         rules.alert_severity(seconds, bunch, gap, high_bunch, high_gap).alias("severity"), "arrival_time")
 
 
-def run(tables: dict[str, DataFrame], as_of, window: str = "1 minute", width: str = "1 hour") -> dict[str, DataFrame]:
-    """All derived tables from the feeds present in `tables`; nothing is computed until one is used."""
+def run(tables: dict[str, DataFrame], as_of, window: str = "1 minute", width: str = "1 hour",
+        stage: bool = False) -> dict[str, DataFrame]:
+    """All derived tables from the feeds present in `tables`.
+
+    Nothing is computed until one is used. With `stage` the arrivals and the alerts, which several tables
+    share, are written to the shared folder first, so that each is computed once.
+    """
+    keep = staged if stage else (lambda df, label: df)
     out: dict[str, DataFrame] = {}
     if "trip_updates" in tables:
         out["arrival_estimates"] = arrival_estimates(tables["trip_updates"], as_of)
     if "vehicle_positions" in tables:
-        arrivals = first_arrivals(tables["vehicle_positions"])
+        arrivals = keep(first_arrivals(tables["vehicle_positions"]), "arrivals")
         out["headway"] = headway(arrivals, width=width)
         out["headway_forecast"] = headway_forecast(arrivals, width=width)
-        out["headway_alerts"] = headway_alerts(out["headway"])
+        out["headway_alerts"] = keep(headway_alerts(out["headway"]), "alerts")
         out["dispatcher_decisions"] = dispatcher_decisions(out["headway_alerts"])
         if "weather_events" in tables:
             out["weather_impact_alerts"] = weather_impact(out["headway_alerts"], tables["weather_events"])

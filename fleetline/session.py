@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,12 +18,24 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "fleetline", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the package defaults; on a cluster `spark-submit` supplies the master."""
+PARTITION_MB = 128
+
+
+def build_session(app: str = "fleetline", master: str | None = None, data_gb: int | None = None,
+                  **conf: str) -> SparkSession:
+    """A session with the package defaults; on a cluster `spark-submit` supplies the master.
+
+    `data_gb` is the size of the largest shuffled table. Shuffles then start with partitions of about
+    128 MB, which adaptive execution merges where less arrives.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    sized = {}
+    if data_gb:
+        sized["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
+            max(200, data_gb * 1024 // PARTITION_MB))
+    for key, value in {**DEFAULTS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -51,7 +62,3 @@ def staged(df, label: str):
     path = new_run_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def local_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

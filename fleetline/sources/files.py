@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetline import schemas
-
-_BAD = "_corrupt_record"
+from fleetline.functions.jsons import json_object
 
 
 def read_decisions_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -23,23 +22,13 @@ def _unframed(payload: Column) -> Column:
     return body.cast("string")
 
 
-def _decoded(payload: Column, schema: T.StructType) -> Column:
-    checked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    return F.from_json(_unframed(payload), checked, {"columnNameOfCorruptRecord": _BAD})
-
-
 def decode_payload(df: DataFrame, schema: T.StructType, value: str = "value", key: str | None = "key") -> DataFrame:
     """Fields of JSON payloads; undecodable rows are dropped, fields of the key win over the value's."""
-    with_key = key is not None and key in df.columns
-    out = df.withColumn("_v", _decoded(F.col(value), schema))
-    out = out.filter(F.col("_v").isNotNull() & F.col(f"_v.{_BAD}").isNull())
-    if not with_key:
-        return out.select("_v.*").drop(_BAD)
-    out = out.withColumn("_k", _decoded(F.col(key), schema))
-    usable = F.col(f"_k.{_BAD}").isNull()
-    return out.select(*[
-        F.coalesce(F.when(usable, F.col(f"_k.{f.name}")), F.col(f"_v.{f.name}")).alias(f.name)
-        for f in schema.fields])
+    out = df.withColumn("_v", json_object(_unframed(F.col(value)), schema)).filter("_v IS NOT NULL")
+    if key is None or key not in df.columns:
+        return out.select("_v.*")
+    out = out.withColumn("_k", json_object(_unframed(F.col(key)), schema))
+    return out.select(*[F.coalesce(f"_k.{c}", f"_v.{c}").alias(c) for c in schema.names])
 
 
 def read_shapes(spark: SparkSession, glob: str, whole_files: bool = True) -> DataFrame:
