@@ -63,3 +63,4 @@ SHAPE_FILE = struct(
         type="string",
         properties=struct(route_id="string", route_short="string", mode="string", color="string", part="long"),
         geometry=struct(type="string", coordinates=array(array("double"))))))
+STOPS = struct(stop_id="string", stop_name="string", stop_lat="double", stop_lon="double")

@@ -2,7 +2,7 @@ import random
 
 from fleetline.operators import aggregate, enrich
 from fleetline.operators.asof import asof_join
-from helpers import ALERTS, START, alert, at, rows
+from helpers import ALERTS, alert, at, rows
 
 
 def plain_asof(left, right, tolerance, entity):
@@ -55,7 +55,7 @@ def test_weather_impact(spark):
 
 def surges(spark, data):
     return spark.createDataFrame(
-        [(station, f"Hall {station}", line, taps, level, int(START.timestamp() * 0) + 1704067200000 + s * 1000)
+        [(station, f"Hall {station}", line, taps, level, 1704067200000 + s * 1000)
          for station, line, taps, level, s in data],
         "station_id string, station_name string, line string, taps_per_minute int, crowd_level string, event_time long")
 
