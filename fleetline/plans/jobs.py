@@ -82,3 +82,9 @@ def run(tables: dict[str, DataFrame], as_of, window: str = "1 minute", width: st
     if "bus_positions" in tables:
         out["bus_corridor_speed"] = corridor_congestion(tables["bus_positions"], window)
     return out
+
+
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """Makes tables available to SQL under their names."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

@@ -260,8 +260,9 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY date DESC, update_numb
 _CHECKS["read_service_alerts"] = _CHECKS["latest_service_alerts"]
 _CHECKS["alerts_by_type"] = """
 SELECT alert_type AS kind, severity AS detail, count(*) AS n FROM al GROUP BY ALL
-UNION ALL SELECT forecast_type, direction, count(*) FROM fc GROUP BY ALL"""
-_CHECKS["pipeline_counts"] = """
+UNION ALL SELECT forecast_type, direction, count(*) FROM fc GROUP BY ALL
+UNION ALL SELECT action, alert_type, count(*) FROM act GROUP BY ALL"""
+_CHECKS["derived_table_counts"] = """
 SELECT 'arrival_estimates' AS name, count(*) AS n FROM est UNION ALL SELECT 'headway', count(*) FROM hw
 UNION ALL SELECT 'headway_forecast', count(*) FROM fc UNION ALL SELECT 'headway_alerts', count(*) FROM al
 UNION ALL SELECT 'dispatcher_decisions', count(*) FROM act UNION ALL SELECT 'bus_corridor_speed', count(*) FROM cong"""
@@ -346,7 +347,7 @@ SELECT request_id, kind, kind <> 'route' OR role = 'user' AS ok,
   CASE WHEN kind = 'route' AND role = 'user' THEN '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[-74.0,40.5],[-73.75,40.75]]},"properties":{"name":"Loop","kind":"proposed_route"}}' END AS geojson,
   CASE WHEN kind = 'route' AND role <> 'user' THEN 'Could not parse a route proposal.' END AS error FROM req"""
 _CHECKS["copilot_prompts"] = """
-WITH c AS (SELECT string_agg(event_type || '=' || n, ', ' ORDER BY event_type) AS t FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))
+WITH c AS (SELECT count(*) || ' events' AS t FROM events)
 SELECT request_id, CASE kind
   WHEN 'rider' THEN 'Trip: from ''' || trim(role, ' ') || ''' to ''?''.' || CASE WHEN trim(question, ' ') <> '' THEN chr(10) || 'Rider asks: ' || trim(question, ' ') ELSE '' END || chr(10) || chr(10) || 'LIVE SYSTEM STATE:' || chr(10) || t
   WHEN 'operator' THEN 'Operator asks: ' || CASE WHEN trim(question, ' ') <> '' THEN trim(question, ' ') ELSE 'Assess current service health, predict what will degrade next, and recommend the highest-impact operational actions.' END || chr(10) || chr(10) || 'LIVE SYSTEM STATE:' || chr(10) || t

@@ -194,19 +194,20 @@ def latest_service_alerts(spark, sf):
 
 @query
 def alerts_by_type(spark, sf):
-    """The ad-hoc verification queries, as SQL over temporary views."""
-    _alerts(spark, sf).createOrReplaceTempView("fleet_alerts")
-    _forecasts(spark, sf).createOrReplaceTempView("fleet_forecasts")
+    """The ad-hoc verification queries, as SQL over views of the derived tables."""
+    jobs.register_views(jobs.run({"vehicle_positions": sample.vehicle_positions(spark, sf)}, sample.AS_OF))
     return spark.sql("""
-        SELECT alert_type AS kind, severity AS detail, count(*) AS n FROM fleet_alerts
+        SELECT alert_type AS kind, severity AS detail, count(*) AS n FROM headway_alerts
         WHERE alert_type IN ('BUNCHING', 'GAP') GROUP BY alert_type, severity
         UNION ALL
-        SELECT forecast_type, direction, count(*) FROM fleet_forecasts
-        WHERE forecast_type <> 'STABLE' GROUP BY forecast_type, direction""")
+        SELECT forecast_type, direction, count(*) FROM headway_forecast
+        WHERE forecast_type <> 'STABLE' GROUP BY forecast_type, direction
+        UNION ALL
+        SELECT action, alert_type, count(*) FROM dispatcher_decisions GROUP BY action, alert_type""")
 
 
 @query
-def pipeline_counts(spark, sf):
+def derived_table_counts(spark, sf):
     """Rows and latest time of all derived tables in one run."""
     built = jobs.run(
         {"trip_updates": sample.trip_updates(spark, sf), "vehicle_positions": sample.vehicle_positions(spark, sf),
@@ -337,8 +338,7 @@ def answer_requests(spark, sf):
 
 @query
 def copilot_prompts(spark, sf):
-    counts = sample.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    text = counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "event_type", "n"))), ", ").alias("text"))
+    text = sample.table(spark, sf, "events").agg(F.concat_ws(" ", F.count(F.lit(1)), F.lit("events")).alias("text"))
     return agent.copilot_prompt(sample.requests(spark, sf), text).select("request_id", "prompt")
 
 
@@ -706,8 +706,8 @@ def outbox_file(spark, sf):
 @query
 def bucketed_estimates(spark, sf):
     path = new_run_dir(spark, "buckets")
-    sinks.bucketed(_estimates(spark, sf), ("trip_id", "stop_id")).write.parquet(path)
-    return spark.read.parquet(path)
+    sinks.write_bucketed(_estimates(spark, sf), path, ("trip_id", "stop_id"))
+    return spark.read.parquet(path).drop("bucket")
 
 
 @query

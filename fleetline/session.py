@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +41,11 @@ def build_session(app: str = "fleetline", master: str | None = None, data_gb: in
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="fleetline-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,9 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="fleetline-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir()
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:

@@ -17,11 +17,17 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetline.operators.dedup import dedup_last
 
 CHANGE = "change"
+BUCKET = "bucket"
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
-    """Rows of a key side by side in one of `n` partitions."""
-    return df.repartition(n, *keys)
+    """Adds `bucket`, the same for all rows of a key."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], n: int = 3) -> None:
+    """One folder per bucket. Every task writes into all of them, so `n` does not limit the writers."""
+    bucketed(df, keys, n).write.partitionBy(BUCKET).mode("overwrite").parquet(path)
 
 
 def append_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",

@@ -43,6 +43,7 @@ class HeadwayProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
         self.seen = handle.getMapState("seen", _TRIP, _AT)
         self.last = handle.getValueState("last", _LAST)
+        self.swept = handle.getValueState("swept", _AT)
 
     def _due_at(self, at_us: int) -> None:
         self.handle.registerTimer(-(-at_us // 1000))
@@ -71,14 +72,14 @@ class HeadwayProcessor(StatefulProcessor):
         else:
             self.waiting.clear()
         out = self._match(key, due)
-        self._forget(mark - self.horizon_us)
+        self._forget(mark)
         return iter([pd.DataFrame(out, columns=_OUT.names)] if out else [])
 
     def _match(self, key, due: list[tuple]) -> list[tuple]:
         previous = self.last.get() if self.last.exists() else None
         out = []
         for trip, name, lat, lon, at in due:
-            if self.seen.containsKey((trip,)):
+            if self.seen.containsKey((trip,)) and self.seen.getValue((trip,))[0] >= at - self.horizon_us:
                 continue
             self.seen.updateValue((trip,), (at,))
             gap = None
@@ -90,9 +91,13 @@ class HeadwayProcessor(StatefulProcessor):
             self.last.update(previous)
         return out
 
-    def _forget(self, before_us: int) -> None:
+    def _forget(self, mark: int) -> None:
+        """Drops trips beyond the horizon. Looks only a few times per horizon, since it reads them all."""
+        if self.swept.exists() and mark < self.swept.get()[0] + self.horizon_us // 4:
+            return
+        self.swept.update((mark,))
         for trip, at in list(self.seen.iterator()):
-            if at[0] < before_us:
+            if at[0] < mark - self.horizon_us:
                 self.seen.removeKey(trip)
 
     def close(self) -> None:
