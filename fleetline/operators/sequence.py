@@ -1,14 +1,16 @@
 """Matching of consecutive rows, split by time so that a busy key never lands in one task.
 
-A plain `lag` over (route, direction, stop) sends all rows of a key to one task. Here each key is cut
-into fixed time slices and the last rows before a slice are carried into it, so the window runs on
-(key, slice) and still sees the true predecessors across slice borders:
+A plain `lag` over (route, direction, stop) sends all rows of a key to one task. Here keys are cut into
+time slices and the last rows before a slice are carried into it, so the window runs on (key, slice) and
+still sees the true predecessors across slice borders:
 
 1. the last `n` rows of every (key, slice), group-limited before the shuffle;
 2. on those few rows only, the `n` rows that precede each slice's first row;
 3. the data plus the carried rows, one shuffle on (key, slice), ordinary window functions.
 
-Step 2 orders n rows per slice of a key: its size follows the time range, not the row count.
+Step 2 orders n rows per slice of a key: its size follows the number of slices, not the row count.
+Slices have a fixed width, or, without one, only keys above a row count are cut at all. The fixed width
+saves a count and fits short look-backs; long look-backs over many quiet keys want the second form.
 """
 
 from __future__ import annotations
@@ -19,24 +21,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetline.functions.rules import BUNCH_BELOW, GAP_ABOVE, forecast_type
-from fleetline.functions.times import seconds_between, time_slice
+from fleetline.functions.times import epoch_seconds, seconds_between, time_slice
 
 SLICE = "_slice"
 CARRIED = "_carried"
 _RANK = "_rank"
 
 
-def slice_tails(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+MAX_SLICE_ROWS = 1_000_000
+
+
+def _tails(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     newest = Window.partitionBy(*keys, SLICE).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn(_RANK, F.row_number().over(newest)).filter(F.col(_RANK) <= n).drop(_RANK)
 
 
+def _cut_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int) -> DataFrame:
+    """Slices of about `max_rows` rows for keys with more than that; null for all other keys.
+
+    The joined side has at most (all rows / max_rows) rows. Spark broadcasts it only when it is small.
+    """
+    at = epoch_seconds(ts)
+    busy = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")).filter(F.col("_n") > max_rows)
+    width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / max_rows))
+    busy = busy.select(*[f"_k{i}" for i in range(len(keys))], "_from", width.alias("_width"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    number = F.floor((at - F.col("_from")) / F.col("_width")).cast("long")
+    return df.join(busy, same, "left").select(*df.columns, number.alias(SLICE))
+
+
 def with_carried_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-                      width: str | int = "1 hour") -> DataFrame:
-    """`df` with a slice number, plus up to `n` predecessor rows (flagged) at the head of each slice."""
+                      width: str | int | None = "1 hour", max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+    """`df` with a slice number, plus up to `n` predecessor rows (flagged) at the head of each slice.
+
+    The first column of `order` is the time. `width=None` cuts only keys of more than `max_rows` rows.
+    """
     columns = df.columns
-    sliced = df.withColumn(SLICE, time_slice(order[0], width))
-    tails = slice_tails(sliced, keys, order, n)
+    if width is None:
+        sliced = _cut_busy_keys(df, keys, order[0], max_rows)
+        cut = sliced.filter(F.col(SLICE).isNotNull())
+    else:
+        sliced = cut = df.withColumn(SLICE, time_slice(order[0], width))
+    tails = _tails(cut, keys, order, n)
     along_key = Window.partitionBy(*keys).orderBy(SLICE, *order)
     row = F.struct(*columns)
     before = (F.array(*[F.lag(row, i).over(along_key) for i in range(1, n + 1)]) if n <= 4
@@ -67,7 +96,7 @@ Row = Callable[[str], Column]
 def match_consecutive(df: DataFrame, partition: Sequence[str], order: Sequence[str],
                       steps: Sequence[str], define: Mapping[str, Callable[[Mapping[str, Row]], Column]],
                       measures: Mapping[str, Callable[[Mapping[str, Row]], Column]],
-                      width: str | int = "1 hour") -> DataFrame:
+                      width: str | int | None = "1 hour") -> DataFrame:
     """Fixed-length contiguous pattern, one match attempt per row.
 
     `steps` names the rows of the pattern, oldest first. `define` and `measures` receive a mapping from
@@ -95,7 +124,7 @@ STOP_KEYS = ("route_id", "direction", "stop_id")
 
 
 def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-            entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
+            entity: str = "trip_id", width: str | int | None = "1 hour") -> DataFrame:
     """Seconds between consecutive arrivals of different vehicles at the same stop."""
     return match_consecutive(
         arrivals, partition, (order, entity), ("A", "B"),
@@ -114,7 +143,7 @@ def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: st
 
 
 def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-                     entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
+                     entity: str = "trip_id", width: str | int | None = "1 hour") -> DataFrame:
     """Two consecutive headways and their straight-line continuation."""
     pairs = match_consecutive(
         arrivals, partition, (order, entity), ("A", "B", "C"),
@@ -136,7 +165,7 @@ def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS,
 
 
 def headway_forecast(arrivals: DataFrame, bunch: int = BUNCH_BELOW, gap: int = GAP_ABOVE,
-                     width: str | int = "1 hour") -> DataFrame:
+                     width: str | int | None = "1 hour") -> DataFrame:
     """Triplets whose next headway is about to cross a bound."""
     kind = forecast_type(F.col("predicted_headway"), F.col("headway_seconds"), bunch, gap)
     return (

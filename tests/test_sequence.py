@@ -1,10 +1,13 @@
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetline.operators import models
 from fleetline.operators.dedup import dedup_alerts, dedup_first, dedup_last, latest_service_alerts, top_per_group
-from fleetline.operators.sequence import headway, headway_forecast, headway_triplets, match_consecutive
+from fleetline.operators.sequence import (
+    STOP_KEYS, headway, headway_forecast, headway_triplets, match_consecutive, slice_window, with_carried_rows,
+    without_carried_rows)
 from fleetline.plans import jobs
 from helpers import ALERTS, ARRIVALS, alert, arrival, at, rows
 
@@ -48,7 +51,7 @@ def random_arrivals(n, seed, days=4):
 def test_headway_matches_plain_pairs(spark):
     data = random_arrivals(600, 1)
     df = spark.createDataFrame(data, ARRIVALS).repartition(5)
-    for width in ("1 minute", "1 hour", "30 days"):
+    for width in ("1 minute", "1 hour", "30 days", None):
         assert rows(headway(df, width=width), "prev_trip", "curr_trip", "headway_seconds") == plain_headways(data)
 
 
@@ -66,6 +69,18 @@ def test_pairs_cross_empty_slices_and_equal_times(spark):
     assert got == [("a", "b", 0), ("b", "c", 32400), ("c", "d", 36000)]
 
 
+def test_only_busy_keys_are_cut(spark):
+    data = random_arrivals(400, 9) + [arrival("n1", 5, route=None), arrival("n2", 95, route=None)]
+    df = spark.createDataFrame(data, ARRIVALS)
+    padded = with_carried_rows(df, STOP_KEYS, ("event_time", "trip_id"), 3, None, max_rows=50)
+    cut = padded.filter("_slice IS NOT NULL").select("stop_id").distinct().collect()
+    assert [r.stop_id for r in cut] == ["hot"]
+    w = slice_window(STOP_KEYS, ("event_time", "trip_id"))
+    got = without_carried_rows(padded.withColumn("third", F.lag("trip_id", 3).over(w)))
+    plain = df.withColumn("third", F.lag("trip_id", 3).over(Window.partitionBy(*STOP_KEYS).orderBy("event_time", "trip_id")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_null_trip_never_matches(spark):
     data = [arrival("a", 0), arrival(None, 60), arrival("b", 120)]
     assert headway(spark.createDataFrame(data, ARRIVALS)).count() == 0
@@ -147,8 +162,8 @@ def test_anomaly_bounds_across_slices(spark):
     data = [alert(i * 600, headway=v, curr=f"c{i:04d}")[:9] + (at(i * 600),) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, ALERTS.replace("alert_type string, severity string, ", ""))
     expected = plain_bounds(values)
-    for width in ("1 hour", "1 day"):
-        got = models.detect_anomalies(df, width=width).orderBy("arrival_time").collect()
+    for options in ({"width": "1 hour"}, {"width": "1 day"}, {}, {"max_rows": 30}):
+        got = models.detect_anomalies(df, **options).orderBy("arrival_time").collect()
         assert len(got) == len(values)
         for row, bounds in zip(got, expected):
             if bounds is None:
