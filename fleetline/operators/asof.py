@@ -17,6 +17,7 @@ from fleetline.functions.times import duration_seconds, time_slice
 from fleetline.operators.dedup import top_per_group
 
 SLICE = "_slice"
+SLICES_PER_TOLERANCE = 6
 
 
 def _reachable(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -29,12 +30,13 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, to
               width: str | int | None = None) -> DataFrame:
     """Left rows with the newest right row at or before them, at most `tolerance` old (inner).
 
-    `keys` are equal on both sides. `entity` columns exist on the right only: a left row then gets one
+    `width` is the slice width, a sixth of the tolerance unless given; narrower slices spread one key over
+    more tasks and carry one more row each. `keys` are equal on both sides. `entity` columns exist on the right only: a left row then gets one
     result per entity of its key that has a fresh enough row. `ties` orders right rows of equal time.
     Right columns keep their names; they must not collide with left ones apart from `keys`.
     """
     limit = duration_seconds(tolerance)
-    step = duration_seconds(width) if width else limit
+    step = duration_seconds(width) if width else max(1, limit // SLICES_PER_TOLERANCE)
     reach = -(-limit // step)
     group = [*keys, *entity]
     payload = [c for c in right.columns if c not in keys]

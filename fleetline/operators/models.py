@@ -1,6 +1,6 @@
 """Learned bounds and trend forecasts per stop, from the stop's own recent headways.
 
-The reference service's model internals are not public. The anomaly test here is a normal band around
+There is no public definition of the managed models these stand for. The anomaly test here is a normal band around
 the mean of the previous headways, the forecast a least-squares line through the latest ones.
 """
 
@@ -52,16 +52,26 @@ def anomaly_alerts(headways: DataFrame, **options) -> DataFrame:
 def forecast_next(df: DataFrame, value: str = "headway_seconds", partition: Sequence[str] = STOP_KEYS,
                   order: Sequence[str] = ("arrival_time", "curr_trip"), min_n: int = 12, max_n: int = 100,
                   horizon: int = 1, width: str | int | None = None, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
-    """Adds forecast_value: the fitted line `horizon` rows ahead, null before `min_n` rows."""
-    padded = with_carried_rows(df, partition, order, max_n - 1, width, max_rows)
+    """Adds forecast_value: the fitted line `horizon` rows ahead, null before `min_n` rows.
+
+    Rows without a value are left out. Rows are numbered, so with x counted back from the current row the
+    sums over x are known and only two sums over the values are needed.
+    """
+    padded = with_carried_rows(df.filter(F.col(value).isNotNull()), partition, order, max_n - 1, width, max_rows)
     window = slice_window(partition, order)
     latest = window.rowsBetween(-(max_n - 1), 0)
-    numbered = padded.withColumn("_x", F.row_number().over(window).cast("double"))
     y, x = F.col(value).cast("double"), F.col("_x")
-    line = (F.regr_intercept(y, x).over(latest)
-            + F.regr_slope(y, x).over(latest) * (x + F.lit(float(horizon))))
-    fitted = numbered.withColumn("forecast_value", F.when(F.count(y).over(latest) >= min_n, F.round(line, 3)))
-    return without_carried_rows(fitted.drop("_x"))
+    sums = (
+        padded.withColumn("_x", F.row_number().over(window).cast("double"))
+        .withColumn("_sum", F.sum(y).over(latest)).withColumn("_moment", F.sum(x * y).over(latest))
+    )
+    n, total = F.least(x, F.lit(float(max_n))), F.col("_sum")
+    moment = F.col("_moment") - x * total
+    sum_x, sum_xx = -n * (n - 1) / 2, n * (n - 1) * (2 * n - 1) / 6
+    slope = (n * moment - sum_x * total) / (n * sum_xx - sum_x * sum_x)
+    ahead = (total - slope * sum_x) / n + slope * horizon
+    fitted = sums.withColumn("forecast_value", F.when(n >= max(min_n, 2), F.round(ahead, 3)))
+    return without_carried_rows(fitted.drop("_x", "_sum", "_moment"))
 
 
 def trend_forecasts(headways: DataFrame, bunch: int = BUNCH_BELOW, gap: int = GAP_ABOVE, **options) -> DataFrame:

@@ -67,18 +67,24 @@ def with_carried_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         sliced = cut = df.withColumn(SLICE, time_slice(order[0], width))
     tails = _tails(cut, keys, order, n)
     along_key = Window.partitionBy(*keys).orderBy(SLICE, *order)
-    row = F.struct(*columns)
-    before = (F.array(*[F.lag(row, i).over(along_key) for i in range(1, n + 1)]) if n <= 4
-              else F.collect_list(row).over(along_key.rowsBetween(-n, -1)))
-    carried = (
-        tails.withColumn("_before", before)
-        .withColumn("_last_slice", F.lag(SLICE).over(along_key))
-        .filter(F.col("_last_slice") < F.col(SLICE))
-        .select(SLICE, F.explode("_before").alias("_row"))
-        .filter(F.col("_row").isNotNull())
-        .select("_row.*", SLICE, F.lit(True).alias(CARRIED))
-    )
-    return sliced.withColumn(CARRIED, F.lit(False)).unionByName(carried)
+    marked = tails.withColumn("_last_slice", F.lag(SLICE).over(along_key))
+    heads = F.col("_last_slice") < F.col(SLICE)
+    out = sliced.withColumn(CARRIED, F.lit(False))
+    if n <= 4:
+        # Column by column, so that columns nobody uses are pruned here as in the data itself and both
+        # read the same shuffle.
+        for back in range(1, n + 1):
+            out = out.unionByName(
+                marked.select(SLICE, F.lit(True).alias(CARRIED), heads.alias("_heads"),
+                              F.lag(F.lit(True), back, False).over(along_key).alias("_found"),
+                              *[F.lag(c, back).over(along_key).alias(c) for c in columns])
+                .filter("_heads AND _found").drop("_heads", "_found"))
+        return out
+    before = F.collect_list(F.struct(*columns)).over(along_key.rowsBetween(-n, -1))
+    return out.unionByName(
+        marked.withColumn("_before", before).filter(heads)
+        .select(SLICE, F.lit(True).alias(CARRIED), F.explode("_before").alias("_row"))
+        .select(SLICE, CARRIED, "_row.*"))
 
 
 def slice_window(keys: Sequence[str], order: Sequence[str]):

@@ -53,6 +53,11 @@ def _headways(spark, sf):
     return sequence.headway(_arrivals(spark, sf))
 
 
+def _stored_headways(spark, sf):
+    """Headways as a written table, for operators that read them several times."""
+    return staged(_headways(spark, sf), "headway")
+
+
 def _alerts(spark, sf):
     return jobs.headway_alerts(_headways(spark, sf))
 
@@ -294,18 +299,18 @@ def expected_actions(spark, sf):
 
 @query
 def anomaly_bounds(spark, sf):
-    return models.detect_anomalies(_headways(spark, sf)).select(
+    return models.detect_anomalies(_stored_headways(spark, sf)).select(
         "curr_trip", "stop_id", "actual_value", "lower_bound", "upper_bound", "is_anomaly")
 
 
 @query
 def anomaly_alerts(spark, sf):
-    return models.anomaly_alerts(_headways(spark, sf))
+    return models.anomaly_alerts(_stored_headways(spark, sf))
 
 
 @query
 def trend_forecasts(spark, sf):
-    return models.trend_forecasts(_headways(spark, sf)).drop("prev_headway_seconds")
+    return models.trend_forecasts(_stored_headways(spark, sf)).drop("prev_headway_seconds")
 
 
 @query
