@@ -30,13 +30,15 @@ def numbered_points(points: DataFrame, key: str = "shape_id", band: int = 1000)
 def trunk_shapes(shapes: DataFrame, trips: DataFrame, order: str = "trip_order") -> DataFrame:
     """The shape with the most points per route; a shape belongs to the first route that uses it.
 
-    Equal sizes fall to the smaller shape id.
+    Equal sizes fall to the shape that comes first by `point_order`, where the points have that column,
+    then to the smaller shape id.
     """
+    first = F.min("point_order") if "point_order" in shapes.columns else F.lit(0)
     owners = trips.filter((F.trim("shape_id") != "") & (F.trim("route_id") != ""))
     owners = dedup_first(owners.select("shape_id", "route_id", order), ["shape_id"], order, ("route_id",))
-    sizes = shapes.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_points"))
+    sizes = shapes.groupBy("shape_id").agg(F.count(F.lit(1)).alias("n_points"), first.alias("_first"))
     owned = sizes.join(owners.select("shape_id", "route_id"), "shape_id")
-    return top_per_group(owned, ["route_id"], [F.col("n_points").desc(), "shape_id"], 1).select(
+    return top_per_group(owned, ["route_id"], [F.col("n_points").desc(), "_first", "shape_id"], 1).select(
         "route_id", "shape_id", "n_points")
 
 
@@ -47,7 +49,7 @@ def route_shapes(shapes: DataFrame, trips: DataFrame, routes: DataFrame, order:
     colours = routes.filter(F.trim("route_id") != "").groupBy("route_id").agg(F.max(colour).alias("_color"))
     lines = trunks.join(colours, "route_id", "left").select(
         "shape_id", "route_id", F.coalesce("_color", F.lit("#888888")).alias("color"))
-    chosen = shapes.join(lines, "shape_id")
+    chosen = shapes.select("shape_id", "shape_pt_sequence", "shape_pt_lat", "shape_pt_lon").join(lines, "shape_id")
     return numbered_points(chosen).select(
         "route_id", "shape_id", "color", "position", F.col("shape_pt_lat").alias("lat"),
         F.col("shape_pt_lon").alias("lon"))

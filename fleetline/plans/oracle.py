@@ -530,6 +530,7 @@ _CHECKS["outbox_file"] = """
 SELECT alert_type, severity, action, action AS llm_action, count(*) AS n, sum(headway_seconds)::BIGINT AS seconds FROM act GROUP BY ALL"""
 _CHECKS["bucketed_estimates"] = "SELECT * FROM est"
 _CHECKS["keyed_table"] = "SELECT trip_id, stop_id, max(event_time) AS event_time FROM tu WHERE arrival_epoch > 0 GROUP BY ALL"
+_CHECKS["stream_arrival_estimates"] = "SELECT * FROM est"
 _CHECKS["stream_latest_rows"] = _CHECKS["keyed_table"]
 _CHECKS["stream_upsert"] = _CHECKS["keyed_table"]
 _CHECKS["stream_congestion"] = _HOURLY + " WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 SECONDS FROM events)"

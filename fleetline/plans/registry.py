@@ -769,6 +769,14 @@ def stream_upsert(spark, sf):
     return runs.run_upsert(rows, ("trip_id", "stop_id"), "event_time")
 
 
+@query
+def stream_arrival_estimates(spark, sf):
+    base = new_run_dir(spark, "predictions")
+    updates = sample.trip_updates(spark, sf, True)
+    runs.finish(runs.predictions_stream(updates, f"{base}/data", f"{base}/checkpoint"))
+    return runs.read_arrival_estimates(spark, f"{base}/data", sample.AS_OF_PREDICTIONS)
+
+
 def _alert_stream(spark, sf):
     path = new_run_dir(spark, "alerts")
     alerts = _alerts(spark, sf)

@@ -50,11 +50,11 @@ def has_change(spark: SparkSession, path: str, change: int) -> bool:
 
 
 def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
-               order: str | None = None) -> DataFrame:
+               order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Current rows of a keyed table: per key the row of the latest change, or of the highest `order`."""
     full = T.StructType([*schema.fields, T.StructField(CHANGE, T.LongType())])
     changes = spark.read.schema(full).option("basePath", path).parquet(path)
-    latest = dedup_last(changes, keys, order, (CHANGE,)) if order else dedup_last(changes, keys, CHANGE)
+    latest = dedup_last(changes, keys, order, (*ties, CHANGE)) if order else dedup_last(changes, keys, CHANGE)
     return latest.drop(CHANGE)
 
 

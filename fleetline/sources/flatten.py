@@ -15,10 +15,18 @@ def _present(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")) != ""
 
 
+def _unless_zero(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(0).cast("bigint"))
+
+
+def _feed_seconds() -> Column:
+    """The feed's own time, else the time of the run."""
+    return F.coalesce(_unless_zero("feed_ts"), F.unix_seconds(F.current_timestamp()))
+
+
 def _event_time() -> Column:
     """The vehicle's own timestamp when it has one, else the feed's."""
-    own = F.nullif(F.col("vehicle.timestamp"), F.lit(0).cast("bigint"))
-    return from_epoch_ms(F.coalesce(own, F.col("feed_ts")) * 1000)
+    return from_epoch_ms(F.coalesce(_unless_zero("vehicle.timestamp"), _feed_seconds()) * 1000)
 
 
 def flatten_vehicles(feed: DataFrame, stops: DataFrame) -> DataFrame:
@@ -40,14 +48,14 @@ def flatten_trip_updates(feed: DataFrame, stops: DataFrame) -> DataFrame:
     """One row per stop prediction; no stop, or neither arrival nor departure, means no row."""
     trip = "trip_update.trip"
     kept = feed.filter(_present(f"{trip}.trip_id") & _present(f"{trip}.route_id"))
-    each = kept.select("feed_ts", F.col(trip).alias("t"), F.explode("trip_update.stop_time_update").alias("u"))
+    each = kept.select(_feed_seconds().alias("feed_seconds"), F.col(trip).alias("t"), F.explode("trip_update.stop_time_update").alias("u"))
     none = F.lit(0).cast("bigint")
     flat = each.select(
         "t.trip_id", "t.route_id", direction(F.col("u.stop_id"), F.col("t.trip_id")).alias("direction"),
         F.col("u.stop_id").alias("stop_id"), base_id(F.col("u.stop_id")).alias("stop_base"),
         F.coalesce("u.arrival", none).alias("arrival_epoch"),
         F.coalesce("u.departure", none).alias("departure_epoch"),
-        from_epoch_ms(F.col("feed_ts") * 1000).alias("event_time"))
+        from_epoch_ms(F.col("feed_seconds") * 1000).alias("event_time"))
     usable = flat.filter(_present("stop_id") & ((F.col("arrival_epoch") != 0) | (F.col("departure_epoch") != 0)))
     return with_stop_info(usable, stops).select(
         "trip_id", "route_id", "direction", "stop_id", "stop_base", "stop_name", "stop_lat", "stop_lon",

@@ -45,19 +45,20 @@ def read_stops(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shape_points(spark: SparkSession, path: str) -> DataFrame:
-    """Shape points; rows without an id, number or position are skipped."""
+    """Shape points with `point_order`, the file order; rows without an id, number or position are skipped."""
     raw = _csv(spark, path)
     sequence = F.when(F.coalesce(F.col("shape_pt_sequence"), F.lit("")) == "", F.lit(0)).otherwise(
         _number("shape_pt_sequence", "int"))
     return raw.select(
         strip(F.col("shape_id")).alias("shape_id"), sequence.alias("shape_pt_sequence"),
         _number("shape_pt_lat").alias("shape_pt_lat"), _number("shape_pt_lon").alias("shape_pt_lon"),
+        F.col(LINE).alias("point_order"),
     ).filter("shape_id <> '' AND shape_pt_sequence IS NOT NULL AND shape_pt_lat IS NOT NULL "
              "AND shape_pt_lon IS NOT NULL")
 
 
 def read_gtfs_static(spark: SparkSession, folder: str, ext: str = "txt") -> dict[str, DataFrame]:
-    """Shapes, trips (with `trip_order`, the file order) and routes of a static archive folder."""
+    """Shapes, trips (with `trip_order`, the file order) and routes (the last row per id) of an archive folder."""
     trips = _csv(spark, f"{folder}/trips.{ext}")
     routes = _csv(spark, f"{folder}/routes.{ext}")
     return {
@@ -65,7 +66,8 @@ def read_gtfs_static(spark: SparkSession, folder: str, ext: str = "txt") -> dict
         "trips": trips.select(strip(F.col("shape_id")).alias("shape_id"),
                               strip(F.col("route_id")).alias("route_id"), F.col(LINE).alias("trip_order"))
                       .filter("shape_id <> '' AND route_id <> ''"),
-        "routes": routes.select(strip(F.col("route_id")).alias("route_id"),
-                                F.coalesce(strip(F.col("route_color")), F.lit("")).alias("route_color"))
-                        .filter("route_id <> ''"),
+        "routes": dedup_last(
+            routes.select(strip(F.col("route_id")).alias("route_id"),
+                          F.coalesce(strip(F.col("route_color")), F.lit("")).alias("route_color"), LINE)
+            .filter("route_id <> ''"), ["route_id"], LINE).drop(LINE),
     }

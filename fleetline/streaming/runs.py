@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetline.operators.agent import Responder, dispatcher_decisions
 from fleetline.operators.dedup import ALERT_IDENTITY
+from fleetline.plans.jobs import STOP_COLUMNS, within_eta
+from fleetline.schemas import TRIP_UPDATES
 from fleetline.session import new_run_dir
 from fleetline.sinks.tables import append_sink, has_change, read_keyed, upsert_sink, write_changes
 from fleetline.streaming.events import dedup_first_stream
 
+PREDICTION_COLUMNS = (*STOP_COLUMNS, "arrival_epoch", "event_time")
+
 
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
@@ -35,6 +40,23 @@ def run_upsert(df: DataFrame, keys: Sequence[str], order: str, label: str = "key
     return read_keyed(df.sparkSession, f"{base}/data", df.schema, keys, order)
 
 
+PREDICTION_KEYS = ("trip_id", "stop_id")
+
+
+def predictions_stream(trip_updates: DataFrame, path: str, checkpoint: str,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Latest predictions as a keyed table. Etas are left out, since they change with the time of reading."""
+    usable = trip_updates.filter("arrival_epoch > 0").select(*PREDICTION_COLUMNS)
+    return upsert_sink(usable, PREDICTION_KEYS, "event_time", path, checkpoint, ("arrival_epoch",), trigger=trigger)
+
+
+def read_arrival_estimates(spark: SparkSession, path: str, as_of, low: int = -30, high: int = 1800) -> DataFrame:
+    """Arrival estimates at `as_of`. A prediction that has moved out of range hides its older ones."""
+    schema = T.StructType([TRIP_UPDATES[c] for c in PREDICTION_COLUMNS])
+    latest = read_keyed(spark, path, schema, PREDICTION_KEYS, "event_time", ("arrival_epoch",))
+    return within_eta(latest, as_of, low, high)
+
+
 def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder: Responder | None = None,
                       bounded: bool = True, trigger: dict | None = None) -> StreamingQuery:
     """Decisions for a stream of alerts with a watermark, as a keyed table at `path`.

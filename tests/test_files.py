@@ -17,7 +17,7 @@ def test_stops_file(spark, tmp_path):
 
 
 def test_static_folder(spark, tmp_path):
-    (tmp_path / "routes.txt").write_text("route_id,route_color\nA,0039A6\nB,\n,FFFFFF\n")
+    (tmp_path / "routes.txt").write_text("route_id,route_color\nA,111111\nA,0039A6\nB,\n,FFFFFF\n")
     (tmp_path / "trips.txt").write_text("route_id,shape_id\nB,long\nA,long\nA,short\nA,\nB,tiny\n")
     (tmp_path / "shapes.txt").write_text(
         "shape_id,shape_pt_sequence,shape_pt_lat,shape_pt_lon\n" + "".join(f"long,{i},{i}.5,7\n" for i in (2, 0, 1))
@@ -34,6 +34,15 @@ def test_static_folder(spark, tmp_path):
                        "properties": {"route_id": "A", "route_short": "A", "mode": "subway", "color": "#0039A6"}}
 
 
+def test_equal_shapes_fall_to_the_first_in_the_file(spark, tmp_path):
+    (tmp_path / "routes.txt").write_text("route_id,route_color\nA,\n")
+    (tmp_path / "trips.txt").write_text("route_id,shape_id\nA,a\nA,z\n")
+    (tmp_path / "shapes.txt").write_text("shape_id,shape_pt_sequence,shape_pt_lat,shape_pt_lon\nz,1,1,1\nz,2,2,2\na,1,1,1\na,2,2,2\n")
+    parts = static.read_gtfs_static(spark, str(tmp_path))
+    assert rows(geometry.trunk_shapes(parts["shapes"], parts["trips"])) == [("A", "z", 2)]
+    assert rows(geometry.trunk_shapes(parts["shapes"].drop("point_order"), parts["trips"])) == [("A", "a", 2)]
+
+
 def test_long_lines_continue_in_parts(spark, tmp_path):
     points = spark.range(11).select(F.lit("R").alias("route_id"), F.lit("#000000").alias("color"), F.col("id").alias("position"),
                                     F.col("id").cast("double").alias("lat"), F.lit(1.0).alias("lon"))

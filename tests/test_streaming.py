@@ -95,6 +95,18 @@ def test_latest_rows_replace(spark, tmp_path):
         assert rows(runs.run_upsert(stream, ("k",), "t", output_mode=mode), "k", "v") == [("a", 3), ("b", 2)]
 
 
+def test_estimates_follow_the_newest_prediction(spark, tmp_path):
+    now = 1704067200
+    def update(trip, epoch, seconds):
+        return (trip, "1", "N", "s", "s", "Main", 1.0, 1.0, epoch, 0, at(seconds))
+    batches = [[update("stays", now + 60, 1), update("leaves", now + 60, 1), update("none", 0, 1)],
+               [update("leaves", now + 5000, 2), update("stays", 0, 3), update("late", now + 9, 0)], [update("late", now + 70, -5)]]
+    stream = landed(spark, str(tmp_path / "in"), batches, schemas.TRIP_UPDATES)
+    runs.finish(runs.predictions_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    assert rows(runs.read_arrival_estimates(spark, f"{tmp_path}/out", now), "trip_id", "eta_seconds") == [("late", 9), ("stays", 60)]
+    assert rows(runs.read_arrival_estimates(spark, f"{tmp_path}/out", now + 4000), "trip_id", "eta_seconds") == [("leaves", 1000)]
+
+
 def test_first_rows(spark, tmp_path):
     schema = schemas.struct(k="string", event_time="zoned")
     batches = [[("a", at(1)), ("a", at(2))], [("a", at(3)), ("b", at(4))]]
