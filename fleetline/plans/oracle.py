@@ -396,7 +396,34 @@ _CHECKS["anchor_forecasts"] = """
 SELECT f.curr_trip, f.stop_id, f.forecast_type, f.arrival_time,
   CASE WHEN f.stop_id = 'S0' THEN f.stop_lat ELSE p.lat END AS lat, CASE WHEN f.stop_id = 'S0' THEN f.stop_lon ELSE p.lon END AS lon
 FROM fc f JOIN place p ON f.curr_trip = p.trip_id"""
-_CHECKS["recent_service_alerts"] = "SELECT * RENAME (date AS ts) FROM sa ORDER BY date DESC, alert_id LIMIT 100"
+
+
+def _board(board: str, key: str, where: str = "true") -> str:
+    """The three passes as 24 picks: one per bracket, then up to eight unseen keys, then up to eight of any."""
+    return f"""
+WITH RECURSIVE r AS (
+  SELECT route_id, direction, stop_id, stop_name, trip_id, eta_seconds, {board} AS b, {key} AS key,
+    row_number() OVER (PARTITION BY {board} ORDER BY eta_seconds, route_id, stop_id, trip_id) AS id,
+    CASE WHEN eta_seconds < 30 THEN 0 WHEN eta_seconds < 120 THEN 1 WHEN eta_seconds < 240 THEN 2 WHEN eta_seconds < 420 THEN 3
+      WHEN eta_seconds < 660 THEN 4 WHEN eta_seconds < 960 THEN 5 WHEN eta_seconds < 1300 THEN 6 WHEN eta_seconds < 1800 THEN 7 END AS bracket
+  FROM est WHERE eta_seconds >= 0 AND {where}),
+s(b, step, seen, chosen) AS (
+  SELECT DISTINCT b, 0, []::VARCHAR[], []::BIGINT[] FROM r
+  UNION ALL
+  SELECT s.b, s.step + 1, list_append(s.seen, arg_min(r.key, r.id)),
+    CASE WHEN min(r.id) IS NULL THEN s.chosen ELSE list_append(s.chosen, min(r.id)) END
+  FROM s LEFT JOIN r ON r.b = s.b AND len(s.chosen) < 8 AND NOT list_contains(s.chosen, r.id)
+    AND CASE WHEN s.step < 8 THEN r.bracket = s.step AND r.key <> '' AND NOT list_contains(s.seen, r.key)
+      WHEN s.step < 16 THEN r.eta_seconds >= 30 AND (r.key = '' OR NOT list_contains(s.seen, r.key)) ELSE true END
+  WHERE s.step < 24 GROUP BY s.b, s.step, s.seen, s.chosen)
+SELECT route_id, direction, stop_id, stop_name, trip_id, eta_seconds, row_number() OVER (PARTITION BY r.b ORDER BY id) AS position
+FROM r JOIN s ON r.b = s.b AND s.step = 24 AND list_contains(s.chosen, r.id)"""
+
+
+_CHECKS["diverse_board_by_stop"] = _board("stop_id", "upper(route_id)")
+_CHECKS["diverse_board_global"] = _board("''", "upper(route_id)")
+_CHECKS["diverse_board_route"] = _board("''", "stop_name", "route_id = 'R3'")
+_CHECKS["service_alerts_by_recency"] = "SELECT * RENAME (date AS ts) FROM sa"
 _COMMON["ctx"] = """
 SELECT 1 AS section, 0::BIGINT AS ord, 'LIVE FLEET: ' || trains || ' subway trains, ' || buses || ' buses, ' || routes || ' active routes, ' ||
   alerts || ' headway alerts. data_live=' || CASE WHEN (SELECT max(ts) > TIMESTAMP '2024-01-30 23:00:00' FROM events) THEN 'True' ELSE 'False' END AS line FROM cnt
@@ -405,6 +432,10 @@ UNION ALL SELECT 3, 0, 'BUS ROUTES RUNNING: ' || string_agg(route_short || '(' |
 UNION ALL SELECT 4, 0, 'HEADWAY ALERTS (route/type/severity @ stop, headway secs):' WHERE (SELECT count(*) FROM al60) > 0
 UNION ALL SELECT 4, n, '  - ' || route_id || ' ' || alert_type || ' [' || severity || '] @ ' || stop_name || ' (' || headway_seconds || 's)'
   FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, route_id, direction, stop_id, curr_trip) AS n FROM al60) WHERE n <= 40
+UNION ALL SELECT 5, 0, 'FLINK DISPATCHER RECOMMENDATIONS (already issued by the streaming agent):' WHERE (SELECT count(*) FROM dd) > 0
+UNION ALL SELECT 5, n, '  - ' || route_id || ': ' || action || ' — ' || dispatcher_note FROM (
+  SELECT *, row_number() OVER (ORDER BY epoch_us(arrival_time) // 1000 DESC, route_id, direction, stop_id, dispatcher_note) AS n FROM (
+    SELECT * FROM dd ORDER BY arrival_time DESC, route_id, direction, stop_id, curr_trip, prev_trip LIMIT 60)) WHERE n <= 40
 UNION ALL SELECT 6, 0, 'NEXT ARRIVALS (route @ stop in N sec):' WHERE (SELECT count(*) FROM board) > 0
 UNION ALL SELECT 6, n, '  - ' || route_id || ' @ ' || stop_name || ' in ' || eta_seconds || 's'
   FROM (SELECT *, row_number() OVER (ORDER BY eta_seconds, route_id, stop_id, trip_id) AS n FROM board) WHERE n <= 40
@@ -413,13 +444,7 @@ UNION ALL SELECT 7, 0, 'WEATHER: ' || condition || ', ' || CASE WHEN temp_f IS N
 UNION ALL SELECT 8, 0, 'STATION PASSENGER SURGES: ' || string_agg(station_name || ' [' || line || '] (' || crowd_level || ', ' || taps_per_minute || ' taps/min)', ', ' ORDER BY station_id)
   FROM (SELECT * FROM crowd ORDER BY station_id LIMIT 5) HAVING count(*) > 0"""
 _CHECKS["context_lines"] = "SELECT * FROM ctx"
-_CHECKS["context_text"] = """
-SELECT string_agg(line, chr(10) ORDER BY section, ord) AS text FROM (
-  SELECT * FROM ctx
-  UNION ALL SELECT 5, 0, 'FLINK DISPATCHER RECOMMENDATIONS (already issued by the streaming agent):' WHERE (SELECT count(*) FROM dd) > 0
-  UNION ALL SELECT 5, n, '  - ' || route_id || ': ' || action || ' — ' || dispatcher_note FROM (
-    SELECT *, row_number() OVER (ORDER BY epoch_us(arrival_time) // 1000 DESC, route_id, direction, stop_id, dispatcher_note) AS n FROM (
-      SELECT * FROM dd ORDER BY arrival_time DESC, route_id, direction, stop_id, curr_trip, prev_trip LIMIT 60)) WHERE n <= 40)"""
+_CHECKS["context_text"] = "SELECT string_agg(line, chr(10) ORDER BY section, ord) AS text FROM ctx"
 
 _STOPPED = """
   coalesce(e.stop_name, b.stop_name, '') AS stop_name, coalesce(e.stop_lat, b.stop_lat, 0.0) AS stop_lat,
@@ -583,7 +608,8 @@ def oracle_sql() -> dict[str, str]:
         common = ", ".join(f"{c} AS ({_COMMON[c].strip()})" for c in _ordered(_needed(sql)))
         body = sql.strip()
         if common and body.startswith("WITH "):
-            body = f"WITH {common}, {body[5:]}"
+            recursive = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+            body = f"WITH {recursive}{common}, {body[5 + len(recursive):]}"
         elif common:
             body = f"WITH {common} {body}"
         out[name] = body

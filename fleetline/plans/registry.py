@@ -441,9 +441,9 @@ def anchor_forecasts(spark, sf):
 
 
 @query
-def recent_service_alerts(spark, sf):
+def service_alerts_by_recency(spark, sf):
     alerts = sample.service_alerts(spark, sf).withColumnRenamed("date", "ts")
-    return snapshot.order_by_recency(alerts, "ts", ("alert_id",)).limit(100)
+    return snapshot.order_by_recency(alerts, "ts", ("alert_id",))
 
 
 @query
@@ -463,7 +463,7 @@ def diverse_board_route(spark, sf):
 
 @query
 def context_lines(spark, sf):
-    return context.context_lines(_snapshot(spark, sf)).filter("section <> 5")
+    return context.context_lines(_snapshot(spark, sf))
 
 
 @query
