@@ -49,7 +49,7 @@ def main() -> None:
         exchanges[name] = plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition")
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "exchanges": exchanges, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+        "queries": seconds, "exchanges": exchanges, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

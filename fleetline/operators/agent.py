@@ -149,6 +149,7 @@ def dispatcher_decisions(alerts: DataFrame, responder: Responder | None = None,
         F.col("response").alias("raw_response"))
 
 
+# Request kinds; a responder that serves several kinds picks its instructions and limits here.
 COPILOTS = {
     "rider": AgentSpec("rider_advisor", "Advise a rider from the live state only; be short and calm."),
     "operator": AgentSpec("operator_insight", "Tell operators current risks, what comes next and what to do.", max_tokens=2200),
@@ -192,7 +193,7 @@ def answer_requests(requests: DataFrame, context: DataFrame, responder: Responde
     got = blank_to(F.trim("answer"), F.lit(None)).isNotNull()
     is_route = F.col("kind") == "route"
     ok = got & (~is_route | F.col("waypoints").isNotNull())
-    error = (F.when(F.col("prompt").isNull(), "unknown request kind").when(~got, "no answer")
+    error = (F.when(~F.col("kind").isin(*COPILOTS), "unknown request kind").when(~got, "no answer")
              .when(~ok, "Could not parse a route proposal."))
     return answered.select("request_id", "kind", ok.alias("ok"), "answer",
                            F.when(is_route, F.col("geojson")).alias("geojson"), error.alias("error"))

@@ -16,21 +16,32 @@ def read_decisions_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unframed(payload: Column) -> Column:
-    """JSON text of a payload, without the five-byte registry header when it has one."""
+    """A payload without the five-byte registry header, when it has one."""
     framed = (F.octet_length(payload) > 5) & (F.hex(F.substring(payload, 1, 1)) == "00")
-    body = F.when(framed, F.substring(payload, F.lit(6), F.octet_length(payload))).otherwise(payload)
-    return body.cast("string")
+    return F.when(framed, F.substring(payload, F.lit(6), F.octet_length(payload))).otherwise(payload)
+
+
+def _text(payload: Column) -> Column:
+    return _unframed(payload).cast("string")
 
 
 def decode_payload(df: DataFrame, schema: T.StructType, value: str = "value", key: str | None = "key") -> DataFrame:
     """Fields of JSON payloads; undecodable rows are dropped, fields of the key win over the value's."""
-    out = df.withColumn("_v", json_object(_unframed(F.col(value)), schema)).filter("_v IS NOT NULL")
+    out = df.withColumn("_v", json_object(_text(F.col(value)), schema)).filter("_v IS NOT NULL")
     if key is None or key not in df.columns:
         return out.select("_v.*")
-    out = out.withColumn("_k", json_object(_unframed(F.col(key)), schema))
+    out = out.withColumn("_k", json_object(_text(F.col(key)), schema))
     return out.select(*[F.coalesce(f"_k.{c}", f"_v.{c}").alias(c) for c in schema.names])
 
 
+def decode_avro_payload(df: DataFrame, avro_schema: str, value: str = "value") -> DataFrame:
+    """Fields of Avro payloads; needs the Avro package on the class path."""
+    from pyspark.sql.avro.functions import from_avro
+
+    record = from_avro(_unframed(F.col(value)), avro_schema, {"mode": "PERMISSIVE"})
+    return df.select(record.alias("_v")).filter("_v IS NOT NULL").select("_v.*")
+
+
 def read_shapes(spark: SparkSession, glob: str, whole_files: bool = True) -> DataFrame:
     """Line features of all matching files; files that are not JSON are skipped.
 

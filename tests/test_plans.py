@@ -2,7 +2,7 @@
 
 import pytest
 
-from fleetline.plans import registry
+from fleetline.plans import jobs, registry
 from fleetline.sources import sample
 
 RUNS_A_STREAM_OR_WRITES = {n for n in registry.queries() if n.startswith(("stream_", "read_", "snapshot_", "context_", "keyed_"))}
@@ -19,6 +19,17 @@ def test_no_pairing_of_everything(spark, sf_dir, name):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
+def test_stored_and_lazy_runs_agree(spark, sf_dir):
+    tables = {"vehicle_positions": sample.vehicle_positions(spark, sf_dir), "trip_updates": sample.trip_updates(spark, sf_dir),
+              "bus_positions": sample.bus_positions(spark, sf_dir), "weather_events": sample.weather_events(spark, sf_dir),
+              "passenger_surges": sample.passenger_surges(spark, sf_dir)}
+    lazy = jobs.run(tables, sample.AS_OF_PREDICTIONS)
+    stored = jobs.run(tables, sample.AS_OF_PREDICTIONS, stage=True)
+    assert set(lazy) == set(stored) and len(lazy) == 8
+    for name in lazy:
+        assert sorted(map(str, lazy[name].collect())) == sorted(map(str, stored[name].collect())), name
+
+
 def test_first_rows_are_limited_before_the_shuffle(spark, sf_dir):
     text = plan(registry.queries()["first_arrivals"](spark, sf_dir))
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange hashpartitioning") == 1

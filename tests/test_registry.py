@@ -40,9 +40,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert as_rows(df.columns, df.collect()) == as_rows(names, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
-def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry(spark):
