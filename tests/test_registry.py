@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from fleetline.plans import oracle, registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+QUERIES, CHECKS = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(contract.queries()) and set(CHECKS) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
