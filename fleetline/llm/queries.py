@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import digest, sharding
+from fleetline.llm import digest, packing, sharding, simhash
 from fleetline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,15 @@ def op10_sharding(spark, sf):
     return rows.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_packing(spark, sf):
+    packed = packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op1_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
