@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import digest, packing, sharding, simhash
-from fleetline.llm.common import table
+from fleetline.llm import digest, language_id, packing, pii, quality, sharding, simhash
+from fleetline.llm.common import fold, table
+from fleetline.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -50,3 +51,34 @@ def op7_packing(spark, sf):
 @query
 def op1_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op3_quality(spark, sf):
+    """Statistics are written once; the fit and the scores read them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    measured = staged(quality.with_statistics(docs).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "statistics"), "statistics")
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    model = quality.fit(measured.filter("NOT held_out").join(labels, "doc_id"))
+    return quality.with_scores(measured, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language_id.fit(docs.filter("NOT held_out"))
+    return language_id.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op8_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = staged(pii.with_candidates(docs).select("doc_id", "candidates"), "candidates")
+    found = pii.with_spans(marked, pii.fit(marked))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
