@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import digest, language_id, packing, pii, quality, sharding, simhash
+from fleetline.llm import decontaminate, digest, html_text, language_id, packing, pii, quality, sharding, simhash
 from fleetline.llm.common import fold, table
 from fleetline.session import staged
 
@@ -82,3 +82,13 @@ def op8_pii(spark, sf):
 
     counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_html(spark, sf):
+    return html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
