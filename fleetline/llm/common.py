@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+import sys
+import types
 
 import numpy as np
 import pandas as pd
@@ -65,5 +65,9 @@ def ordered_buckets(df: DataFrame, id_col: str, hash_col: str, bucket_rows: int
     return bucket(key, F.col(hash_col)), n
 
 
-def chained(first, rest: Iterator) -> Iterator:
-    return itertools.chain([first], rest)
+def worker_held(key: str, make):
+    """What `make` returns, made once in each Python worker and kept while the worker lives, over many tasks."""
+    held = sys.modules.setdefault("_fleetline_worker", types.ModuleType("_fleetline_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -22,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import own_name
+from fleetline.llm.common import LOWEST, own_name
 
 DIMENSIONS, CENTROIDS, SAMPLE, MOST_LANGUAGES, ROUNDS = 4096, 3, 1000, 256, 12
 #: A text is rejected below this share of the lowest cosine in ten thousand of its centroid's sample. A text of few
@@ -117,16 +117,17 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     found = dict(frequent)
     total = found.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([found.get(i, 0) for i in range(DIMENSIONS)]))).astype(np.float32) + np.float32(0.05)
-    # Each language's sample ends at its SAMPLE-th lowest key; only those bounds come to the driver.
-    ranked = rows.select("lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy("key")).alias("place"))
-    bounds = ranked.filter(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("key").alias("bound"), F.count("*").alias("n"))
-    most = {r["lang"]: r["bound"] for r in bounds.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    # Keys are uniform 64-bit hashes, so a share of the distinct rows is a share of the range of keys. Only the counts
+    # by language come to the driver; twice the sample is taken, and cut to the lowest keys where it is clustered.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("distinct"))
+    most = {r["lang"]: min(2 * SAMPLE / r["distinct"], 1.0) for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not most:
         return Centroids((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32))
-    bound = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("lang")]
+    bounds = {lang: min(int(LOWEST + share * 2.0 ** 64), -1 - LOWEST) for lang, share in most.items()}
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in part.sort_values("key")["text"] if has_letter(t)]
+        texts = [t for t in part.sort_values("key")["text"][:SAMPLE] if has_letter(t)]
         if not texts:
             return pd.DataFrame({"lang": [], "centre": [], "low": []})
         units = vectors(texts, idf)

@@ -15,8 +15,6 @@ from __future__ import annotations
 import base64
 import re
 import struct
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetline.llm.common import worker_held
 from fleetline.session import new_run_dir
 
 CAPACITY, OPEN_SEQUENCES = 1024, 256
@@ -87,11 +86,7 @@ class ChunkEncoder:
 
 
 def worker_encoder(path: str, ranks: str | None) -> ChunkEncoder:
-    """One encoder for each path and Python worker; it lives as long as the worker, over many tasks."""
-    held = sys.modules.setdefault("_fleetline_worker", types.ModuleType("_fleetline_worker")).__dict__.setdefault("encoders", {})
-    if path not in held:
-        held[path] = ChunkEncoder(path, ranks)
-    return held[path]
+    return worker_held(f"chunks of {path} {ranks}", lambda: ChunkEncoder(path, ranks))
 
 
 class OpenSequences:

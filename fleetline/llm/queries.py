@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import decontaminate, digest, html_text, language_id, packing, pii, quality, sharding, simhash
+from fleetline.llm import decontaminate, digest, html_text, language_id, lattice_lm, packing, pii, quality, sharding, simhash
 from fleetline.llm.common import fold, table
 from fleetline.session import staged
 
@@ -92,3 +92,10 @@ def op2_html(spark, sf):
 @query
 def op4_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op6_lattice_lm(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = lattice_lm.score_documents(docs, fold("doc_id", 5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", (~F.col("learned_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score")
