@@ -10,8 +10,13 @@ Search over the distinct fingerprints, all steps over all of them:
    dynamic programming picks thresholds, and m, with the least estimated candidates and probe rows.
 3. Each fingerprint is stored under its value in each used part and probes the values within the threshold. Only the
    fingerprint with a zero in the highest changed bit probes, so a pair of neighbouring values meets once.
-4. Fingerprints that meet are compared. A task keeps only links that join two of its groups, never all pairs. Values
-   that more than `CROWD` fingerprints share are cut into chunks and every two chunks meet in a task of their own.
+4. Fingerprints that meet are compared. Of a larger bucket a task keeps only the minimum spanning tree of its links,
+   never all pairs. Values that more than `CROWD` fingerprints share are cut into chunks and every two chunks meet in a
+   task of their own.
+
+`drop_near_duplicates` finds near copies by similarity: the fingerprint that is searched is that of the set of words,
+which changes little with an edit, and links are verified by the exact Jaccard similarity of five-word shingles.
+Trees are then of least distance of words and shingles, so that what holds a group together is its closest pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null id takes part but
 is no component id unless all of its group are null (then the component id is null); repeated rows are kept; an empty
@@ -65,6 +70,16 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def word_set_fingerprint(text: str) -> int:
+    """Unsigned SimHash of the distinct A-Z-lowered words."""
+    tokens = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
+    if not tokens:
+        return 0
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(SEED)), np.uint64, len(tokens))
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.uint64)[0])
+
+
 def with_fingerprints(df: DataFrame, text_col: str, name: str, words: int = SHINGLE_WORDS) -> DataFrame:
     """`df` with the fingerprint as a signed 64-bit number."""
 
@@ -192,7 +207,7 @@ def make_plan(marks: DataFrame, radius: int = RADIUS) -> Plan:
 # ---- probe and verify ----
 
 def _meetings(marks: DataFrame, plan: Plan) -> DataFrame:
-    """(part, value, probe, mark): each fingerprint under its own value and under those that it probes."""
+    """(part, value, probe, mark, detail): each fingerprint under its own value and under those that it probes."""
     places = []
     for part, (mask, threshold) in enumerate(zip(plan.masks, plan.thresholds)):
         if threshold < 0:
@@ -206,11 +221,15 @@ def _meetings(marks: DataFrame, plan: Plan) -> DataFrame:
             zero = F.filter(listed, lambda x: F.col("mark").bitwiseAND(x["high"]) == 0)
             places.append(F.transform(zero, lambda x: F.struct(  # called at once, in this turn of the loop
                 F.lit(part).alias("part"), own.bitwiseXOR(x["flip"]).alias("value"), F.lit(True).alias("probe"))))
-    return marks.select("mark", F.explode(F.concat(*places)).alias("at")).select("at.part", "at.value", "at.probe", "mark")
+    return marks.select("mark", "detail", F.explode(F.concat(*places)).alias("at")).select("at.part", "at.value", "at.probe", "mark", "detail")
 
 
 def near_links(marks: DataFrame, plan: Plan, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints in column `mark` which are within the radius."""
+    """Links (a, a_detail, b, b_detail) that connect all distinct rows whose `mark`s are within the radius.
+
+    `detail` is a second fingerprint, or zero: of several ways to connect a crowd, the one of least distance in both
+    fingerprints together is kept.
+    """
     met = _meetings(marks, plan)
     used = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("mark").bitwiseAND(F.lit(signed(m))).alias("value"))
                                for p, (m, t) in enumerate(zip(plan.masks, plan.thresholds)) if t >= 0]))
@@ -225,18 +244,18 @@ def near_links(marks: DataFrame, plan: Plan, radius: int = RADIUS, crowd: int =
             "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns(
             {"low": F.least("side", "other"), "high": F.greatest("side", "other")})
         rest = met.join(crowded.select("part", "value"), ["part", "value"], "left_anti")
-        met = rest.select("part", "value", "low", "high", "probe", "mark").unionByName(
-            cut.select("part", "value", "low", "high", "probe", "mark"))
+        columns = ["part", "value", "low", "high", "probe", "mark", "detail"]
+        met = rest.select(*columns).unionByName(cut.select(*columns))
     keys = ["part", "value", "low", "high"]
-    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "probe").select(*keys, "probe", "mark")
-    return dealt.mapInArrow(lambda b: _verify(b, radius), "a long, b long").distinct()
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "probe").select(*keys, "probe", "mark", "detail")
+    return dealt.mapInArrow(lambda b: _verify(b, radius), "a long, a_detail long, b long, b_detail long").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, stored ones before probes; a bucket may go on in the next batch."""
     rest = None
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         if rest is not None:
             columns = [np.concatenate(pair) for pair in zip(rest, columns)]
         n = len(columns[0])
@@ -246,67 +265,58 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         new[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
         last = int(np.flatnonzero(new)[-1])
         rest = [c[last:] for c in columns]
-        yield _links(new[:last], columns[4][:last], columns[5][:last], radius)
+        yield _links(new[:last], *(c[:last] for c in columns[4:]), radius)
     if rest is not None:
         new = np.zeros(len(rest[0]), dtype=bool)
         new[0] = True
-        yield _links(new, rest[4], rest[5], radius)
+        yield _links(new, *rest[4:], radius)
 
 
-def _links(new: np.ndarray, probe: np.ndarray, marks: np.ndarray, radius: int) -> pa.RecordBatch:
-    marks = marks.view(np.uint64)  # the bits of a negative number would be counted in its absolute value
+def _links(new: np.ndarray, probe: np.ndarray, marks: np.ndarray, details: np.ndarray, radius: int) -> pa.RecordBatch:
+    # Unsigned: the bits of a negative number would be counted in its absolute value.
+    both = np.column_stack([marks, details]).view(np.uint64)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(new)))
-    a, b = [], []
+    pairs = [np.zeros((0, 4), np.uint64)]
     if len(starts):
         bucket, size_of = np.cumsum(new) - 1, np.repeat(sizes, sizes)
         small = (size_of > 1) & (size_of <= SMALL) & np.repeat(~probe[starts], sizes)
-        bucket, values, stored = bucket[small], marks[small], ~probe[small].astype(bool)
+        bucket, values, stored = bucket[small], both[small], ~probe[small].astype(bool)
         for shift in range(1, min(SMALL, len(values))):
             same = (bucket[shift:] == bucket[:-shift]) & stored[:-shift]
             if not same.any():
                 break
             x, y = values[:-shift][same], values[shift:][same]
-            close = np.bitwise_count(x ^ y) <= radius
-            a.append(x[close])
-            b.append(y[close])
+            close = np.bitwise_count(x[:, 0] ^ y[:, 0]) <= radius
+            pairs.append(np.hstack([x[close], y[close]]))
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             if not probe[start]:
-                x, y = spanning_links(marks[start:start + size], radius)
-                a.append(x)
-                b.append(y)
-    flat = [np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64) for c in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in flat], names=["a", "b"])
+                pairs.append(spanning_links(both[start:start + size], radius))
+    flat = np.concatenate(pairs).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(4)], names=["a", "a_detail", "b", "b_detail"])
 
 
-def spanning_links(marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the (unsigned) marks as all pairs within the radius would: each mark is reached once, then left out.
+def spanning_links(rows: np.ndarray, radius: int) -> np.ndarray:
+    """The minimum spanning tree (or forest) of (mark, detail) rows whose marks are within the radius, as rows of pairs.
 
-    Marks still unreached are kept with their distance to one fixed mark; only those whose distance is within the
-    radius of the asking mark's distance can be close to it.
+    The weight of a link is the distance of marks and details together. Trees grow from the rows reached so far by the
+    nearest other row, in time quadratic and memory linear in the rows, which `CROWD` bounds.
     """
-    marks = np.unique(marks)
-    far = np.bitwise_count(marks ^ marks[0]).astype(np.int16)
-    by = np.argsort(far, kind="stable")
-    marks, far = marks[by], far[by]
-    edges = np.searchsorted(far, np.arange(BITS + 2))
-    open_ = np.ones(len(marks), dtype=bool)
-    a, b = [], []
-    for first in range(len(marks)):
-        if not open_[first]:
-            continue
-        open_[first] = False
-        waiting = [first]
-        while waiting:
-            at = waiting.pop()
-            low, high = edges[max(far[at] - radius, 0)], edges[min(far[at] + radius + 1, BITS + 1)]
-            place = low + np.flatnonzero(open_[low:high])
-            place = place[np.bitwise_count(marks[place] ^ marks[at]) <= radius]
-            open_[place] = False
-            a.append(np.full(len(place), marks[at]))
-            b.append(marks[place])
-            waiting += place.tolist()
-    return np.concatenate(a or [marks[:0]]), np.concatenate(b or [marks[:0]])
+    rows = np.unique(rows, axis=0)
+    marks, details = rows[:, 0].copy(), rows[:, 1].copy()
+    unreached, done = 1 << 14, 1 << 15
+    weight = np.full(len(rows), unreached, dtype=np.int32)
+    parent = np.full(len(rows), -1)
+    at = 0
+    for _ in range(len(rows)):
+        weight[at] = done
+        near = np.bitwise_count(marks ^ marks[at])
+        own = near.astype(np.int32) + np.bitwise_count(details ^ details[at])
+        closer = (near <= radius) & (own < weight) & (weight < done)
+        weight[closer], parent[closer] = own[closer], at
+        at = int(weight.argmin())
+    child = np.flatnonzero(parent >= 0)
+    return np.hstack([rows[parent[child]], rows[child]])
 
 
 # ---- operator ----
@@ -323,7 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def label_marks(marked: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(id, mark) with `component_id`. Equal fingerprints are one node; their rows are never compared."""
     nodes = staged(marked.groupBy("mark").agg(F.min("id").alias("lead")), "nodes")
-    links = near_links(nodes.select("mark"), make_plan(nodes, radius), radius, crowd)
+    links = near_links(nodes.select("mark", F.lit(0).cast("long").alias("detail")), make_plan(nodes, radius), radius, crowd)
     found = components(links, "a", "b")
     labelled = nodes.join(found, nodes["mark"] == found["node"], "left").select(
         "mark", "lead", F.coalesce("component", "mark").alias("group"))
@@ -332,12 +342,63 @@ def label_marks(marked: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     return marked.join(names, "mark")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
-                         words: int = SHINGLE_WORDS) -> DataFrame:
-    """`df` with one row of each group: that of the smallest id (null ids last; of equal ids, one)."""
-    row, mark = own_name(df, "_row"), own_name(df, "_mark")
-    stored = staged(with_fingerprints(df.withColumn(row, F.monotonically_increasing_id()), text_col, mark, words), "rows")
-    marked = stored.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"),
-                           F.col(mark).alias("mark"))
-    kept = label_marks(marked, radius).filter("id = component_id").select(F.col("id.row").alias(row))
-    return stored.join(kept, row, "left_semi").select(*df.columns)
+def shingle_similarity(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the sets of A-Z-lowered word shingles (all words of a shorter text); 1 for two wordless texts."""
+    x, y = (_shingles(t, words) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _shingles(text: str, words: int) -> set[bytes]:
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(tokens[i:i + words]) for i in range(max(len(tokens) - words + 1, min(len(tokens), 1)))}
+
+
+def near_copies(rows: DataFrame, words: int, similarity: float, radius: int, crowd: int = CROWD) -> DataFrame:
+    """(lead, row): the rows to keep of a written table (row, key, text), by the least `key` of each group of near copies.
+
+    Equal texts are one node. Texts link if their word-set fingerprints are within the radius and their shingles'
+    similarity is high enough; the second is checked on whole texts, for the links of the spanning trees.
+    """
+
+    @F.pandas_udf("mark long, detail long")
+    def prints(texts):
+        import pandas as pd
+
+        both = np.array([(word_set_fingerprint(t), fingerprint(t, words)) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"mark": both[:, 0], "detail": both[:, 1]})
+
+    @F.pandas_udf("double")
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([shingle_similarity(x, y, words) for x, y in zip(a, b)], dtype=float)
+
+    marked = rows.withColumn("p", prints("text")).select("key", F.md5("text").alias("text_md5"), "p.mark", "p.detail")
+    texts = staged(marked.groupBy("text_md5", "mark", "detail").agg(F.min("key").alias("key")), "texts")
+    nodes = staged(texts.groupBy("mark", "detail").agg(F.min("key").alias("key")), "nodes")
+    plan = make_plan(nodes.select("mark").distinct(), radius)
+    links = near_links(nodes.select("mark", "detail"), plan, radius, crowd)
+    ends = nodes.select("mark", "detail", F.col("key.row").alias("row"))
+    named = links.join(ends.toDF("a", "a_detail", "x"), ["a", "a_detail"]).join(ends.toDF("b", "b_detail", "y"), ["b", "b_detail"]).select("x", "y")
+    # Different texts of one node, each with the node's first.
+    named = named.unionByName(texts.join(ends.toDF("mark", "detail", "x"), ["mark", "detail"]).select(
+        "x", F.col("key.row").alias("y")).filter("x <> y"))
+    whole = rows.select("row", "text")
+    read = named.join(whole.toDF("x", "x_text"), "x").join(whole.toDF("y", "y_text"), "y")
+    found = components(read.filter(alike("x_text", "y_text") >= similarity).select("x", "y"), "x", "y")
+    grouped = texts.select("key").join(found, F.col("key.row") == F.col("node"), "left")
+    return grouped.groupBy(F.coalesce("component", "key.row").alias("lead")).agg(F.min("key").alias("key")).select("lead", "key.row")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+                         radius: int = 8) -> DataFrame:
+    """`df` with one row of each group of near copies: that of the smallest id (null ids last; of equal ids, one).
+
+    Near copies are texts whose shingles have at least that Jaccard similarity and whose word sets' fingerprints
+    differ in at most `radius` bits, or which such texts connect. Null, empty and blank texts are copies of each other.
+    """
+    row, key = own_name(df, "_row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row"))
+    stored = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    named = stored.select(F.col(row).alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = near_copies(named.select("row", key.alias("key"), "text"), words, similarity, radius)
+    return stored.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*df.columns)

@@ -75,8 +75,8 @@ def test_every_allocation_finds_all_close_pairs(spark, masks):
     _, thresholds = s.allocate([rng.random() * 1e6 for _ in masks], shares, masks, 10_000, 4)
     assert sum(thresholds) == 4 - len(masks) + 1 and sorted(sum((s._bits_of(m) for m in masks), [])) == list(range(64))
     marks = [(i, m) for i, m in enumerate(crowd_of_marks(rng, 60))]
-    df = spark.createDataFrame([(s.signed(m),) for _, m in marks], "mark long").distinct()
-    links = s.near_links(df, s.Plan(masks, thresholds)).collect()
+    df = spark.createDataFrame([(s.signed(m), 0) for _, m in marks], "mark long, detail long").distinct()
+    links = [(r["a"], r["b"]) for r in s.near_links(df, s.Plan(masks, thresholds)).collect()]
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in links)
     parent = {m: m for _, m in marks}
 
@@ -96,11 +96,63 @@ def test_every_allocation_finds_all_close_pairs(spark, masks):
     assert sorted(map(sorted, by_top.values())) == sorted(map(sorted, want.values()))
 
 
-def test_spanning_links_keep_groups_and_stay_few():
+def test_spanning_links_are_a_minimum_spanning_forest():
     rng = random.Random(1)
-    marks = np.array(crowd_of_marks(rng, 500), dtype=np.uint64)
-    a, b = s.spanning_links(marks, 4)
-    assert len(a) < len(set(marks.tolist()))
+    rows = np.array([(m, rng.getrandbits(64)) for m in crowd_of_marks(rng, 150)], dtype=np.uint64)
+    rows = np.unique(rows, axis=0)
+    every = []
+    for i in range(len(rows)):
+        for j in range(i):
+            near, more = (int(np.bitwise_count(rows[i, k] ^ rows[j, k])) for k in (0, 1))
+            if near <= 4:
+                every.append((near + more, i, j))
+    parent, least, n = list(range(len(rows))), 0, 0
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for w, i, j in sorted(every):
+        if top(i) != top(j):
+            parent[top(i)] = top(j)
+            least, n = least + w, n + 1
+    got = s.spanning_links(rows, 4)
+    assert len(got) == n and int(np.bitwise_count(got[:, :2] ^ got[:, 2:]).sum()) == least
+
+
+def test_near_copies_by_similarity(spark):
+    """One row of each group that all pairs of texts with similarity 0.8 or more make."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for group in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(90, 250))]
+        for copy in range(rng.randint(1, 6)):
+            words = base[:]
+            for _ in range(rng.randint(0, 1) if copy else 0):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary).upper()
+            rows.append((len(rows), " ".join(words), group))
+    rows += [(900, rows[0][1], 0), (901, None, 99), (902, "", 99), (903, "short text", 98), (None, "short text", 98)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if s.shingle_similarity(rows[i][1] or "", rows[j][1] or "", 5) >= 0.8:
+                parent[top(i)] = top(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[top(i)].append((r[0] is None, r[0]))
+    want = sorted(min(g)[1] for g in groups.values())
+    out = s.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == want
+    assert s.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_nulls_blanks_long_texts_repeats_and_no_rows(spark):
