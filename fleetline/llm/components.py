@@ -23,20 +23,21 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = staged(edges, "links")
-    before = None
-    while True:
+    while not _are_stars(edges):
         # Large star: every larger neighbour of u is linked to the smallest neighbour of u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.filter("u <> v").distinct(), "links")
+        large = both.join(_nearest(both), "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         least = _nearest(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link upwards, to a node that has none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    wrong = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all")).filter("ups > 0 AND all > 1")
+    return wrong.isEmpty()

@@ -121,16 +121,15 @@ def _co_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0] * BITS + pairs[1]), pa.array(total[pairs].astype(np.int64))], names=["pair", "n"])
 
 
-def bit_statistics(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def bit_statistics(marks: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Share of ones of each bit, and absolute correlations between bits, over all fingerprints."""
     rows = marks.select("mark").mapInArrow(_co_occurrence, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((BITS, BITS))
-    for pair, n in rows:
-        both[pair // BITS, pair % BITS] = both[pair % BITS, pair // BITS] = n
-    n = max(marks.count(), 1)
-    share = np.diag(both) / n
+    for pair, ones in rows:
+        both[pair // BITS, pair % BITS] = both[pair % BITS, pair // BITS] = ones
+    share = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12))
-    related = np.abs(both / n - np.outer(share, share)) / np.outer(spread, spread)
+    related = np.abs(both / max(n, 1) - np.outer(share, share)) / np.outer(spread, spread)
     np.fill_diagonal(related, 0)
     return share, related
 
@@ -189,7 +188,8 @@ def _choose(n: int, k: int) -> int:
 
 def make_plan(marks: DataFrame, radius: int = RADIUS) -> Plan:
     """Parts and thresholds for the distinct fingerprints in column `mark`."""
-    shares, related = bit_statistics(marks)
+    n = marks.count()
+    shares, related = bit_statistics(marks, n)
     options = [correlated_parts(related, m) for m in PART_COUNTS if m <= radius + 1]
     flat = [(i, j, mask) for i, masks in enumerate(options) for j, mask in enumerate(masks)]
     values = F.explode(F.array(*[F.struct(F.lit(i * 16 + j).alias("part"), F.col("mark").bitwiseAND(F.lit(signed(m))).alias("value"))
@@ -197,7 +197,6 @@ def make_plan(marks: DataFrame, radius: int = RADIUS) -> Plan:
     counted = marks.select(values.alias("at")).groupBy("at").count().groupBy("at.part").agg(
         F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
     equal = {r["part"]: r["pairs"] for r in counted.collect()}
-    n = marks.count()
     costs = [(allocate([equal.get(i * 16 + j, 0.0) for j in range(len(masks))], shares, masks, n, radius), masks)
              for i, masks in enumerate(options)]
     (_, thresholds), masks = min(costs, key=lambda c: c[0][0])
