@@ -19,6 +19,7 @@ HEADLINE = (
     "corridor_congestion_hourly", "weather_impact", "station_bottlenecks", "dispatcher_decisions",
     "anomaly_alerts", "trend_forecasts", "flatten_vehicles", "flatten_trip_updates", "snapshot_vehicles",
     "soonest_per_route", "diverse_board_by_stop", "route_shapes", "score_decisions",
+    "asof_join_events", "context_text", "stream_headway", "stream_decisions",
 )
 RUNS = 3
 

@@ -35,6 +35,7 @@ def eta_text(eta: Column) -> Column:
 
 
 def direction_label(code: Column) -> Column:
+    # Labels of the direction codes.
     return (
         F.when(code == "N", "Uptown").when(code == "S", "Downtown")
         .when(code == "0", "→").when(code == "1", "←")

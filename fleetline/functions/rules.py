@@ -95,6 +95,7 @@ def weather_risk(precipitation: Column, wind: Column) -> Column:
 
 
 def bottleneck_severity(crowd: Column, kind: Column, severity: Column) -> Column:
+    # Severities and their conditions.
     return (
         F.when((crowd == "SURGE") & (kind == "GAP"), "CRITICAL")
         .when(crowd.isin("HIGH", "SURGE") | (severity == "HIGH"), "ELEVATED")
@@ -103,6 +104,7 @@ def bottleneck_severity(crowd: Column, kind: Column, severity: Column) -> Column
 
 
 def bottleneck_recommendation(crowd: Column, kind: Column) -> Column:
+    # Recommendation texts and their conditions.
     return (
         F.when((crowd == "SURGE") & (kind == "GAP"), "DEPLOY GAP FILL & PLATFORM CROWD CONTROL")
         .when((crowd == "SURGE") & (kind == "BUNCHING"), "HOLD LEADING TRAIN TO ABSORB PASSENGERS")

@@ -1,13 +1,16 @@
 """Dispatcher decisions with a pluggable text model, and batch copilots.
 
-A responder is a function from a batch of prompts (pandas Series) to a batch of answers. Without one the
-package answers from a fixed template, computed as a column expression.
+A responder is a function from a batch of prompts (pandas Series) to a batch of answers. One with a parameter `spec`
+is also told what the prompts are for: instructions, provider and limits. Without a responder the package answers from
+a fixed template, computed as a column expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import inspect
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,10 +91,19 @@ def template_answer(alerts: DataFrame, name: str = "response") -> DataFrame:
         F.lit("\nReasoning: "), reason))
 
 
-def run_agent(df: DataFrame, prompt: str, responder: Responder, name: str = "response",
-              max_iterations: int = 3, partitions: int | None = None) -> DataFrame:
-    """Adds the responder's answer. Blank answers are asked again, `max_iterations` times in all.
+def _told(responder: Responder, spec: AgentSpec | None) -> Responder:
+    """The responder with its spec, if it wants one."""
+    wants = spec is not None and "spec" in inspect.signature(responder).parameters
+    return partial(responder, spec=spec) if wants else responder
 
+
+def run_agent(df: DataFrame, prompt: str, responder: Responder, name: str = "response", max_iterations: int | None = None,
+              partitions: int | None = None, spec: AgentSpec | Mapping[str, AgentSpec] | None = None,
+              kind: str | None = None) -> DataFrame:
+    """Adds the responder's answer. Blank answers are asked again, `max_iterations` times in all (the spec's, or 3).
+
+    With a mapping of specs, the column `kind` says which one a row's prompt is for; prompts of one kind are asked
+    together, and rows of an unknown kind are not asked.
     `partitions` sets how many tasks ask at once; without it the upstream partitions are used, which
     Spark sizes by bytes and not by the time a model takes. Write the result before using it twice: a
     model may answer differently when Spark recomputes the plan.
@@ -99,31 +111,37 @@ def run_agent(df: DataFrame, prompt: str, responder: Responder, name: str = "res
     if partitions:
         df = df.repartition(partitions, prompt)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
+    specs = dict(spec) if isinstance(spec, Mapping) else {None: spec}
+    asking = {k: (_told(responder, s), max_iterations or (s.max_iterations if s else 3)) for k, s in specs.items()}
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             replies = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            open_rows = batch[prompt].notna()
-            for _ in range(max_iterations):
-                if not open_rows.any():
-                    break
-                asked = batch.loc[open_rows, prompt]
-                replies.loc[open_rows] = list(responder(asked))
-                blank = replies.isna() | (replies.astype("string").str.strip().fillna("") == "")
-                open_rows = open_rows & blank
+            for key, (ask, times) in asking.items():
+                open_rows = batch[prompt].notna() & (True if key is None else batch[kind] == key)
+                for _ in range(times):
+                    if not open_rows.any():
+                        break
+                    replies.loc[open_rows] = list(ask(batch.loc[open_rows, prompt]))
+                    blank = replies.isna() | (replies.astype("string").str.strip().fillna("") == "")
+                    open_rows = open_rows & blank
             yield batch.assign(**{name: replies})
 
     return df.mapInPandas(answer, schema)
 
 
-def register_agent_function(spark: SparkSession, responder: Responder, name: str = "run_agent") -> None:
-    """Makes the responder callable as `FROM alerts, LATERAL run_agent(prompt)` in SQL."""
+def register_agent_function(spark: SparkSession, responder: Responder, name: str = "run_agent",
+                            spec: AgentSpec | None = None) -> None:
+    """Makes the responder a SQL function of a prompt, as in `FROM alerts, LATERAL (SELECT run_agent(prompt) AS response)`.
 
-    class Agent:
-        def eval(self, prompt: str):
-            yield (responder(pd.Series([prompt])).iloc[0],)
+    It gets whole Arrow batches of prompts, never single rows.
+    """
+    ask = _told(responder, spec)
 
-    spark.udtf.register(name, F.udtf(Agent, returnType="response string"))
+    def answer(prompts: pd.Series) -> pd.Series:
+        return ask(prompts)
+
+    spark.udf.register(name, F.pandas_udf(answer, "string"))
 
 
 def parse_response(df: DataFrame, response: str = "response") -> DataFrame:
@@ -136,11 +154,12 @@ def parse_response(df: DataFrame, response: str = "response") -> DataFrame:
 
 
 def dispatcher_decisions(alerts: DataFrame, responder: Responder | None = None,
-                         max_iterations: int = 3, partitions: int | None = None) -> DataFrame:
+                         max_iterations: int | None = None, partitions: int | None = None,
+                         spec: AgentSpec = DISPATCHER) -> DataFrame:
     """One decision per distinct alert. The action comes from the rules, never from the answer."""
     asked = dispatcher_prompt(dedup_alerts(alerts))
     answered = (template_answer(asked) if responder is None
-                else run_agent(asked, "prompt", responder, max_iterations=max_iterations, partitions=partitions))
+                else run_agent(asked, "prompt", responder, max_iterations=max_iterations, partitions=partitions, spec=spec))
     return parse_response(answered).select(
         "route_id", "direction", "stop_id", "curr_trip", "prev_trip", "stop_name", "stop_lat", "stop_lon",
         "alert_type", "severity", "headway_seconds", "arrival_time",
@@ -149,18 +168,18 @@ def dispatcher_decisions(alerts: DataFrame, responder: Responder | None = None,
         F.col("response").alias("raw_response"))
 
 
-# Request kinds; a responder that serves several kinds picks its instructions and limits here.
+# Request kinds, with what a responder is told for each. A request is asked once.
 COPILOTS = {
-    "rider": AgentSpec("rider_advisor", "Advise a rider from the live state only; be short and calm."),
-    "operator": AgentSpec("operator_insight", "Tell operators current risks, what comes next and what to do.", max_tokens=2200),
-    "route": AgentSpec("route_designer", "Propose one bus route as a JSON object with name, waypoints, stops, rationale and connections.", max_tokens=4096),
+    "rider": AgentSpec("rider_advisor", "Advise a rider from the live state only; be short and calm.", max_iterations=1),
+    "operator": AgentSpec("operator_insight", "Tell operators current risks, what comes next and what to do.",
+                          max_tokens=2200, max_iterations=1),
+    "route": AgentSpec("route_designer", "Propose one bus route as a JSON object with name, waypoints, stops, rationale and "
+                       "connections.", max_tokens=4096, max_iterations=1),
 }
 
 
 def copilot_prompt(requests: DataFrame, context: DataFrame, name: str = "prompt") -> DataFrame:
     """Adds the prompt of each request; `context` has one row with a `text` column."""
-    state = context.select(F.max("text")).scalar()
-
     def given(column: str) -> Column:
         return F.trim(F.coalesce(F.col(column), F.lit("")))
 
@@ -170,25 +189,26 @@ def copilot_prompt(requests: DataFrame, context: DataFrame, name: str = "prompt"
     trip = F.when((origin != "") | (destination != ""),
                   F.concat(F.lit("Trip: from '"), start, F.lit("' to '"), end, F.lit("'.")))
     ask = F.when(question != "", F.concat(F.lit("Rider asks: "), question))
+    state = F.col("_state")
     rider = F.concat_ws("\n", trip, ask, F.concat(F.lit("\nLIVE SYSTEM STATE:\n"), state))
     task = blank_to(question, F.lit(
-        "Assess current service health, predict what will degrade next, and recommend the "
-        "highest-impact operational actions."))
+        "How is service now, what is about to get worse, and what should operators do first?"))
     operator = F.concat(F.lit("Operator asks: "), task, F.lit("\n\nLIVE SYSTEM STATE:\n"), state)
     goals = F.when(given("constraints") != "", F.concat(F.lit("Constraints/goals: "), given("constraints")))
     route = F.concat_ws(
         "\n", F.concat(F.lit("Design a bus route from '"), start, F.lit("' to '"), end, F.lit("'.")), goals,
         F.concat(F.lit("\nLIVE SYSTEM STATE (for demand/gap signals):\n"), state))
-    return requests.withColumn(name, F.when(F.col("kind") == "rider", rider)
-                               .when(F.col("kind") == "operator", operator)
-                               .when(F.col("kind") == "route", route))
+    # The text is computed once, into a column; the prompts of all kinds read it there.
+    stated = requests.withColumn("_state", context.select(F.max("text")).scalar())
+    return stated.withColumn(name, F.when(F.col("kind") == "rider", rider).when(F.col("kind") == "operator", operator)
+                             .when(F.col("kind") == "route", route)).drop("_state")
 
 
 def answer_requests(requests: DataFrame, context: DataFrame, responder: Responder,
-                    max_iterations: int = 1) -> DataFrame:
+                    specs: Mapping[str, AgentSpec] = COPILOTS) -> DataFrame:
     """One row per request: ok, answer or proposal, or an error."""
     asked = copilot_prompt(requests, context)
-    answered = parse_route_proposals(run_agent(asked, "prompt", responder, "answer", max_iterations), "answer")
+    answered = parse_route_proposals(run_agent(asked, "prompt", responder, "answer", spec=specs, kind="kind"), "answer")
     answered = proposal_geojson(answered)
     got = blank_to(F.trim("answer"), F.lit(None)).isNotNull()
     is_route = F.col("kind") == "route"

@@ -38,7 +38,7 @@ def corridor_congestion(buses: DataFrame, window: str = "1 minute", ts: str = "e
 
 
 def fleet_counts(vehicles: DataFrame, alerts: DataFrame, surges: DataFrame) -> DataFrame:
-    """One row: vehicles per mode, live routes, alerts and crowded stations."""
+    """One row: vehicles per mode, live routes, all rows of `alerts`, and crowded stations."""
     fleet = vehicles.agg(
         F.count_if(F.col("mode") == "subway").alias("trains"),
         F.count_if(F.col("mode") == "bus").alias("buses"),

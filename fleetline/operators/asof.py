@@ -17,7 +17,10 @@ from fleetline.functions.times import duration_seconds, time_slice
 from fleetline.operators.dedup import top_per_group
 
 SLICE = "_slice"
+SALT = "_salt"
 SLICES_PER_TOLERANCE = 6
+#: Tasks that the left rows of one slice are spread over where no key does it. Each gets a copy of the slice's right rows.
+SALTS_WITHOUT_KEYS = 16
 
 
 def _reachable(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -27,17 +30,20 @@ def _reachable(df: DataFrame, first: int, last: int) -> DataFrame:
 
 def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance: str | int,
               keys: Sequence[str] = (), entity: Sequence[str] = (), ties: Sequence[str] = (),
-              width: str | int | None = None) -> DataFrame:
+              width: str | int | None = None, salts: int | None = None) -> DataFrame:
     """Left rows with the newest right row at or before them, at most `tolerance` old (inner).
 
     `width` is the slice width, a sixth of the tolerance unless given; narrower slices spread one key over
     more tasks and carry one more row each. `keys` are equal on both sides. `entity` columns exist on the right only: a left row then gets one
     result per entity of its key that has a fresh enough row. `ties` orders right rows of equal time.
+    `salts` spreads the left rows of one (key, slice) over as many tasks and copies its right rows to each; without
+    keys it is `SALTS_WITHOUT_KEYS`, else 1. Give it where one key holds many left rows and few right ones.
     Right columns keep their names; they must not collide with left ones apart from `keys`.
     """
     limit = duration_seconds(tolerance)
     step = duration_seconds(width) if width else max(1, limit // SLICES_PER_TOLERANCE)
     reach = -(-limit // step)
+    salts = salts or (1 if keys else SALTS_WITHOUT_KEYS)
     group = [*keys, *entity]
     payload = [c for c in right.columns if c not in keys]
 
@@ -57,14 +63,15 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, to
     right_row = F.struct(*payload)
     no_left = F.lit(None).cast(left.select(left_row.alias("x")).schema["x"].dataType)
     no_right = F.lit(None).cast(right.select(right_row.alias("x")).schema["x"].dataType)
-    rows = readings.unionByName(carried).select(
-        *group, SLICE, F.col(right_ts).cast("timestamp").alias("_at"), F.lit(0).alias("_side"),
+    rows = readings.unionByName(carried).withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+        *group, SLICE, SALT, F.col(right_ts).cast("timestamp").alias("_at"), F.lit(0).alias("_side"),
         no_left.alias("_left"), right_row.alias("_right"))
+    seekers = seekers.withColumn(SALT, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     rows = rows.unionByName(seekers.select(
-        *group, SLICE, F.col(left_ts).cast("timestamp").alias("_at"), F.lit(1).alias("_side"),
+        *group, SLICE, SALT, F.col(left_ts).cast("timestamp").alias("_at"), F.lit(1).alias("_side"),
         left_row.alias("_left"), no_right.alias("_right")))
 
-    window = (Window.partitionBy(*group, SLICE)
+    window = (Window.partitionBy(*group, SLICE, SALT)
               .orderBy("_at", "_side", *[F.col(f"_right.{t}") for t in ties])
               .rowsBetween(Window.unboundedPreceding, 0))
     found = rows.withColumn("_right", F.last("_right", ignorenulls=True).over(window))

@@ -56,10 +56,10 @@ def route_shapes(shapes: DataFrame, trips: DataFrame, routes: DataFrame, order:
 
 
 def to_geojson_features(points: DataFrame, mode: str = "subway", max_points: int = 20000) -> DataFrame:
-    """One line feature per route, as text.
+    """Line features as text, each with its `part` of the route's line, from 0.
 
-    A line longer than `max_points` continues in further features numbered by `part`; neighbours share
-    their border point, so no stretch is lost and no row grows with the data.
+    A part ends after `max_points` points; neighbours share their border point, so no stretch is lost and no row
+    grows with the data. Short lines are part 0 alone.
     """
     part = F.floor(F.col("position") / max_points).cast("long")
     border = (F.col("position") > 0) & (F.col("position") % max_points == 0)
@@ -69,6 +69,6 @@ def to_geojson_features(points: DataFrame, mode: str = "subway", max_points: int
     lines = lines.filter(F.size("_line") >= 2)
     coordinates = F.transform("_line", lambda p: F.array(p["lon"], p["lat"]))
     properties = F.struct("route_id", F.col("route_id").alias("route_short"), F.lit(mode).alias("mode"),
-                          "color", F.when(F.col("_part") > 0, F.col("_part")).alias("part"))
+                          "color", F.col("_part").alias("part"))
     return lines.select("route_id", F.col("_part").alias("part"),
                         line_feature(coordinates, properties).alias("feature"))

@@ -14,16 +14,15 @@ from pyspark.sql import functions as F
 
 from fleetline.functions.rules import BUNCH_BELOW, GAP_ABOVE
 from fleetline.operators.sequence import (
-    MAX_SLICE_ROWS, STOP_KEYS, slice_window, with_carried_rows, without_carried_rows)
+    LONG_SLICE, STOP_KEYS, slice_window, with_carried_rows, without_carried_rows)
 
 
 def detect_anomalies(df: DataFrame, value: str = "headway_seconds", partition: Sequence[str] = STOP_KEYS,
                      order: Sequence[str] = ("arrival_time", "curr_trip"), min_n: int = 12, max_n: int = 100,
-                     confidence: float = 0.99, width: str | int | None = None,
-                     max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+                     confidence: float = 0.99, width: str | int = LONG_SLICE) -> DataFrame:
     """Adds actual_value, lower_bound, upper_bound and is_anomaly; bounds are null before `min_n` rows."""
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    padded = with_carried_rows(df, partition, order, max_n, width, max_rows)
+    padded = with_carried_rows(df, partition, order, max_n, width)
     before = slice_window(partition, order).rowsBetween(-max_n, -1)
     x = F.col(value).cast("double")
     enough = F.count(x).over(before) >= min_n
@@ -51,13 +50,13 @@ def anomaly_alerts(headways: DataFrame, **options) -> DataFrame:
 
 def forecast_next(df: DataFrame, value: str = "headway_seconds", partition: Sequence[str] = STOP_KEYS,
                   order: Sequence[str] = ("arrival_time", "curr_trip"), min_n: int = 12, max_n: int = 100,
-                  horizon: int = 1, width: str | int | None = None, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+                  horizon: int = 1, width: str | int = LONG_SLICE) -> DataFrame:
     """Adds forecast_value: the fitted line `horizon` rows ahead, null before `min_n` rows.
 
     Rows without a value are left out. Rows are numbered, so with x counted back from the current row the
     sums over x are known and only two sums over the values are needed.
     """
-    padded = with_carried_rows(df.filter(F.col(value).isNotNull()), partition, order, max_n - 1, width, max_rows)
+    padded = with_carried_rows(df.filter(F.col(value).isNotNull()), partition, order, max_n - 1, width)
     window = slice_window(partition, order)
     latest = window.rowsBetween(-(max_n - 1), 0)
     y, x = F.col(value).cast("double"), F.col("_x")

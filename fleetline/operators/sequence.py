@@ -9,8 +9,7 @@ still sees the true predecessors across slice borders:
 3. the data plus the carried rows, one shuffle on (key, slice), ordinary window functions.
 
 Step 2 orders n rows per slice of a key: its size follows the number of slices, not the row count.
-Slices have a fixed width, or, without one, only keys above a row count are cut at all. The fixed width
-saves a count and fits short look-backs; long look-backs over many quiet keys want the second form.
+All keys are cut by the same width: an hour for short look-backs, `LONG_SLICE` for long ones.
 """
 
 from __future__ import annotations
@@ -21,14 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetline.functions.rules import BUNCH_BELOW, GAP_ABOVE, forecast_type
-from fleetline.functions.times import epoch_seconds, seconds_between, time_slice
+from fleetline.functions.times import seconds_between, time_slice
 
 SLICE = "_slice"
 CARRIED = "_carried"
 _RANK = "_rank"
 
 
-MAX_SLICE_ROWS = 1_000_000
+#: Slice width for long look-backs. A slice should hold several times the look-back of a usual key, as each carries
+#: that many rows more.
+LONG_SLICE = "7 days"
 
 
 def _tails(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -36,41 +37,20 @@ def _tails(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn(_RANK, F.row_number().over(newest)).filter(F.col(_RANK) <= n).drop(_RANK)
 
 
-def _cut_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int) -> DataFrame:
-    """Slices of about `max_rows` rows for keys with more than that; null for all other keys.
-
-    The joined side has at most (all rows / max_rows) rows. Spark broadcasts it only when it is small.
-    """
-    at = epoch_seconds(ts)
-    busy = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")).filter(F.col("_n") > max_rows)
-    width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / max_rows))
-    busy = busy.select(*[f"_k{i}" for i in range(len(keys))], "_from", width.alias("_width"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    number = F.floor((at - F.col("_from")) / F.col("_width")).cast("long")
-    return df.join(busy, same, "left").select(*df.columns, number.alias(SLICE))
-
-
 def with_carried_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-                      width: str | int | None = "1 hour", max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+                      width: str | int = "1 hour") -> DataFrame:
     """`df` with a slice number, plus up to `n` predecessor rows (flagged) at the head of each slice.
 
-    The first column of `order` is the time. `width=None` cuts only keys of more than `max_rows` rows.
+    The first column of `order` is the time.
     """
     columns = df.columns
-    if width is None:
-        sliced = _cut_busy_keys(df, keys, order[0], max_rows)
-        cut = sliced.filter(F.col(SLICE).isNotNull())
-    else:
-        sliced = cut = df.withColumn(SLICE, time_slice(order[0], width))
-    tails = _tails(cut, keys, order, n)
-    along_key = Window.partitionBy(*keys).orderBy(SLICE, *order)
-    marked = tails.withColumn("_last_slice", F.lag(SLICE).over(along_key))
-    heads = F.col("_last_slice") < F.col(SLICE)
+    sliced = df.withColumn(SLICE, time_slice(order[0], width))
+    tails = _tails(sliced, keys, order, n)
     out = sliced.withColumn(CARRIED, F.lit(False))
     if n <= 4:
+        along_key = Window.partitionBy(*keys).orderBy(SLICE, *order)
+        marked = tails.withColumn("_last_slice", F.lag(SLICE).over(along_key))
+        heads = F.col("_last_slice") < F.col(SLICE)
         # Column by column, so that columns nobody uses are pruned here as in the data itself and both
         # read the same shuffle.
         for back in range(1, n + 1):
@@ -80,11 +60,14 @@ def with_carried_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                               *[F.lag(c, back).over(along_key).alias(c) for c in columns])
                 .filter("_heads AND _found").drop("_heads", "_found"))
         return out
-    before = F.collect_list(F.struct(*columns)).over(along_key.rowsBetween(-n, -1))
+    # One row for each slice holds its last rows; the n before a slice are the last of up to n slices before it.
+    row = F.struct(*order, *[c for c in columns if c not in order])
+    by_slice = tails.groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    earlier = F.flatten(F.collect_list("_rows").over(Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-n, -1)))
+    newest = F.slice("_before", F.greatest(F.size("_before") - n + 1, F.lit(1)), n)
     return out.unionByName(
-        marked.withColumn("_before", before).filter(heads)
-        .select(SLICE, F.lit(True).alias(CARRIED), F.explode("_before").alias("_row"))
-        .select(SLICE, CARRIED, "_row.*"))
+        by_slice.select(SLICE, earlier.alias("_before")).select(SLICE, F.explode(newest).alias("_row"))
+        .select(SLICE, F.lit(True).alias(CARRIED), "_row.*"))
 
 
 def slice_window(keys: Sequence[str], order: Sequence[str]):
@@ -102,7 +85,7 @@ Row = Callable[[str], Column]
 def match_consecutive(df: DataFrame, partition: Sequence[str], order: Sequence[str],
                       steps: Sequence[str], define: Mapping[str, Callable[[Mapping[str, Row]], Column]],
                       measures: Mapping[str, Callable[[Mapping[str, Row]], Column]],
-                      width: str | int | None = "1 hour") -> DataFrame:
+                      width: str | int = "1 hour") -> DataFrame:
     """Fixed-length contiguous pattern, one match attempt per row.
 
     `steps` names the rows of the pattern, oldest first. `define` and `measures` receive a mapping from
@@ -130,7 +113,7 @@ STOP_KEYS = ("route_id", "direction", "stop_id")
 
 
 def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-            entity: str = "trip_id", width: str | int | None = "1 hour") -> DataFrame:
+            entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
     """Seconds between consecutive arrivals of different vehicles at the same stop."""
     return match_consecutive(
         arrivals, partition, (order, entity), ("A", "B"),
@@ -149,7 +132,7 @@ def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: st
 
 
 def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-                     entity: str = "trip_id", width: str | int | None = "1 hour") -> DataFrame:
+                     entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
     """Two consecutive headways and their straight-line continuation."""
     pairs = match_consecutive(
         arrivals, partition, (order, entity), ("A", "B", "C"),
@@ -171,7 +154,7 @@ def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS,
 
 
 def headway_forecast(arrivals: DataFrame, bunch: int = BUNCH_BELOW, gap: int = GAP_ABOVE,
-                     width: str | int | None = "1 hour") -> DataFrame:
+                     width: str | int = "1 hour") -> DataFrame:
     """Triplets whose next headway is about to cross a bound."""
     kind = forecast_type(F.col("predicted_headway"), F.col("headway_seconds"), bunch, gap)
     return (

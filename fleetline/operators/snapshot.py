@@ -14,8 +14,8 @@ from fleetline.operators.aggregate import fleet_counts, is_live
 from fleetline.operators.dedup import dedup_last, top_per_group
 
 # Seconds a row stays valid, and list lengths.
-TTL = {"vehicles": 180, "arrivals": 120, "forecasts": 150, "surges": 180, "weather": 1800}
-LIMITS = {"vehicles": 1500, "arrivals": 120, "alerts": 60, "decisions": 60, "forecasts": 40}
+TTL = {"vehicles": 180, "arrivals": 120, "forecasts": 150, "surges": 180, "weather": 1800, "alerts": 3600}
+LIMITS = {"vehicles": None, "arrivals": 120, "alerts": 60, "decisions": 60, "forecasts": None}
 
 
 def fresh(df: DataFrame, ts: str, ttl: int | float, as_of) -> DataFrame:
@@ -60,8 +60,11 @@ def live_vehicles(positions: DataFrame, buses: DataFrame, as_of, ttl: int = TTL[
     return dedup_last(vehicles, ["mode", "trip_id"], "seen", ("stop_id", "status"))
 
 
-def vehicles_snapshot(vehicles: DataFrame, limit: int = LIMITS["vehicles"]) -> DataFrame:
-    return vehicles.orderBy("mode", "trip_id").limit(limit)
+def vehicles_snapshot(vehicles: DataFrame, limit: int | None = LIMITS["vehicles"]) -> DataFrame:
+    """All vehicles by mode and trip, or the `limit` seen last."""
+    if limit is not None:
+        return vehicles.orderBy(F.desc("seen"), "mode", "trip_id").limit(limit)
+    return vehicles.orderBy("mode", "trip_id")
 
 
 def eta_at(df: DataFrame, as_of, seen: str = "event_time", high: int = 1800) -> DataFrame:
@@ -123,8 +126,11 @@ def latest_forecasts(forecasts: DataFrame, as_of, ttl: int | float = TTL["foreca
 
 
 def forecast_snapshot(forecasts: DataFrame, as_of, ttl: int | float = TTL["forecasts"],
-                      limit: int = LIMITS["forecasts"]) -> DataFrame:
-    return latest_forecasts(forecasts, as_of, ttl).orderBy("route_id", "direction", "stop_id").limit(limit).select(
+                      limit: int | None = LIMITS["forecasts"]) -> DataFrame:
+    """All valid forecasts by stop, or the `limit` newest."""
+    by_stop, latest = ("route_id", "direction", "stop_id"), latest_forecasts(forecasts, as_of, ttl)
+    shown = latest.orderBy(*by_stop) if limit is None else latest.orderBy(F.desc("arrival_time"), *by_stop).limit(limit)
+    return shown.select(
         "route_id", "direction", "stop_id", "stop_name", F.col("stop_lat").alias("lat"),
         F.col("stop_lon").alias("lon"), "curr_trip", "forecast_type",
         F.coalesce("headway_seconds", F.lit(0)).alias("headway_seconds"),
@@ -186,8 +192,9 @@ def normalize_weather(weather: DataFrame, keep: Sequence[str] = ()) -> DataFrame
 
 def weather_snapshot(weather: DataFrame, as_of, ttl: int | float = TTL["weather"], observed: str = "event_time") -> DataFrame:
     """The newest valid observation, as at most one row."""
-    newest = fresh(weather, observed, ttl, as_of).orderBy(F.col(observed).desc()).limit(1)
-    return normalize_weather(newest)
+    valid = normalize_weather(fresh(weather, observed, ttl, as_of), (observed,))
+    ties = [c for c in valid.columns if c != observed]
+    return valid.orderBy(F.col(observed).desc(), *ties).limit(1).select(*ties)
 
 
 def snapshot(tables: Mapping[str, DataFrame], as_of, ttl: Mapping[str, int] | None = None,
@@ -215,6 +222,6 @@ def snapshot(tables: Mapping[str, DataFrame], as_of, ttl: Mapping[str, int] | No
         "forecasts": forecast_snapshot(tables["headway_forecast"], as_of, age["forecasts"], cap["forecasts"]),
         "weather": weather_snapshot(tables["weather_events"], as_of, age["weather"]),
         "surges": surges,
-        "counts": fleet_counts(vehicles, alerts, surges),
+        "counts": fleet_counts(vehicles, fresh(tables["headway_alerts"], "arrival_time", age["alerts"], as_of), surges),
         "live": is_live({k: (tables[k], ts) for k, ts in time_columns.items()}, as_of, live_within),
     }

@@ -43,10 +43,11 @@ def first_arrivals(positions: DataFrame, service_date: bool = False) -> DataFram
     `service_date` adds the calendar day to the key, for trip ids that repeat every day.
     """
     stopped = positions.filter(F.col("current_status") == "STOPPED_AT").select(*STOP_COLUMNS, "event_time")
+    ties = ("route_id", "direction", "stop_name")
     if not service_date:
-        return dedup_first(stopped, ["trip_id", "stop_id"], "event_time")
+        return dedup_first(stopped, ["trip_id", "stop_id"], "event_time", ties)
     dated = stopped.withColumn("_day", F.to_date("event_time"))
-    return dedup_first(dated, ["trip_id", "stop_id", "_day"], "event_time").drop("_day")
+    return dedup_first(dated, ["trip_id", "stop_id", "_day"], "event_time", ties).drop("_day")
 
 
 def headway_alerts(headways: DataFrame, bunch: int = rules.BUNCH_BELOW, gap: int = rules.GAP_ABOVE,

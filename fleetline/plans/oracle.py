@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-from fleetline.functions.display import WEATHER_TEXT
-from fleetline.sources import feeds
-
 _COMMON: dict[str, str] = {}
 _CHECKS: dict[str, str] = {}
 
@@ -28,7 +25,7 @@ SELECT 'T' || user_id || '@' || strftime(ts, '%Y%m%d') AS trip_id, 'CITY_R' || (
 _COMMON["arr"] = """
 SELECT trip_id, route_id, direction, stop_id, stop_name, stop_lat, stop_lon, event_time FROM pos
 WHERE current_status = 'STOPPED_AT'
-QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY event_time) = 1"""
+QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY event_time, route_id, direction, stop_name) = 1"""
 _COMMON["hw"] = """
 SELECT route_id, direction, stop_id, stop_name, stop_lat, stop_lon, lag(trip_id) OVER w AS prev_trip,
   trip_id AS curr_trip, date_sub('second', lag(event_time) OVER w, event_time) AS headway_seconds,
@@ -169,7 +166,27 @@ _COMMON["crowd"] = """
 SELECT * FROM (SELECT * FROM sg WHERE event_time >= epoch_ms(TIMESTAMP '2024-01-30')
   QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY event_time DESC, taps_per_minute DESC, line DESC) = 1)
 WHERE crowd_level IN ('SURGE', 'HIGH')"""
-_WMO = " ".join(f"WHEN {code} THEN '{text}'" for code, text in WEATHER_TEXT.items())
+# Texts of the weather codes.
+_WMO = """
+    WHEN 0 THEN 'Clear Sky'
+    WHEN 1 THEN 'Mainly Clear'
+    WHEN 2 THEN 'Partly Cloudy'
+    WHEN 3 THEN 'Overcast'
+    WHEN 45 THEN 'Foggy'
+    WHEN 48 THEN 'Rime Fog'
+    WHEN 51 THEN 'Light Drizzle'
+    WHEN 53 THEN 'Drizzle'
+    WHEN 55 THEN 'Heavy Drizzle'
+    WHEN 61 THEN 'Light Rain'
+    WHEN 63 THEN 'Rain'
+    WHEN 65 THEN 'Heavy Rain'
+    WHEN 71 THEN 'Light Snow'
+    WHEN 73 THEN 'Snow'
+    WHEN 75 THEN 'Heavy Snow'
+    WHEN 80 THEN 'Rain Showers'
+    WHEN 81 THEN 'Heavy Showers'
+    WHEN 95 THEN 'Thunderstorm'
+"""
 _COMMON["wn"] = f"""
 SELECT event_id, event_time, round_even(temp, 1) AS temp_c, round_even(temp * 9 / 5 + 32, 1) AS temp_f,
   CASE coalesce(code, 0) {_WMO} ELSE 'Partly Cloudy' END AS condition,
@@ -184,7 +201,7 @@ SELECT curr_trip, prev_trip, stop_id, alert_type, headway_seconds, 'SERVICE ALER
 _COMMON["prop"] = """
 SELECT doc_id, lang, source, doc_id % 7 AS form, 40.25 + (n_chars % 64) / 64.0::DOUBLE AS a1, -74.25 + (doc_id % 32) / 32.0::DOUBLE AS o1,
   doc_id % 5 <> 0 AS has2, 40.25 + (n_chars * 2 % 64) / 64.0::DOUBLE AS a2, -74.25 + (doc_id * 2 % 32) / 32.0::DOUBLE AS o2,
-  40.25 + (n_chars * 3 % 64) / 64.0::DOUBLE AS a3, -74.25 + (doc_id * 3 % 32) / 32.0::DOUBLE AS o3 FROM documents"""
+  40.25 + (n_chars * 3 % 64) / 64.0::DOUBLE AS a3, -74.25 + (doc_id * 3 % 32) / 32.0::DOUBLE AS o3, "text" FROM documents"""
 _COMMON["okprop"] = """
 SELECT * FROM (SELECT *, list_filter([[o1, a1], CASE WHEN has2 THEN [o2, a2] ELSE [0.0, 0.0] END, [o3, a3]],
     lambda p: p[2] BETWEEN 40.3 AND 41.1 AND p[1] BETWEEN -74.3 AND -73.6) AS pts FROM prop)"""
@@ -211,7 +228,7 @@ _CHECKS["first_arrivals"] = "SELECT * FROM arr"
 _CHECKS["first_arrivals_by_service_date"] = """
 SELECT trip_id, route_id, direction, stop_id, stop_name, stop_lat, stop_lon, event_time FROM pos
 WHERE current_status = 'STOPPED_AT'
-QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id, event_time::DATE ORDER BY event_time) = 1"""
+QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id, event_time::DATE ORDER BY event_time, route_id, direction, stop_name) = 1"""
 _CHECKS["headway"] = "SELECT * FROM hw"
 _CHECKS["headway_alerts"] = "SELECT * FROM al"
 _CHECKS["headway_triplets"] = "SELECT * FROM trip3"
@@ -287,7 +304,7 @@ WITH r AS (SELECT doc_id, CASE doc_id % 4
 SELECT doc_id, trim(nullif(regexp_extract(t, '\*{0,2}Action:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS llm_action,
   trim(nullif(regexp_extract(t, '\*{0,2}Dispatcher Note:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS dispatcher_note,
   trim(nullif(regexp_extract(t, '\*{0,2}Rider Message:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS rider_message,
-  coalesce(length(trim(nullif(regexp_extract(t, '\*{0,2}Reasoning:\*{0,2}\s*([\s\S]+?)$', 1), ''), ' ')), 0) AS reasoning_chars
+  trim(nullif(regexp_extract(t, '\*{0,2}Reasoning:\*{0,2}\s*([\s\S]+?)$', 1), ''), ' ') AS reasoning
 FROM r"""
 _CHECKS["decision_outbox"] = """
 SELECT '{"route_id":"' || route_id || '","direction":"' || direction || '","stop_id":"' || stop_id || '","curr_trip":"' ||
@@ -329,7 +346,7 @@ SELECT route_id, direction, stop_id, stop_name, stop_lat, stop_lon, curr_trip, h
   trunc(v)::BIGINT AS predicted_headway, CASE WHEN v < 150 THEN 'PREDICTED_BUNCHING' ELSE 'PREDICTED_GAP' END AS forecast_type, arrival_time
 FROM f WHERE v < 150 OR v > 900"""
 _CHECKS["route_proposals"] = """
-SELECT doc_id, CASE WHEN ok THEN 'Line ' || doc_id END AS name, CASE WHEN ok THEN 'from ' || source END AS rationale,
+SELECT doc_id, CASE WHEN ok THEN 'Line ' || doc_id END AS name, CASE WHEN ok THEN coalesce("text", '') END AS rationale,
   CASE WHEN ok THEN lang END AS stops, CASE WHEN ok THEN len(pts) ELSE 0 END AS points
 FROM (SELECT *, form NOT IN (0, 1) AND len(pts) >= 2 AS ok FROM okprop)"""
 _CHECKS["proposal_geojson"] = """
@@ -350,7 +367,7 @@ _CHECKS["copilot_prompts"] = """
 WITH c AS (SELECT count(*) || ' events' AS t FROM events)
 SELECT request_id, CASE kind
   WHEN 'rider' THEN 'Trip: from ''' || trim(role, ' ') || ''' to ''?''.' || CASE WHEN trim(question, ' ') <> '' THEN chr(10) || 'Rider asks: ' || trim(question, ' ') ELSE '' END || chr(10) || chr(10) || 'LIVE SYSTEM STATE:' || chr(10) || t
-  WHEN 'operator' THEN 'Operator asks: ' || CASE WHEN trim(question, ' ') <> '' THEN trim(question, ' ') ELSE 'Assess current service health, predict what will degrade next, and recommend the highest-impact operational actions.' END || chr(10) || chr(10) || 'LIVE SYSTEM STATE:' || chr(10) || t
+  WHEN 'operator' THEN 'Operator asks: ' || CASE WHEN trim(question, ' ') <> '' THEN trim(question, ' ') ELSE 'How is service now, what is about to get worse, and what should operators do first?' END || chr(10) || chr(10) || 'LIVE SYSTEM STATE:' || chr(10) || t
   ELSE 'Design a bus route from ''' || trim(role, ' ') || ''' to ''?''.' || chr(10) || chr(10) || 'LIVE SYSTEM STATE (for demand/gap signals):' || chr(10) || t END AS prompt
 FROM req, c"""
 
@@ -361,7 +378,7 @@ QUALIFY row_number() OVER (PARTITION BY station_id, line ORDER BY event_time DES
 _CHECKS["soonest_per_route"] = """
 SELECT route_id, direction, stop_id, stop_name, trip_id, eta_seconds FROM est
 QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY eta_seconds, stop_id, trip_id) <= 6"""
-_CHECKS["snapshot_vehicles"] = "SELECT * FROM now ORDER BY mode, trip_id LIMIT 50"
+_CHECKS["snapshot_vehicles"] = "SELECT * FROM now"
 _CHECKS["snapshot_arrivals"] = "SELECT * FROM board"
 _CHECKS["snapshot_alerts"] = "SELECT * FROM al60"
 _CHECKS["snapshot_decisions"] = """
@@ -370,14 +387,14 @@ ORDER BY arrival_time DESC, route_id, direction, stop_id, curr_trip, prev_trip L
 _CHECKS["snapshot_forecasts"] = """
 SELECT route_id, direction, stop_id, stop_name, stop_lat AS lat, stop_lon AS lon, curr_trip, forecast_type, headway_seconds, predicted_headway
 FROM fc WHERE arrival_time >= TIMESTAMP '2024-01-30'
-QUALIFY row_number() OVER (PARTITION BY route_id, direction, stop_id ORDER BY arrival_time DESC, curr_trip DESC) = 1
-ORDER BY route_id, direction, stop_id LIMIT 40"""
-_COMMON["wnow"] = "SELECT * FROM wn WHERE event_time >= TIMESTAMP '2024-01-30 18:00:00' ORDER BY event_time DESC LIMIT 1"
+QUALIFY row_number() OVER (PARTITION BY route_id, direction, stop_id ORDER BY arrival_time DESC, curr_trip DESC) = 1"""
+_COMMON["wnow"] = "SELECT * FROM wn WHERE event_time >= TIMESTAMP '2024-01-30 18:00:00' ORDER BY event_time DESC, temp_c NULLS FIRST, temp_f NULLS FIRST, condition, precip_mm, wind_kph NULLS FIRST, weather_code LIMIT 1"
 _CHECKS["snapshot_weather"] = "SELECT temp_c, temp_f, condition, precip_mm, wind_kph, weather_code FROM wnow"
 _CHECKS["snapshot_surges"] = "SELECT station_id, station_name, line, taps_per_minute, crowd_level FROM crowd"
 _COMMON["cnt"] = """
 SELECT (SELECT count(*) FROM now WHERE mode = 'subway') AS trains, (SELECT count(*) FROM now WHERE mode = 'bus') AS buses,
-  (SELECT count(DISTINCT route_short) FROM now) AS routes, (SELECT count(*) FROM al60) AS alerts, (SELECT count(*) FROM crowd) AS crowd_surges"""
+  (SELECT count(DISTINCT route_short) FROM now) AS routes, 
+  (SELECT count(*) FROM al WHERE arrival_time BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-31') AS alerts, (SELECT count(*) FROM crowd) AS crowd_surges"""
 _CHECKS["snapshot_counts"] = "SELECT * FROM cnt"
 _CHECKS["snapshot_live"] = """
 SELECT max(ts) > TIMESTAMP '2024-01-30 23:00:00' AS live FROM events"""
@@ -520,24 +537,10 @@ FROM (SELECT *, taps_per_minute AS taps, CASE WHEN taps_per_minute % 3 <> 0 THEN
     CASE WHEN taps_per_minute % 7 <> 0 THEN station_name END AS name FROM sg) WHERE coalesce(sid, name) IS NOT NULL"""
 _CHECKS["normalize_weather"] = "SELECT temp_c, temp_f, condition, precip_mm, wind_kph, weather_code, event_id FROM wn"
 _CHECKS["epoch_times"] = "SELECT event_time, make_timestamp(event_time * 1000) AS seen, event_time // 1000 AS seconds FROM sg"
-
-
-def _draw(salt: str, n: int) -> str:
-    return f"(('0x' || substr(md5('7:{salt}:' || event_id), 1, 8))::BIGINT % {n})"
-
-
-def _pick(values: tuple[str, ...], salt: str) -> str:
-    return f"list_value({', '.join(repr(v) for v in values)})[{_draw(salt, len(values))} + 1]"
-
-
-_CHECKS["synthetic_surges"] = f"""
-SELECT {_pick(feeds.STATION_IDS, 'station')} AS station_id, {_pick(feeds.STATION_NAMES, 'name')} AS station_name,
-  {_pick(feeds.LINES, 'line')} AS line, ({_draw('taps', 2200)} + 200)::INTEGER AS taps_per_minute,
-  {_pick(feeds.CROWD_LEVELS, 'level')} AS crowd_level, 1727134000000 + event_id * 4000 AS event_time FROM events"""
 _CHECKS["trunk_shapes"] = "SELECT * FROM trunk"
 _CHECKS["route_shapes"] = "SELECT route_id, shape_id, color, position, lat, lon FROM rsh"
 _CHECKS["geojson_features"] = """
-WITH p AS (SELECT *, unnest(CASE WHEN position > 0 AND position % 300 = 0 THEN [position // 300 - 1, position // 300] ELSE [position // 300] END) AS part FROM rsh)
+WITH p AS (SELECT *, unnest(CASE WHEN position > 0 AND position % 20000 = 0 THEN [position // 20000 - 1, position // 20000] ELSE [position // 20000] END) AS part FROM rsh)
 SELECT route_id, 'bus' AS mode, color, part, count(*) AS n_points, arg_min(lon, position) AS first_lon, arg_min(lat, position) AS first_lat,
   arg_max(lon, position) AS last_lon, arg_max(lat, position) AS last_lat
 FROM p GROUP BY route_id, color, part HAVING count(*) >= 2"""
@@ -554,22 +557,23 @@ UNION ALL SELECT 'bus_positions', count(*) FROM bus UNION ALL SELECT 'passenger_
 _CHECKS["outbox_file"] = """
 SELECT alert_type, severity, action, action AS llm_action, count(*) AS n, sum(headway_seconds)::BIGINT AS seconds FROM act GROUP BY ALL"""
 _CHECKS["bucketed_estimates"] = "SELECT * FROM est"
-_CHECKS["keyed_table"] = "SELECT trip_id, stop_id, max(event_time) AS event_time FROM tu WHERE arrival_epoch > 0 GROUP BY ALL"
+_CHECKS["keyed_table"] = """
+SELECT * FROM tu WHERE arrival_epoch > 0
+QUALIFY row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY event_time DESC, arrival_epoch DESC) = 1"""
 _CHECKS["stream_arrival_estimates"] = "SELECT * FROM est"
-_CHECKS["stream_latest_rows"] = _CHECKS["keyed_table"]
-_CHECKS["stream_upsert"] = _CHECKS["keyed_table"]
-_CHECKS["stream_congestion"] = _HOURLY + " WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 SECONDS FROM events)"
-_CLOSED = " WHERE arrival_time <= (SELECT max(event_time) - INTERVAL 30 SECONDS FROM pos WHERE current_status = 'STOPPED_AT')"
-_CHECKS["stream_headway"] = "SELECT * FROM hw" + _CLOSED
-_CHECKS["stream_forecast"] = "SELECT * FROM fc" + _CLOSED
-_ALERTS_DONE = "(SELECT max(arrival_time) - INTERVAL 5 MINUTES FROM al)"
-_CHECKS["stream_weather_impact"] = _CHECKS["weather_impact"] + f"""
-AND a.arrival_time <= least({_ALERTS_DONE}, (SELECT max(event_time) - INTERVAL 30 SECONDS FROM wx)) - INTERVAL 30 MINUTES"""
-_CHECKS["stream_bottlenecks"] = _CHECKS["station_bottlenecks"] + f"""
-AND a.arrival_time <= least({_ALERTS_DONE}, (SELECT make_timestamp(max(event_time) * 1000) - INTERVAL 30 SECONDS FROM sg)) - INTERVAL 1 HOUR"""
+_CHECKS["stream_latest_rows"] = _CHECKS["keyed_table"].replace("*", "trip_id, stop_id, arrival_epoch, event_time", 1)
+_CHECKS["stream_upsert"] = _CHECKS["stream_latest_rows"]
+_CHECKS["stream_congestion"] = _HOURLY
+_CHECKS["stream_headway"] = "SELECT * FROM hw"
+_CHECKS["stream_forecast"] = "SELECT * FROM fc"
+_CHECKS["stream_weather_impact"] = _CHECKS["weather_impact"]
+_CHECKS["stream_bottlenecks"] = _CHECKS["station_bottlenecks"]
 _CHECKS["stream_first_rows"] = "SELECT trip_id, stop_id, route_id, direction FROM arr"
 _CHECKS["stream_decisions"] = """
-SELECT route_id, direction, stop_id, curr_trip, prev_trip, action, '**MONITOR**' AS llm_action, headway_seconds || 's' AS rider_message FROM act"""
+SELECT route_id, direction, stop_id, curr_trip, prev_trip, stop_name, stop_lat, stop_lon, alert_type, severity, headway_seconds, arrival_time,
+  action, '**MONITOR**' AS llm_action, alert_type AS dispatcher_note, headway_seconds || 's' AS rider_message, 'seen' AS reasoning,
+  'Action: **MONITOR**' || chr(10) || 'Dispatcher Note: ' || alert_type || chr(10) || 'Rider Message: ' || headway_seconds || 's' ||
+  chr(10) || 'Reasoning: seen' AS raw_response FROM act"""
 
 
 def _needed(sql: str) -> list[str]:

@@ -30,7 +30,7 @@ _QUERIES: dict[str, Query] = {}
 
 DAY = 86400
 FOREVER = 40 * 365 * DAY
-SNAPSHOT_TTL = {"vehicles": DAY // 4, "arrivals": FOREVER, "forecasts": DAY, "surges": DAY, "weather": DAY // 4}
+SNAPSHOT_TTL = {"vehicles": DAY // 4, "arrivals": FOREVER, "forecasts": DAY, "surges": DAY, "weather": DAY // 4, "alerts": 2 * DAY}
 MONTH_LATER = 30 * DAY
 
 
@@ -253,10 +253,10 @@ def run_agent(spark, sf):
 
 @query
 def run_agent_lateral(spark, sf):
-    """The responder as a table function in SQL."""
+    """The responder as a function in SQL."""
     agent.register_agent_function(spark, _echo, "fleet_agent")
     agent.dispatcher_prompt(_alerts(spark, sf)).createOrReplaceTempView("fleet_prompts")
-    return spark.sql("SELECT curr_trip, stop_id, response FROM fleet_prompts, LATERAL fleet_agent(prompt)")
+    return spark.sql("SELECT curr_trip, stop_id, response FROM fleet_prompts, LATERAL (SELECT fleet_agent(prompt) AS response)")
 
 
 @query
@@ -269,8 +269,7 @@ def parse_response(spark, sf):
             .when(case == 1, F.concat(F.lit("Action:\nDispatcher Note: "), "source"))
             .when(case == 2, F.rtrim("text")).otherwise(""))
     parsed = agent.parse_response(docs.select("doc_id", text.alias("response")))
-    return parsed.select("doc_id", "llm_action", "dispatcher_note", "rider_message",
-                         F.coalesce(F.length("reasoning"), F.lit(0)).cast("bigint").alias("reasoning_chars"))
+    return parsed.select("doc_id", "llm_action", "dispatcher_note", "rider_message", "reasoning")
 
 
 @query
@@ -367,7 +366,7 @@ def soonest_per_route(spark, sf):
 
 @query
 def snapshot_vehicles(spark, sf):
-    return snapshot.vehicles_snapshot(_vehicles(spark, sf), 50)
+    return snapshot.vehicles_snapshot(_vehicles(spark, sf))
 
 
 @query
@@ -603,11 +602,6 @@ def epoch_times(spark, sf):
     return surges.select("event_time", at.alias("seen"), epoch_seconds(at).alias("seconds"))
 
 
-@query
-def synthetic_surges(spark, sf):
-    return feeds.surges_from_ids(sample.table(spark, sf, "events").select("event_id"), "event_id", seed=7)
-
-
 # ---- static geometry ----
 
 @query
@@ -622,11 +616,11 @@ def route_shapes(spark, sf):
 
 @query
 def geojson_features(spark, sf):
-    """Route lines written as GeoJSON and read back; long lines continue in parts of 300 points."""
+    """Route lines written as GeoJSON and read back."""
     lines = geometry.route_shapes(sample.shapes(spark, sf), sample.trips(spark, sf), sample.routes(spark, sf))
     path = new_run_dir(spark, "shapes")
-    sinks.write_features(geometry.to_geojson_features(lines, "bus", max_points=300), path)
-    back = files.read_shapes(spark, path, whole_files=False)
+    sinks.write_features(geometry.to_geojson_features(lines, "bus"), path)
+    back = files.read_shapes(spark, path)
     first, last = F.element_at("coordinates", 1), F.element_at("coordinates", -1)
     return back.select("route_id", "mode", "color", "part", "n_points", first[0].alias("first_lon"),
                        first[1].alias("first_lat"), last[0].alias("last_lon"), last[1].alias("last_lat"))
@@ -724,26 +718,35 @@ def keyed_table(spark, sf):
     for change in range(3):
         part = rows.filter(F.pmod("arrival_epoch", F.lit(3)) == change)
         sinks.write_changes(part, path, change, keys, "event_time", ("arrival_epoch",))
-    sinks.compact(spark, path, rows.schema, keys, target, "event_time")
-    return sinks.read_keyed(spark, target, rows.schema, keys).select("trip_id", "stop_id", "event_time")
+    sinks.compact(spark, path, rows.schema, keys, target, "event_time", ("arrival_epoch",))
+    return sinks.read_keyed(spark, target, rows.schema, keys)
+
 
+# ---- streams, closed after the end of the data ----
+
+# A month later, and far enough apart not to meet in a join.
+CLOSING, CLOSING_ALERTS = "2024-03-20 00:00:00", "2024-03-10 00:00:00"
+CLOSING_MS = 1710892800000
+
+
+def _closed_positions(spark, sf):
+    return runs.closed(sample.vehicle_positions(spark, sf, True), event_time=CLOSING, trip_id="", current_status="STOPPED_AT")
 
-# ---- streams, run to the end of the data ----
 
 @query
 def stream_congestion(spark, sf):
-    buses = streams.with_feed_watermark(sample.bus_positions(spark, sf, True))
+    buses = streams.with_feed_watermark(runs.closed(sample.bus_positions(spark, sf, True), event_time=CLOSING, route_short="-"))
     return runs.run_append(streams.corridor_congestion_stream(buses, "1 hour"))
 
 
 @query
 def stream_headway(spark, sf):
-    return runs.run_append(headway_streams.headway_stream(sample.vehicle_positions(spark, sf, True)))
+    return runs.run_append(headway_streams.headway_stream(_closed_positions(spark, sf)))
 
 
 @query
 def stream_forecast(spark, sf):
-    return runs.run_append(headway_streams.forecast_stream(sample.vehicle_positions(spark, sf, True)))
+    return runs.run_append(headway_streams.forecast_stream(_closed_positions(spark, sf)))
 
 
 @query
@@ -758,15 +761,16 @@ def stream_latest_rows(spark, sf):
     rows = sample.trip_updates(spark, sf, True).filter("arrival_epoch > 0")
     rows = rows.select("trip_id", "stop_id", "arrival_epoch", F.col("event_time").cast("timestamp").alias("event_time"))
     newest = streams.dedup_last_stream(rows, ("trip_id", "stop_id"), "event_time")
-    latest = runs.run_upsert(newest, ("trip_id", "stop_id"), "event_time", output_mode="update")
-    return latest.select("trip_id", "stop_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+    latest = runs.run_upsert(newest, ("trip_id", "stop_id"), "event_time", ties=("arrival_epoch",), output_mode="update")
+    return latest.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
 @query
 def stream_upsert(spark, sf):
     """The same result without streaming state: the keyed table resolves the newest row when read."""
-    rows = sample.trip_updates(spark, sf, True).filter("arrival_epoch > 0").select("trip_id", "stop_id", "event_time")
-    return runs.run_upsert(rows, ("trip_id", "stop_id"), "event_time")
+    rows = sample.trip_updates(spark, sf, True).filter("arrival_epoch > 0").select(
+        "trip_id", "stop_id", "arrival_epoch", "event_time")
+    return runs.run_upsert(rows, ("trip_id", "stop_id"), "event_time", ties=("arrival_epoch",))
 
 
 @query
@@ -777,24 +781,25 @@ def stream_arrival_estimates(spark, sf):
     return runs.read_arrival_estimates(spark, f"{base}/data", sample.AS_OF_PREDICTIONS)
 
 
-def _alert_stream(spark, sf):
+def _alert_stream(spark, sf, close=False):
     path = new_run_dir(spark, "alerts")
     alerts = _alerts(spark, sf)
     alerts.write.parquet(path)
-    return streams.with_alert_watermark(spark.readStream.schema(alerts.schema).parquet(path))
+    stream = spark.readStream.schema(alerts.schema).parquet(path)
+    return streams.with_alert_watermark(runs.closed(stream, arrival_time=CLOSING_ALERTS, route_id="") if close else stream)
 
 
 @query
 def stream_weather_impact(spark, sf):
-    weather = streams.with_feed_watermark(sample.weather_events(spark, sf, True))
-    out = runs.run_append(streams.weather_impact_stream(_alert_stream(spark, sf), weather))
+    weather = streams.with_feed_watermark(runs.closed(sample.weather_events(spark, sf, True), event_time=CLOSING))
+    out = runs.run_append(streams.weather_impact_stream(_alert_stream(spark, sf, True), weather))
     return out.withColumn("arrival_time", F.col("arrival_time").cast("timestamp_ntz"))
 
 
 @query
 def stream_bottlenecks(spark, sf):
-    out = runs.run_append(streams.station_bottlenecks_stream(
-        _alert_stream(spark, sf), sample.passenger_surges(spark, sf, True), "1 hour"))
+    surges = runs.closed(sample.passenger_surges(spark, sf, True), event_time=CLOSING_MS, line="L")
+    out = runs.run_append(streams.station_bottlenecks_stream(_alert_stream(spark, sf, True), surges, "1 hour"))
     return out.withColumn("detection_time", F.col("detection_time").cast("timestamp_ntz"))
 
 
@@ -802,7 +807,7 @@ def stream_bottlenecks(spark, sf):
 def stream_decisions(spark, sf):
     base = new_run_dir(spark, "decisions")
     runs.finish(runs.dispatcher_stream(_alert_stream(spark, sf), f"{base}/data", f"{base}/checkpoint", _echo))
-    schema = agent.dispatcher_decisions(_alerts(spark, sf)).schema
+    alerts = _alerts(spark, sf)
+    schema = agent.dispatcher_decisions(alerts.withColumn("arrival_time", F.col("arrival_time").cast("timestamp"))).schema
     found = sinks.read_keyed(spark, f"{base}/data", schema, dedup.ALERT_IDENTITY)
-    return found.select("route_id", "direction", "stop_id", "curr_trip", "prev_trip", "action", "llm_action",
-                        "rider_message")
+    return found.withColumn("arrival_time", F.col("arrival_time").cast("timestamp_ntz"))

@@ -49,6 +49,12 @@ def has_change(spark: SparkSession, path: str, change: int) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a keyed table has any change."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
                order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Current rows of a keyed table: per key the row of the latest change, or of the highest `order`."""
@@ -59,9 +65,9 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Seque
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], target: str,
-            order: str | None = None) -> None:
+            order: str | None = None, ties: Sequence[str] = ()) -> None:
     """Current rows as change 0 of a new table at `target`; the old folder is left alone."""
-    read_keyed(spark, path, schema, keys, order).write.mode("overwrite").parquet(f"{target}/{CHANGE}=0")
+    read_keyed(spark, path, schema, keys, order, ties).write.mode("overwrite").parquet(f"{target}/{CHANGE}=0")
 
 
 def upsert_sink(df: DataFrame, keys: Sequence[str], order: str, path: str, checkpoint: str,

@@ -42,14 +42,21 @@ def decode_avro_payload(df: DataFrame, avro_schema: str, value: str = "value") -
     return df.select(record.alias("_v")).filter("_v IS NOT NULL").select("_v.*")
 
 
-def read_shapes(spark: SparkSession, glob: str, whole_files: bool = True) -> DataFrame:
-    """Line features of all matching files; files that are not JSON are skipped.
+def read_shapes(spark: SparkSession, glob: str) -> DataFrame:
+    """Line features of all matching files; what is not JSON is skipped.
 
-    `whole_files=False` reads files that hold one collection per line, as `write_features` makes them.
+    A file holds one collection on each line, as `write_features` makes them, or one collection over many lines. Lines
+    are read in parallel; only files without a line that is a collection are read whole, one task a file.
     """
-    reader = spark.read.schema(schemas.SHAPE_FILE).option("multiLine", whole_files)
-    files = reader.json(glob, mode="DROPMALFORMED")
-    return files.select(F.explode("features").alias("f")).select(
+    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = lines.select("file", json_object(F.col("value"), schemas.SHAPE_FILE)["features"].alias("features"))
+    unread = parsed.groupBy("file").agg(F.max(F.col("features").isNotNull()).alias("found")).filter("NOT found").collect()
+    features = parsed.select(F.explode("features").alias("f"))
+    if unread:
+        reader = spark.read.schema(schemas.SHAPE_FILE).option("multiLine", True)
+        whole = reader.json([r["file"] for r in unread], mode="DROPMALFORMED")
+        features = features.unionByName(whole.select(F.explode("features").alias("f")))
+    return features.select(
         "f.properties.route_id", "f.properties.route_short", "f.properties.mode", "f.properties.color",
         F.coalesce("f.properties.part", F.lit(0)).alias("part"),
         F.size("f.geometry.coordinates").cast("long").alias("n_points"),

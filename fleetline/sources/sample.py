@@ -220,8 +220,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as answers that contain a route proposal, some of them broken."""
+    """Documents as answers that contain a route proposal with the whole text as its reason, some of them broken."""
     n, d = F.col("n_chars"), F.col("doc_id")
+    quoted = F.expr("to_json(named_struct('t', coalesce(text, '')))")
+    reason = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
 
     def point(i: int):
         lat = F.lit(40.25) + F.pmod(n * i, F.lit(64)) / 64
@@ -229,7 +231,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     points = F.concat(F.lit("["), point(1), F.lit(","), F.when(d % 5 == 0, '["x", 1]').otherwise(point(2)), F.lit(","), point(3), F.lit("]"))
     body = F.concat(F.lit('{"name": "Line '), d.cast("string"), F.lit('", "waypoints": '), points,
-                    F.lit(', "stops": ["'), "lang", F.lit('"], "rationale": "from '), "source", F.lit('"}'))
+                    F.lit(', "stops": ["'), "lang", F.lit('"], "rationale": '), reason, F.lit("}"))
     text = (F.when(d % 7 == 0, "no object here").when(d % 7 == 1, F.concat(body, F.lit(" }} trailing")))
             .otherwise(F.concat(F.lit("Proposal:\n"), body, F.lit("\nDone."))))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))

@@ -31,9 +31,13 @@ def dedup_first_stream(df: DataFrame, keys: Sequence[str], bounded: bool = True)
 
 
 def dedup_last_stream(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Newest row per key so far; for update mode into a keyed table."""
+    """Newest row per key so far, ties by the other columns; for update mode into a keyed table.
+
+    Its state holds one row of every key ever seen, so it suits bounded sets of keys; `predictions_stream` resolves the
+    newest row in the table instead.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("_row"))
     return newest.select(*keys, "_row.*")
 
 

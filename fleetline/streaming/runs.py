@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +16,7 @@ from fleetline.operators.dedup import ALERT_IDENTITY
 from fleetline.plans.jobs import STOP_COLUMNS, within_eta
 from fleetline.schemas import TRIP_UPDATES
 from fleetline.session import new_run_dir
-from fleetline.sinks.tables import append_sink, has_change, read_keyed, upsert_sink, write_changes
+from fleetline.sinks.tables import CHANGE, append_sink, exists, has_change, read_keyed, upsert_sink
 from fleetline.streaming.events import dedup_first_stream
 
 PREDICTION_COLUMNS = (*STOP_COLUMNS, "arrival_epoch", "event_time")
@@ -25,6 +28,17 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+def closed(stream: DataFrame, **last) -> DataFrame:
+    """`stream` with one more row, `last`, to close it: its late time moves the watermark past all other rows.
+
+    Give the time column, and whatever the filters behind the watermark ask for; other columns are null. Without such a
+    row a run that ends keeps the rows above its last watermark back for the run that resumes it.
+    """
+    spark, path = stream.sparkSession, new_run_dir(stream.sparkSession, "closing")
+    spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def run_append(df: DataFrame, label: str = "stream") -> DataFrame:
     """Runs an append stream over the data present and returns the files it wrote as a table."""
     base = new_run_dir(df.sparkSession, label)
@@ -61,12 +75,21 @@ def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder:
                       bounded: bool = True, trigger: dict | None = None) -> StreamingQuery:
     """Decisions for a stream of alerts with a watermark, as a keyed table at `path`.
 
-    Each alert identity reaches the responder once; a batch that is replayed after a failure keeps the
-    answers already written.
+    Each alert identity reaches the responder once, for good: alerts whose identity the table already has are left
+    out by a join on the key columns alone. A batch that is replayed after a failure keeps the answers written.
     """
+    identity = T.StructType([alerts.schema[c] for c in ALERT_IDENTITY])
+
     def decide(batch: DataFrame, number: int) -> None:
-        if not has_change(batch.sparkSession, path, number):
-            write_changes(dispatcher_decisions(batch, responder), path, number, ALERT_IDENTITY, "arrival_time")
+        spark = batch.sparkSession
+        if has_change(spark, path, number):
+            return
+        if exists(spark, path):
+            known = spark.read.schema(identity).parquet(path).select(*[F.col(c).alias(f"_{c}") for c in ALERT_IDENTITY])
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALERT_IDENTITY])
+            batch = batch.join(known, same, "left_anti")
+        # Already one row for each identity.
+        dispatcher_decisions(batch, responder).write.mode("overwrite").parquet(f"{path}/{CHANGE}={number}")
 
     return (dedup_first_stream(alerts, ALERT_IDENTITY, bounded).writeStream.foreachBatch(decide)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

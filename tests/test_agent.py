@@ -53,10 +53,37 @@ def test_blank_answers_are_asked_again(spark):
     assert calls.value == 4
 
 
+def test_instructions_and_limits_reach_the_responder(spark):
+    def model(prompts, spec):
+        return prompts + f" | {spec.name} {spec.max_tokens}"
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id int, kind string, prompt string")
+    specs = {"a": agent.AgentSpec("first", "be short", max_tokens=7), "b": agent.AgentSpec("second", "be long")}
+    got = {r.id: r.response for r in agent.run_agent(df, "prompt", model, spec=specs, kind="kind").collect()}
+    assert got == {1: "x | first 7", 2: "y | second 1024", 3: None}
+    agent.register_agent_function(spark, model, "told", agent.DISPATCHER)
+    df.createOrReplaceTempView("asked_in_test")
+    assert spark.sql("SELECT told(prompt) AS r FROM asked_in_test WHERE id = 1").first().r == "x | dispatcher_agent 1024"
+
+
+def test_blank_answers_are_asked_as_often_as_the_spec_says(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def silent(prompts, spec):
+        calls.add(len(prompts))
+        return pd.Series([""] * len(prompts))
+
+    df = spark.createDataFrame([("a",)], "prompt string").coalesce(1)
+    agent.run_agent(df, "prompt", silent, spec=agent.AgentSpec("s", "", max_iterations=5)).collect()
+    assert calls.value == 5
+
+
 def test_lateral_function(spark):
     agent.register_agent_function(spark, lambda p: p.str.upper(), "shout")
     spark.createDataFrame([("hi",)], "prompt string").createOrReplaceTempView("prompts_in_test")
-    assert spark.sql("SELECT response FROM prompts_in_test, LATERAL shout(prompt)").first().response == "HI"
+    df = spark.sql("SELECT response FROM prompts_in_test, LATERAL (SELECT shout(prompt) AS response)")
+    assert df.first().response == "HI"
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
 
 
 DECISIONS = "route_id string, stop_id string, alert_type string, headway_seconds long, action string, llm_action string"
@@ -102,7 +129,7 @@ def test_copilots(spark):
     state = spark.createDataFrame([("STATE",)], "text string")
     prompts = {r.request_id: r.prompt for r in agent.copilot_prompt(asked, state).collect()}
     assert prompts[1] == "Trip: from 'Home' to '?'.\nRider asks: late?\n\nLIVE SYSTEM STATE:\nSTATE"
-    assert prompts[2].startswith("Operator asks: Assess current service health") and prompts[2].endswith("\n\nLIVE SYSTEM STATE:\nSTATE")
+    assert prompts[2].startswith("Operator asks: How is service now") and prompts[2].endswith("\n\nLIVE SYSTEM STATE:\nSTATE")
     assert prompts[3] == "Design a bus route from 'A' to 'B'.\nConstraints/goals: fast\n\nLIVE SYSTEM STATE (for demand/gap signals):\nSTATE"
     assert prompts[5] is None and prompts[6] == "\nLIVE SYSTEM STATE:\nSTATE"
 

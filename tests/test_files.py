@@ -31,7 +31,7 @@ def test_static_folder(spark, tmp_path):
         ("A", "#0039A6", 0, 1.0), ("A", "#0039A6", 1, 2.0), ("B", "#888888", 0, 0.5), ("B", "#888888", 1, 1.5), ("B", "#888888", 2, 2.5)]
     feature = json.loads(geometry.to_geojson_features(lines).filter("route_id = 'A'").first().feature)
     assert feature == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1.0, 1.0], [2.0, 2.0]]},
-                       "properties": {"route_id": "A", "route_short": "A", "mode": "subway", "color": "#0039A6"}}
+                       "properties": {"route_id": "A", "route_short": "A", "mode": "subway", "color": "#0039A6", "part": 0}}
 
 
 def test_equal_shapes_fall_to_the_first_in_the_file(spark, tmp_path):
@@ -48,7 +48,7 @@ def test_long_lines_continue_in_parts(spark, tmp_path):
                                     F.col("id").cast("double").alias("lat"), F.lit(1.0).alias("lon"))
     path = str(tmp_path / "lines")
     sinks.write_features(geometry.to_geojson_features(points, max_points=5), path)
-    got = files.read_shapes(spark, path, whole_files=False).orderBy("part").collect()
+    got = files.read_shapes(spark, path).orderBy("part").collect()
     assert [[c[1] for c in r.coordinates] for r in got] == [[0, 1, 2, 3, 4, 5], [5, 6, 7, 8, 9, 10]]
 
 
@@ -120,15 +120,6 @@ def test_tail(spark):
     assert [r.id for r in feeds.tail_n(spark.range(1000), 3, ("id",)).collect()] == [999, 998, 997]
 
 
-def test_synthetic_surges(spark):
-    df = feeds.generate_surges(spark, 5000, seed=3)
-    assert rows(df) == rows(feeds.generate_surges(spark, 5000, seed=3).repartition(3))
-    r = df.agg(F.min("taps_per_minute").alias("a"), F.max("taps_per_minute").alias("b"), F.countDistinct("line").alias("l"),
-               F.countDistinct("crowd_level").alias("c"), F.min("event_time").alias("t")).first()
-    assert r.a >= 200 and r.b < 2400 and r.l == 14 and r.c == 4 and r.t == 1727134000000
-    assert feeds.stream_surges(spark).isStreaming
-
-
 def test_keyed_table(spark, tmp_path):
     path = str(tmp_path / "t")
     def change(n, data):

@@ -116,3 +116,15 @@ def test_known_routes_sort_by_number(spark):
         "mode string, route_short string, route_id string, lat double, lon double")
     got = [r.route for r in aggregate.known_routes(cars).orderBy("mode", "sort_key").collect()]
     assert got == ["M4", "M15", "M100", "Q1A", "A"]
+
+
+def test_left_rows_of_one_slice_are_spread(spark):
+    """Without keys the shuffle carries a salt; results do not depend on it."""
+    left = spark.range(300).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01' + make_interval(0,0,0,0,0,0,id % 7) AS t").unionByName(
+        spark.range(1).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01' AS t"))
+    right = spark.range(5).selectExpr("id AS r", "TIMESTAMP_NTZ'2024-01-01' + make_interval(0,0,0,0,0,0,id) AS u")
+    df = asof_join(left, right, "t", "u", "1 hour")
+    assert "_salt" in df._jdf.queryExecution().executedPlan().toString()
+    got = rows(df, "id", "r")
+    assert got == sorted((i, min(i % 7, 4)) for i in [*range(300), 0])
+    assert got == rows(asof_join(left, right, "t", "u", "1 hour", salts=1), "id", "r")

@@ -5,15 +5,12 @@ import pytest
 from fleetline.plans import jobs, registry
 from fleetline.sources import sample
 
-RUNS_A_STREAM_OR_WRITES = {n for n in registry.queries() if n.startswith(("stream_", "read_", "snapshot_", "context_", "keyed_"))}
-RUNS_A_STREAM_OR_WRITES |= {"geojson_features", "static_files", "outbox_file", "bucketed_estimates", "answer_requests"}
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - RUNS_A_STREAM_OR_WRITES))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_pairing_of_everything(spark, sf_dir, name):
     text = plan(registry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
@@ -48,6 +45,27 @@ def test_headways_shuffle_by_time_slice(spark, sf_dir):
     assert "_slice" in last
 
 
+def test_board_meets_in_few_exchanges_without_python(spark, sf_dir):
+    text = plan(registry.queries()["diverse_board_by_stop"](spark, sf_dir))
+    assert text.count("Exchange hashpartitioning") <= 3 and "Pandas" not in text and "Python" not in text
+
+
+def test_long_look_backs_shuffle_by_slice_without_a_count_or_join(spark, sf_dir):
+    text = plan(registry.queries()["anomaly_bounds"](spark, sf_dir))
+    last = text[text.index("Exchange hashpartitioning"):].split("\n")[0]
+    assert "_slice" in last and "Join" not in text
+
+
+def test_keyless_asof_join_is_salted(spark, sf_dir):
+    text = plan(registry.queries()["weather_impact"](spark, sf_dir))
+    assert any("_slice" in line and "_salt" in line for line in text.split("\n") if "Exchange hashpartitioning" in line)
+
+
+def test_the_model_is_called_in_batches(spark, sf_dir):
+    text = plan(registry.queries()["run_agent_lateral"](spark, sf_dir))
+    assert "ArrowEvalPython" in text and "BatchEvalPython" not in text
+
+
 def test_snapshot_age_reaches_the_scan(spark, sf_dir):
     text = plan(registry._vehicles(spark, sf_dir, 3600))
     scans = [line for line in text.split("\n") if "FileScan" in line]

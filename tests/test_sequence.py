@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def random_arrivals(n, seed, days=4):
 def test_headway_matches_plain_pairs(spark):
     data = random_arrivals(600, 1)
     df = spark.createDataFrame(data, ARRIVALS).repartition(5)
-    for width in ("1 minute", "1 hour", "30 days", None):
+    for width in ("1 minute", "1 hour", "30 days", "7 days"):
         assert rows(headway(df, width=width), "prev_trip", "curr_trip", "headway_seconds") == plain_headways(data)
 
 
@@ -69,15 +70,16 @@ def test_pairs_cross_empty_slices_and_equal_times(spark):
     assert got == [("a", "b", 0), ("b", "c", 32400), ("c", "d", 36000)]
 
 
-def test_only_busy_keys_are_cut(spark):
+@pytest.mark.parametrize("back", [3, 7])
+@pytest.mark.parametrize("width", ["2 minutes", "1 hour", "7 days"])
+def test_rows_before_a_slice_are_carried_over_sparse_slices(spark, back, width):
     data = random_arrivals(400, 9) + [arrival("n1", 5, route=None), arrival("n2", 95, route=None)]
     df = spark.createDataFrame(data, ARRIVALS)
-    padded = with_carried_rows(df, STOP_KEYS, ("event_time", "trip_id"), 3, None, max_rows=50)
-    cut = padded.filter("_slice IS NOT NULL").select("stop_id").distinct().collect()
-    assert [r.stop_id for r in cut] == ["hot"]
-    w = slice_window(STOP_KEYS, ("event_time", "trip_id"))
-    got = without_carried_rows(padded.withColumn("third", F.lag("trip_id", 3).over(w)))
-    plain = df.withColumn("third", F.lag("trip_id", 3).over(Window.partitionBy(*STOP_KEYS).orderBy("event_time", "trip_id")))
+    order = ("event_time", "trip_id")
+    padded = with_carried_rows(df, STOP_KEYS, order, back, width)
+    w = slice_window(STOP_KEYS, order)
+    got = without_carried_rows(padded.withColumn("earlier", F.lag("trip_id", back).over(w)))
+    plain = df.withColumn("earlier", F.lag("trip_id", back).over(Window.partitionBy(*STOP_KEYS).orderBy(*order)))
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
@@ -162,7 +164,7 @@ def test_anomaly_bounds_across_slices(spark):
     data = [alert(i * 600, headway=v, curr=f"c{i:04d}")[:9] + (at(i * 600),) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, ALERTS.replace("alert_type string, severity string, ", ""))
     expected = plain_bounds(values)
-    for options in ({"width": "1 hour"}, {"width": "1 day"}, {}, {"max_rows": 30}):
+    for options in ({"width": "1 hour"}, {"width": "1 day"}, {"width": "3 hours"}, {}):
         got = models.detect_anomalies(df, **options).orderBy("arrival_time").collect()
         assert len(got) == len(values)
         for row, bounds in zip(got, expected):

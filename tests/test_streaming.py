@@ -137,6 +137,27 @@ def test_decisions_once_per_alert(spark, tmp_path):
     assert asked == 3 and calls.value == asked
 
 
+def test_an_identity_is_asked_once_over_resumed_runs(spark, tmp_path):
+    """The same pair again after the watermark has long passed: one call, the first answer stays."""
+    schema = spark.createDataFrame([], ALERTS).schema
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        calls.add(len(prompts))
+        return pd.Series([f"Action: MONITOR\nRider Message: {p.split('Observed Headway: ')[1].split()[0]}" for p in prompts])
+
+    for turn, data in enumerate([[alert(8 * 3600, prev="A", curr="B", headway=1000)], [alert(12 * 3600, prev="C", curr="D")],
+                                 [alert(13 * 3600, prev="A", curr="B", headway=2000), alert(13 * 3600, prev=None, curr="B")],
+                                 [alert(19 * 3600, prev=None, curr="B")]]):
+        spark.createDataFrame(data, ALERTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{turn}")
+        stream = feeds.read_feed(spark, f"{tmp_path}/in/*", schema, stream=True)
+        runs.finish(runs.dispatcher_stream(events.with_alert_watermark(stream), f"{tmp_path}/out", f"{tmp_path}/ck", model))
+    assert calls.value == 2  # an alert without its leading trip has no prompt
+    decisions = sinks.read_keyed(spark, f"{tmp_path}/out", dispatcher_decisions(spark.createDataFrame([], ALERTS)).schema, ALERT_IDENTITY)
+    assert decisions.count() == 3
+    assert rows(decisions.filter("curr_trip = 'B' AND prev_trip = 'A'"), "headway_seconds") == [(1000,)]
+
+
 def test_append_resumes_from_its_checkpoint(spark, tmp_path):
     schema = schemas.struct(k="string", event_time="zoned")
     out, check = f"{tmp_path}/out", f"{tmp_path}/ck"
