@@ -1,8 +1,8 @@
 """Quartile bucket digests: a document fingerprint whose distance follows the difference of two texts.
 
-Every three consecutive bytes of the UTF-8 text are hashed to one of 256 buckets. The quartiles of the 256 counts
+Every three consecutive bytes of the UTF-8 text are hashed to one of 512 buckets. The quartiles of the 512 counts
 turn each count into a two-bit code; the digest is hex text of a length byte (logarithmic, in steps of a tenth), two
-quartile-ratio bytes and the 256 codes. Two digests differ by the sum of their code steps, plus small terms for length
+quartile-ratio bytes and the 512 codes. Two digests differ by the sum of their code steps, plus small terms for length
 and ratios, bounded by `LIMIT`; likeness is one minus the share of that bound.
 
 Defined results: a null text counts as empty; texts of fewer than three bytes have all counts zero, so all codes zero,
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from fleetline.llm.common import LOWEST, ordered_buckets
 
-BUCKETS = 256
+BUCKETS, BUCKET_BITS = 512, 9
 #: Difference at which two texts count as wholly unlike.
-LIMIT = 384.0
+LIMIT = 768.0
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -34,7 +34,7 @@ def digest(data: bytes) -> str:
     if n >= 3:
         raw = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
         mixed = (raw[:-2] | (raw[1:-1] << np.uint32(8)) | (raw[2:] << np.uint32(16))) * _MULTIPLIER
-        counts = np.bincount(mixed >> np.uint32(24), minlength=BUCKETS)
+        counts = np.bincount(mixed >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
     else:
         counts = np.zeros(BUCKETS, dtype=np.int64)
     ordered = np.sort(counts)

@@ -13,12 +13,12 @@ def plain_digest(data: bytes) -> str:
 
     counts = Counter()
     for a, b, c in zip(data, data[1:], data[2:]):
-        counts[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 24] += 1
-    ordered = sorted(counts.get(i, 0) for i in range(256))
-    q = [ordered[256 * k // 4 - 1] for k in (1, 2, 3)]
-    codes = [sum(counts.get(i, 0) > x for x in q) for i in range(256)]
+        counts[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 23] += 1
+    ordered = sorted(counts.get(i, 0) for i in range(512))
+    q = [ordered[512 * k // 4 - 1] for k in (1, 2, 3)]
+    codes = [sum(counts.get(i, 0) > x for x in q) for i in range(512)]
     head = [min(255, 1 + int(math.log(len(data)) * 10)) if data else 0] + [x * 255 // q[2] if q[2] else 0 for x in q[:2]]
-    return bytes(head + [codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, 256, 4)]).hex()
+    return bytes(head + [codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, 512, 4)]).hex()
 
 
 def expected(rows):
