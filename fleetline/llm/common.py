@@ -16,6 +16,18 @@ BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 LOWEST = -(1 << 63)
 
 
+#: Bytes of texts that go to a Python worker at once. Spark's own limit is eight times that, and each batch is held
+#: several times: as vectors in the JVM, as Arrow data and as strings in the worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on an Arrow batch, unless it is as low already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "0").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetline.llm import decontaminate, digest, html_text, language_id, lattice_lm, packing, pii, quality, sharding, simhash
-from fleetline.llm.common import fold, table
+from fleetline.llm.common import bounded_batches, fold, table
 from fleetline.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,13 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def bounded(spark, sf):
+        bounded_batches(spark)
+        return fn(spark, sf)
+
+    _QUERIES[fn.__name__] = bounded
+    return bounded
 
 
 def queries() -> dict[str, Query]:
