@@ -24,8 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import own_name
-
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict_form", "check", "gazetteer", "context", "neighbours")
 #: Binary features of the final classifier, besides a bias.
@@ -210,11 +208,15 @@ def fit(marked: DataFrame, name: str = "candidates") -> SpanModel:
 _CANDIDATE = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<int>,features:array<int>>>"
 
 
+def _candidate_rows(text: str) -> list[dict]:
+    keys = ("kind", "start", "end", "base", "votes", "features")
+    return [dict(zip(keys, (*c[:4], list(c[4]), list(c[5])))) for c in candidates(text)]
+
+
 def with_candidates(df: DataFrame, text_col: str = "text", name: str = "candidates") -> DataFrame:
     @F.pandas_udf(_CANDIDATE)
     def of(texts: pd.Series) -> pd.Series:
-        keys = ("kind", "start", "end", "base", "votes", "features")
-        return texts.map(lambda t: [dict(zip(keys, (*c[:4], list(c[4]), list(c[5])))) for c in candidates(t)])
+        return texts.map(_candidate_rows)
 
     return df.withColumn(name, of(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -245,15 +247,13 @@ def redact(df: DataFrame, text_col: str = "text", model: SpanModel | None = None
 
     Where spans of two kinds overlap, one replacement covers both, named after the one that starts first.
     """
-    name, spans = own_name(df, "_candidates"), own_name(df, "_spans")
-    marked = with_candidates(df, text_col, name)
-    found = with_spans(marked, model or fit(marked, name), name, spans)
+    known = model or fit(with_candidates(df.select(F.col(text_col).alias("text"))))
 
     @F.pandas_udf("string")
-    def of(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else replace_spans(t, s) for t, s in zip(texts, lists)])
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else replace_spans(t, _chosen(_candidate_rows(t), known)))
 
-    return found.withColumn(text_col, of(F.col(text_col), F.col(spans))).select(*df.columns)
+    return df.withColumn(text_col, of(F.col(text_col)))
 
 
 def replace_spans(text: str, spans) -> str:
