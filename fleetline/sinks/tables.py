@@ -2,7 +2,7 @@
 
 A keyed table is a folder of change files: every write adds one `change=<n>` folder, reading keeps the
 newest row per key. A write costs as much as its batch, never as much as the table; `compact` folds the
-changes into one when a scheduled job finds it worthwhile.
+changes into one folder when a scheduled job finds it worthwhile, and reads start from the newest such folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from fleetline.operators.dedup import dedup_last
 
 CHANGE = "change"
 BUCKET = "bucket"
+#: Spark does not list folders that start with an underscore.
+COMPACTED = "_compacted"
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
@@ -43,31 +45,69 @@ def write_changes(batch: DataFrame, path: str, change: int, keys: Sequence[str],
     dedup_last(batch, keys, order, ties).write.mode("overwrite").parquet(f"{path}/{CHANGE}={change}")
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def has_change(spark: SparkSession, path: str, change: int) -> bool:
     """Whether a batch has been written completely."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CHANGE}={change}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    marker, files = _folder(spark, f"{path}/{CHANGE}={change}/_SUCCESS")
+    return files.exists(marker)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a keyed table has any change."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
 
 
-def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
-               order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """Current rows of a keyed table: per key the row of the latest change, or of the highest `order`."""
+def _compacted_to(spark: SparkSession, path: str) -> int | None:
+    """The last change that the newest complete compaction holds."""
+    folder, files = _folder(spark, f"{path}/{COMPACTED}")
+    if not files.exists(folder):
+        return None
+    done = [int(s.getPath().getName()) for s in files.listStatus(folder)
+            if files.exists(_folder(spark, f"{path}/{COMPACTED}/{s.getPath().getName()}/_SUCCESS")[0])]
+    return max(done, default=None)
+
+
+def stored_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the newest compaction and of the changes after it, with their change number."""
     full = T.StructType([*schema.fields, T.StructField(CHANGE, T.LongType())])
     changes = spark.read.schema(full).option("basePath", path).parquet(path)
-    latest = dedup_last(changes, keys, order, (*ties, CHANGE)) if order else dedup_last(changes, keys, CHANGE)
-    return latest.drop(CHANGE)
+    upto = _compacted_to(spark, path)
+    if upto is None:
+        return changes
+    # The filter is on the folders, so older ones are not read.
+    return spark.read.schema(full).parquet(f"{path}/{COMPACTED}/{upto}").unionByName(changes.filter(F.col(CHANGE) > upto))
+
+
+def _latest(changes: DataFrame, keys: Sequence[str], order: str | None, ties: Sequence[str]) -> DataFrame:
+    return dedup_last(changes, keys, order, (*ties, CHANGE)) if order else dedup_last(changes, keys, CHANGE)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], target: str,
-            order: str | None = None, ties: Sequence[str] = ()) -> None:
-    """Current rows as change 0 of a new table at `target`; the old folder is left alone."""
-    read_keyed(spark, path, schema, keys, order, ties).write.mode("overwrite").parquet(f"{target}/{CHANGE}=0")
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
+               order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Current rows of a keyed table: per key the row of the latest change, or of the highest `order`."""
+    return _latest(stored_changes(spark, path, schema), keys, order, ties).drop(CHANGE)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: str | None = None,
+            ties: Sequence[str] = ()) -> None:
+    """Folds all complete changes into one folder of the table, from which later reads start.
+
+    Use the order of the readers. Readers that started before go on with the changes, which stay where they are.
+    """
+    folder, files = _folder(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{CHANGE}="))
+    done = [n for n in numbers if has_change(spark, path, n)]
+    if done:
+        upto = done[-1]
+        changes = stored_changes(spark, path, schema).filter(F.col(CHANGE) <= upto)
+        _latest(changes, keys, order, ties).write.mode("overwrite").parquet(f"{path}/{COMPACTED}/{upto}")
 
 
 def upsert_sink(df: DataFrame, keys: Sequence[str], order: str, path: str, checkpoint: str,

@@ -16,7 +16,7 @@ from fleetline.operators.dedup import ALERT_IDENTITY
 from fleetline.plans.jobs import STOP_COLUMNS, within_eta
 from fleetline.schemas import TRIP_UPDATES
 from fleetline.session import new_run_dir
-from fleetline.sinks.tables import CHANGE, append_sink, exists, has_change, read_keyed, upsert_sink
+from fleetline.sinks.tables import CHANGE, append_sink, exists, has_change, read_keyed, stored_changes, upsert_sink
 from fleetline.streaming.events import dedup_first_stream
 
 PREDICTION_COLUMNS = (*STOP_COLUMNS, "arrival_epoch", "event_time")
@@ -51,7 +51,7 @@ def run_upsert(df: DataFrame, keys: Sequence[str], order: str, label: str = "key
     """Runs a stream into a keyed table and returns its current rows."""
     base = new_run_dir(df.sparkSession, label)
     finish(upsert_sink(df, keys, order, f"{base}/data", f"{base}/checkpoint", ties, output_mode))
-    return read_keyed(df.sparkSession, f"{base}/data", df.schema, keys, order)
+    return read_keyed(df.sparkSession, f"{base}/data", df.schema, keys, order, ties)
 
 
 PREDICTION_KEYS = ("trip_id", "stop_id")
@@ -85,7 +85,7 @@ def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder:
         if has_change(spark, path, number):
             return
         if exists(spark, path):
-            known = spark.read.schema(identity).parquet(path).select(*[F.col(c).alias(f"_{c}") for c in ALERT_IDENTITY])
+            known = stored_changes(spark, path, identity).select(*[F.col(c).alias(f"_{c}") for c in ALERT_IDENTITY])
             same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALERT_IDENTITY])
             batch = batch.join(known, same, "left_anti")
         # Already one row for each identity.

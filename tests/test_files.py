@@ -131,9 +131,14 @@ def test_keyed_table(spark, tmp_path):
     assert rows(sinks.read_keyed(spark, path, schema, ("k",)), "v") == [("a2",), ("b4",), ("c1",)]
     assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c1",)]
     assert sinks.has_change(spark, path, 1) and not sinks.has_change(spark, path, 2)
-    target = str(tmp_path / "c")
-    sinks.compact(spark, path, schema, ("k",), target, "t")
-    assert rows(sinks.read_keyed(spark, target, schema, ("k",)), "v") == [("a2",), ("b5",), ("c1",)]
+    sinks.compact(spark, path, schema, ("k",), "t")
+    now = sinks.read_keyed(spark, path, schema, ("k",), "t")
+    assert rows(now, "v") == [("a2",), ("b5",), ("c1",)]
+    assert all("_compacted" in f for f in now.inputFiles())
+    change(2, [("a", 1, "old"), ("c", 7, "c7")])
+    assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c7",)]
+    sinks.compact(spark, path, schema, ("k",), "t")
+    assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c7",)]
 
 
 def test_buckets(spark, tmp_path):
