@@ -24,7 +24,8 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit on an Arrow batch, unless it is as low already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "0").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+    set_to = spark.conf.get(key).removesuffix("b")
+    if set_to.isdigit() and int(set_to) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
