@@ -569,6 +569,9 @@ _CHECKS["stream_forecast"] = "SELECT * FROM fc"
 _CHECKS["stream_weather_impact"] = _CHECKS["weather_impact"]
 _CHECKS["stream_bottlenecks"] = _CHECKS["station_bottlenecks"]
 _CHECKS["stream_first_rows"] = "SELECT trip_id, stop_id, route_id, direction FROM arr"
+_CHECKS["stream_outbox"] = """
+SELECT route_id, direction, stop_id, stop_name, alert_type, severity, headway_seconds, action, '**MONITOR**' AS llm_action,
+  alert_type AS dispatcher_note FROM act"""
 _CHECKS["stream_decisions"] = """
 SELECT route_id, direction, stop_id, curr_trip, prev_trip, stop_name, stop_lat, stop_lon, alert_type, severity, headway_seconds, arrival_time,
   action, '**MONITOR**' AS llm_action, alert_type AS dispatcher_note, headway_seconds || 's' AS rider_message, 'seen' AS reasoning,

@@ -804,6 +804,14 @@ def stream_bottlenecks(spark, sf):
     return out.withColumn("detection_time", F.col("detection_time").cast("timestamp_ntz"))
 
 
+@query
+def stream_outbox(spark, sf):
+    """Decisions delivered as the stream makes them, read back as the receiver gets them."""
+    base = new_run_dir(spark, "outbox")
+    runs.finish(runs.dispatcher_stream(_alert_stream(spark, sf), f"{base}/data", f"{base}/checkpoint", _echo, outbox=f"{base}/out"))
+    return files.read_decisions_jsonl(spark, f"{base}/out").drop("change")
+
+
 @query
 def stream_decisions(spark, sf):
     base = new_run_dir(spark, "decisions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -45,17 +46,37 @@ def read_passenger_surges(spark: SparkSession, path: str, stream: bool = False,
     return read_feed(spark, path, schemas.PASSENGER_SURGES, stream, fmt)
 
 
-def starting_offsets(policy: str) -> str:
-    """Start of a broker read: `earliest` or `latest`."""
-    if policy not in ("earliest", "latest"):
-        raise ValueError("use tail_n for a bounded tail")
-    return policy
+# Where a new reader of a table starts; of other tables it sees only what comes.
+START = {"headway_alerts": "earliest", "dispatcher_decisions": "earliest", "headway_forecast": "earliest",
+         "weather_events": "earliest", "passenger_surges": "earliest", "arrival_estimates": "tail"}
+TAIL_ROWS = 250
 
 
-def kafka_options(servers: str, topic: str, policy: str = "earliest", **extra: str) -> dict[str, str]:
+def start_policy(table: str) -> str:
+    """`earliest`, `latest` or `tail` (the last `TAIL_ROWS` records of each partition)."""
+    return START.get(table, "latest")
+
+
+def starting_offsets(policy: str, topic: str = "", ends: Mapping[int, int] | None = None, n: int = TAIL_ROWS) -> str:
+    """Start of a broker read. `tail` needs the end offset of each partition of the topic."""
+    if policy in ("earliest", "latest"):
+        return policy
+    if policy != "tail" or ends is None:
+        raise ValueError("a tail needs the end offsets of the topic's partitions")
+    return json.dumps({topic: {str(p): max(0, end - n) for p, end in sorted(ends.items())}})
+
+
+def kafka_options(servers: str, topic: str, policy: str = "earliest", ends: Mapping[int, int] | None = None,
+                  **extra: str) -> dict[str, str]:
     """Options for `spark.readStream.format("kafka")`; needs the connector on the class path."""
     return {"kafka.bootstrap.servers": servers, "subscribe": topic,
-            "startingOffsets": starting_offsets(policy), **extra}
+            "startingOffsets": starting_offsets(policy, topic, ends), **extra}
+
+
+def starting_rows(df: DataFrame, table: str, order: Sequence[str], n: int = TAIL_ROWS) -> DataFrame:
+    """What a new reader of a stored table starts with: all rows, none, or the last `n`."""
+    policy = start_policy(table)
+    return df if policy == "earliest" else tail_n(df, n, order) if policy == "tail" else df.limit(0)
 
 
 def tail_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from fleetline.operators.dedup import ALERT_IDENTITY
 from fleetline.plans.jobs import STOP_COLUMNS, within_eta
 from fleetline.schemas import TRIP_UPDATES
 from fleetline.session import new_run_dir
-from fleetline.sinks.tables import CHANGE, append_sink, exists, has_change, read_keyed, stored_changes, upsert_sink
+from fleetline.sinks.tables import CHANGE, append_sink, decision_outbox, exists, has_change, read_keyed, stored_changes, upsert_sink
 from fleetline.streaming.events import dedup_first_stream
 
 PREDICTION_COLUMNS = (*STOP_COLUMNS, "arrival_epoch", "event_time")
@@ -72,9 +72,12 @@ def read_arrival_estimates(spark: SparkSession, path: str, as_of, low: int = -30
 
 
 def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder: Responder | None = None,
-                      bounded: bool = True, trigger: dict | None = None) -> StreamingQuery:
+                      bounded: bool = True, trigger: dict | None = None, outbox: str | None = None) -> StreamingQuery:
     """Decisions for a stream of alerts with a watermark, as a keyed table at `path`.
 
+    With `outbox`, each batch's decisions are delivered there as they are made, one JSON document a line; a batch that
+    is replayed delivers the same documents to the same folder.
+
     Each alert identity reaches the responder once, for good: alerts whose identity the table already has are left
     out by a join on the key columns alone. A batch that is replayed after a failure keeps the answers written.
     """
@@ -82,8 +85,13 @@ def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder:
 
     def decide(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if has_change(spark, path, number):
-            return
+        if not has_change(spark, path, number):
+            answer(spark, batch, number)
+        if outbox and not has_change(spark, outbox, number):
+            made = spark.read.parquet(f"{path}/{CHANGE}={number}")
+            decision_outbox(made, "value").write.mode("overwrite").text(f"{outbox}/{CHANGE}={number}")
+
+    def answer(spark: SparkSession, batch: DataFrame, number: int) -> None:
         if exists(spark, path):
             known = stored_changes(spark, path, identity).select(*[F.col(c).alias(f"_{c}") for c in ALERT_IDENTITY])
             same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALERT_IDENTITY])

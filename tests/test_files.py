@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetline import schemas
@@ -134,7 +135,8 @@ def test_keyed_table(spark, tmp_path):
     sinks.compact(spark, path, schema, ("k",), "t")
     now = sinks.read_keyed(spark, path, schema, ("k",), "t")
     assert rows(now, "v") == [("a2",), ("b5",), ("c1",)]
-    assert all("_compacted" in f for f in now.inputFiles())
+    plan = now._jdf.queryExecution().executedPlan().toString()
+    assert "_compacted" in plan and "PartitionFilters: [isnotnull(change" in plan
     change(2, [("a", 1, "old"), ("c", 7, "c7")])
     assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c7",)]
     sinks.compact(spark, path, schema, ("k",), "t")
@@ -147,3 +149,14 @@ def test_buckets(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 100 and back.select("k", "bucket").distinct().count() == 7
     assert back.agg(F.max("bucket")).first()[0] <= 2
+
+
+def test_start_of_each_table(spark):
+    df = spark.range(1000)
+    assert feeds.starting_rows(df, "headway_alerts", ("id",)).count() == 1000
+    assert rows(feeds.starting_rows(df, "arrival_estimates", ("id",)))[0] == (750,)
+    assert feeds.starting_rows(df, "vehicle_positions", ("id",)).count() == 0
+    options = feeds.kafka_options("h:1", "t", feeds.start_policy("arrival_estimates"), ends={0: 1000, 1: 10})
+    assert json.loads(options["startingOffsets"]) == {"t": {"0": 750, "1": 0}}
+    with pytest.raises(ValueError):
+        feeds.starting_offsets("tail")

@@ -10,7 +10,8 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+# A stream has run when its query returns, and the plan left is that of reading its files.
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if not n.startswith("stream_")))
 def test_no_pairing_of_everything(spark, sf_dir, name):
     text = plan(registry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
