@@ -18,6 +18,8 @@ def plain(text, items):
             continue
         size = min(5, len(own))
         count = Counter(tuple(own[i:i + size]) for i in range(len(own) - size + 1))
+        if not count.keys() & {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}:
+            continue  # every window has similarity zero
         best = 0.0
         for s in range(max(1, len(words) - len(own) + 1)):
             part = words[s:s + len(own)]
