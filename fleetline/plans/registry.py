@@ -731,6 +731,7 @@ CLOSING_MS = 1710892800000
 
 
 def _closed_positions(spark, sf):
+    spark.conf.set(headway_streams.STATE_STORE, headway_streams.ROCKSDB)
     return runs.closed(sample.vehicle_positions(spark, sf, True), event_time=CLOSING, trip_id="", current_status="STOPPED_AT")
 
 

@@ -109,13 +109,14 @@ def _plain(row: tuple) -> tuple:
     return (trip, name, float(lat), float(lon), int(at))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _matched(positions: DataFrame, horizon: str) -> DataFrame:
     """One row per arrival that has a predecessor, from vehicle positions with a watermark."""
-    # Spark runs this kind of operator on RocksDB only.
-    positions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if positions.sparkSession.conf.get(STATE_STORE) != ROCKSDB:
+        raise ValueError(f"Spark keeps this kind of state in RocksDB only; set {STATE_STORE} to {ROCKSDB}")
     stopped = positions.filter((F.col("current_status") == "STOPPED_AT") & F.col("trip_id").isNotNull())
     rows = stopped.select(*STOP_COLUMNS, "event_time", F.unix_micros("event_time").alias("at"))
     return rows.groupBy(*STOP_KEYS).transformWithStateInPandas(
