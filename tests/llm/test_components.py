@@ -2,12 +2,19 @@
 
 import random
 
+import pytest
+
+from fleetline.llm import components as c
 from fleetline.llm.components import components
 
 
-def test_chains_hubs_repeats_and_loops(spark):
+@pytest.mark.parametrize("within", [True, False])
+def test_chains_hubs_repeats_and_loops(spark, monkeypatch, within):
+    """With stars within tasks, and by the rounds across tasks alone."""
+    if not within:
+        monkeypatch.setattr(c, "_within_tasks", lambda edges: edges)
     rng = random.Random(0)
-    links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(300, 300), (7, 8), (8, 7), (7, 8)]
+    links = [(i, i + 1) for i in range(100, 130)] + [(5, i) for i in range(200, 260)] + [(300, 300), (7, 8), (8, 7), (7, 8)]
     links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(-4, 3)]
     rng.shuffle(links)
     least = {}
