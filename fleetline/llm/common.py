@@ -16,9 +16,9 @@ BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 LOWEST = -(1 << 63)
 
 
-#: Bytes of texts that go to a Python worker at once. Spark's own limit is eight times that, and each batch is held
+#: Bytes of texts that go to a Python worker at once. Spark's own limit is sixteen times that, and each batch is held
 #: several times: as vectors in the JVM, as Arrow data and as strings in the worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from fleetline.session import new_run_dir
 
 CAPACITY, OPEN_SEQUENCES = 1024, 256
 #: Distinct text chunks whose ids a Python worker remembers.
-REMEMBERED_CHUNKS = 1 << 18
+REMEMBERED_CHUNKS = 1 << 17
 #: Half-filled sequences that one task packs together at the end.
 BLOCKS_PER_TASK = 1 << 16
 

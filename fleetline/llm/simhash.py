@@ -156,7 +156,7 @@ def allocate(equal_pairs: list[float], shares: np.ndarray, masks: tuple[int, ...
     Pairs within threshold t of a part are estimated as its equal pairs times the elementary symmetric sums, up to
     order t, of the bits' odds of differing. Probe rows count `ROW_COST` comparisons each.
     """
-    goal = radius - len(masks) + 1
+    goal, n = radius - len(masks) + 1, max(n, 1)  # else an empty table could have any thresholds, and millions of probes
     agree = shares ** 2 + (1 - shares) ** 2
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for mask, pairs in zip(masks, equal_pairs):
