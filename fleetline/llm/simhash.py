@@ -14,9 +14,11 @@ Search over the distinct fingerprints, all steps over all of them:
    never all pairs. Values that more than `CROWD` fingerprints share are cut into chunks and every two chunks meet in a
    task of their own.
 
-`drop_near_duplicates` finds near copies by similarity: the fingerprint that is searched is that of the set of words,
-which changes little with an edit, and links are verified by the exact Jaccard similarity of five-word shingles.
-Trees are then of least distance of words and shingles, so that what holds a group together is its closest pairs.
+`drop_near_duplicates` finds near copies by similarity, not by fingerprint. A text has `HASHES` least hashes of its
+shingles, and texts that agree in all of a band of them meet. Their exact Jaccard similarity is taken on whole texts, in
+rounds: the texts in the middle of a bucket (by sketches of one bit a hash) are compared with the others that are not in
+their group yet, four times as many in each round, until no two texts of a bucket that could be alike are left untried
+in different groups.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null id takes part but
 is no component id unless all of its group are null (then the component id is null); repeated rows are kept; an empty
@@ -352,52 +354,184 @@ def _shingles(text: str, words: int) -> set[bytes]:
     return {b" ".join(tokens[i:i + words]) for i in range(max(len(tokens) - words + 1, min(len(tokens), 1)))}
 
 
-def near_copies(rows: DataFrame, words: int, similarity: float, radius: int, crowd: int = CROWD) -> DataFrame:
+# ---- near copies by similarity ----
+
+#: Least hashes of a text. Their multipliers are odd, so each is a permutation of the 32-bit hashes.
+HASHES = 128
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+#: Share of pairs at exactly the asked similarity that may never meet.
+MISSED = 1e-4
+
+
+def least_hashes(text: str, words: int) -> np.ndarray:
+    """The least value of the shingles' hashes under each permutation; two texts agree in each with their Jaccard similarity."""
+    shingles = _shingles(text, words)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, shingles, repeat(SEED)), np.uint32, len(shingles))
+    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at:at + 4096, None] * MULTIPLIERS).min(axis=0))
+    return least
+
+
+def band_size(similarity: float) -> int:
+    """Hashes in a band: the most with which pairs at the similarity share no band in at most a `MISSED` share of cases."""
+    return max((r for r in range(1, 17) if (1 - similarity ** r) ** (HASHES // r) <= MISSED), default=1)
+
+
+def furthest(similarity: float) -> int:
+    """Differing sketch bits beyond which a pair is not read: six deviations over the mean of pairs at the similarity."""
+    odds = (1 - similarity) / 2
+    return min(int(HASHES * odds + 6 * (HASHES * odds * (1 - odds)) ** 0.5) + 1, HASHES)
+
+
+def bands(least: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit value for each band of a row of least hashes."""
+    n = HASHES // size
+    values = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for part in least[:n * size].reshape(n, size).T.astype(np.uint64):
+        values = (values ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        values ^= values >> np.uint64(32)
+    return values
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each least hash, as two 64-bit values."""
+    return np.packbits((least * np.uint32(0x85EBCA6B)) >> np.uint32(31)).view(np.uint64)
+
+
+def _untried(batches: Iterator[pa.RecordBatch], first: int, last: int, far: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (hub, other) to try, by buckets: hubs are the texts of ranks from `first` to before `last`; see `_bucket_pairs`.
+
+    A row of -1 says that later ranks have pairs as well. Rows come by bucket, which may go on in the next batch.
+    """
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        new = np.ones(len(columns[0]), dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(new)))
+        nodes, groups, bits = columns[3], columns[4], np.column_stack(columns[5:]).view(np.uint64)
+        found = [np.zeros((0, 2), np.int64)]
+        if first == 0:  # of two texts either may be the hub
+            at = starts[sizes == 2]
+            open_ = (groups[at] != groups[at + 1]) & (np.bitwise_count(bits[at] ^ bits[at + 1]).sum(axis=1) <= far)
+            found.append(np.sort(np.column_stack([nodes[at], nodes[at + 1]])[open_], axis=1))
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            part = slice(start, start + size)
+            if size > first + 1 and (groups[part] != groups[start]).any():
+                found += _bucket_pairs(nodes[part], groups[part], bits[part], first, last, far)
+        flat = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
+    rest = None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        if rest is not None:
+            columns = [np.concatenate(pair) for pair in zip(rest, columns)]
+        if not len(columns[0]):
+            continue
+        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        rest = [c[cut:] for c in columns]
+        yield out([c[:cut] for c in columns])
+    if rest is not None:
+        yield out(rest)
+
+
+def _bucket_pairs(nodes: np.ndarray, groups: np.ndarray, bits: np.ndarray, first: int, last: int, far: int) -> list[np.ndarray]:
+    """Texts are ranked by their distance from the bucket's majority sketch, so that an original comes before its copies.
+
+    A text is tried with all of later rank in other groups whose sketches are near enough; over all ranks these are all pairs.
+    """
+    every = np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1)
+    middle = np.packbits(every.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view(np.uint64)
+    order = np.lexsort((nodes, np.bitwise_count(bits ^ middle).sum(axis=1)))
+    nodes, groups, bits = nodes[order], groups[order], bits[order]
+    found = []
+    for rank in range(first, len(nodes) - 1):
+        if rank >= last and not (groups[rank:] != groups[-1]).any():
+            break
+        other = np.flatnonzero(groups[rank + 1:] != groups[rank]) + rank + 1
+        other = other[np.bitwise_count(bits[other] ^ bits[rank]).sum(axis=1) <= far]
+        if rank >= last and len(other):
+            found.append(np.array([[-1, -1]]))
+            break
+        found.append(np.column_stack([np.full(len(other), nodes[rank]), nodes[other]]))
+    return found
+
+
+def _buckets(texts: DataFrame, crowd: int) -> DataFrame:
+    """(value, low, high, node, s0, s1): the texts under each band value that several share.
+
+    Values of more than `crowd` texts are cut into chunks by a hash of the text's row, and every two chunks are a bucket.
+    """
+    met = texts.select("node", F.explode("values").alias("value"))
+    shared = met.groupBy("value").count().filter("count > 1").select("value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
+    placed = met.join(shared, "value").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return placed.select("value", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node").join(
+        texts.select("node", "s0", "s1"), "node")
+
+
+def near_copies(rows: DataFrame, words: int, similarity: float, crowd: int = CROWD) -> DataFrame:
     """(lead, row): the rows to keep of a written table (row, key, text), by the least `key` of each group of near copies.
 
-    Equal texts are one node. Texts link if their word-set fingerprints are within the radius and their shingles'
-    similarity is high enough; the second is checked on whole texts, for the links of the spanning trees.
+    Equal texts are one node. A pair that was tried is not tried again, and pairs inside a group never are.
     """
+    size, far = band_size(similarity), furthest(similarity)
 
-    @F.pandas_udf("mark long, detail long")
+    @F.pandas_udf("values array<long>, s0 long, s1 long")
     def prints(texts):
         import pandas as pd
 
-        both = np.array([(word_set_fingerprint(t), fingerprint(t, words)) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"mark": both[:, 0], "detail": both[:, 1]})
+        least = [least_hashes(t, words) for t in texts]
+        both = np.array([sketch(x) for x in least], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"values": [bands(x, size).view(np.int64) for x in least], "s0": both[:, 0], "s1": both[:, 1]})
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def alike(a, b):
         import pandas as pd
 
-        return pd.Series([shingle_similarity(x, y, words) for x, y in zip(a, b)], dtype=float)
-
-    marked = rows.withColumn("p", prints("text")).select("key", F.md5("text").alias("text_md5"), "p.mark", "p.detail")
-    texts = staged(marked.groupBy("text_md5", "mark", "detail").agg(F.min("key").alias("key")), "texts")
-    nodes = staged(texts.groupBy("mark", "detail").agg(F.min("key").alias("key")), "nodes")
-    plan = make_plan(nodes.select("mark").distinct(), radius)
-    links = near_links(nodes.select("mark", "detail"), plan, radius, crowd)
-    ends = nodes.select("mark", "detail", F.col("key.row").alias("row"))
-    named = links.join(ends.toDF("a", "a_detail", "x"), ["a", "a_detail"]).join(ends.toDF("b", "b_detail", "y"), ["b", "b_detail"]).select("x", "y")
-    # Different texts of one node, each with the node's first.
-    named = named.unionByName(texts.join(ends.toDF("mark", "detail", "x"), ["mark", "detail"]).select(
-        "x", F.col("key.row").alias("y")).filter("x <> y"))
-    whole = rows.select("row", "text")
-    read = named.join(whole.toDF("x", "x_text"), "x").join(whole.toDF("y", "y_text"), "y")
-    found = components(read.filter(alike("x_text", "y_text") >= similarity).select("x", "y"), "x", "y")
-    grouped = texts.select("key").join(found, F.col("key.row") == F.col("node"), "left")
-    return grouped.groupBy(F.coalesce("component", "key.row").alias("lead")).agg(F.min("key").alias("key")).select("lead", "key.row")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
-                         radius: int = 8) -> DataFrame:
+        return pd.Series([shingle_similarity(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    marked = rows.select("key", F.md5("text").alias("text_md5"), prints("text").alias("p"))
+    texts = staged(marked.groupBy("text_md5").agg(F.min(F.struct("key", "p")).alias("m")).select(
+        "m.key", F.col("m.key.row").alias("node"), "m.p.*"), "texts")
+    met = staged(_buckets(texts, crowd), "buckets")
+    whole = staged(rows.select(F.col("row").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi"), "whole")
+    groups, tried, first, last, more = None, None, 0, 1, True
+    while more:
+        named = met.withColumn("group", F.col("node")) if groups is None else met.join(groups, "node", "left").withColumn(
+            "group", F.coalesce("component", "node"))
+        keys = ["value", "low", "high"]
+        dealt = named.select(*keys, "node", "group", "s0", "s1").repartition(*keys).sortWithinPartitions(*keys)
+        # Both ends of the ranks are bound here, in this round of the loop.
+        found = staged(dealt.mapInArrow(lambda b, first=first, last=last: _untried(b, first, last, far), "a long, b long").distinct(), "pairs")
+        more = not found.filter("a < 0").isEmpty()
+        pairs = found.filter("a >= 0")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        # The other text is joined first: with it the pairs of one hub are large, and are split as skew.
+        read = pairs.join(whole.toDF("b", "b_text"), "b").join(whole.toDF("a", "a_text"), "a")
+        checked = staged(read.select("a", "b", alike("a_text", "b_text").alias("same")), "tried")
+        both = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+        links = checked.filter("same").select("a", "b")
+        if groups is not None:
+            links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = staged(components(links, "a", "b"), "groups")
+        first, last = last, 4 * last
+    grouped = texts.select("key", "node").join(groups, "node", "left")
+    return grouped.groupBy(F.coalesce("component", "node").alias("lead")).agg(F.min("key").alias("key")).select("lead", "key.row")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`df` with one row of each group of near copies: that of the smallest id (null ids last; of equal ids, one).
 
-    Near copies are texts whose shingles have at least that Jaccard similarity and whose word sets' fingerprints
-    differ in at most `radius` bits, or which such texts connect. Null, empty and blank texts are copies of each other.
+    Near copies are texts whose shingles have at least that Jaccard similarity, or which such texts connect; a pair at
+    exactly that similarity is overlooked with odds of `MISSED` at most. Null, empty and blank texts are copies of each other.
     """
     row, key = own_name(df, "_row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row"))
     stored = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
     named = stored.select(F.col(row).alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = near_copies(named.select("row", key.alias("key"), "text"), words, similarity, radius)
+    kept = near_copies(named.select("row", key.alias("key"), "text"), words, similarity)
     return stored.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*df.columns)

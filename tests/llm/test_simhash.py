@@ -165,3 +165,45 @@ def test_nulls_blanks_long_texts_repeats_and_no_rows(spark):
     assert s.near_duplicates(df.limit(0)).count() == 0
     kept = s.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted((r[0] for r in kept.collect()), key=str) == [2, 3, 8, None]
+
+
+def brute_force_groups(texts):
+    """Number of each text's group: all pairs of similarity 0.8 or more, and nothing else."""
+    sets = [s._shingles(t, 5) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def edited(rng, words, vocabulary, count):
+    out = words[:]
+    for at in rng.sample(range(len(words)), count):
+        out[at] = rng.choice(vocabulary)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [100, 8192])
+def test_hundreds_of_edited_copies_of_one_text(spark, crowd):
+    """Copies are alike to the original and seldom to each other, so nearly every link runs through it."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}{c}{d}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    texts = []
+    for copies in (400, 150):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        texts += [edited(rng, base, vocabulary, rng.randint(2, 5)) for _ in range(copies)] + [base]
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "struct(row) key", "text")
+    kept = sorted(r["row"] for r in s.near_copies(s.staged(rows, "test"), 5, 0.8, crowd).collect())
+    assert kept == sorted(set(brute_force_groups(texts)))
