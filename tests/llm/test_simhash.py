@@ -207,3 +207,27 @@ def test_hundreds_of_edited_copies_of_one_text(spark, crowd):
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "struct(row) key", "text")
     kept = sorted(r["row"] for r in s.near_copies(s.staged(rows, "test"), 5, 0.8, crowd).collect())
     assert kept == sorted(set(brute_force_groups(texts)))
+
+
+def test_runs_of_text_appended_cut_and_inserted(spark):
+    """Such edits change many words for the same similarity: brute force by similarity alone finds what to keep."""
+    rng = random.Random(12)
+    common = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst"]
+    vocabulary = common * 5 + [f"{a}{b}{c}{d}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+
+    def draw(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    texts, beyond = [], 0
+    for k in range(160):
+        n = rng.randint(60, 400)
+        base, at = draw(n), rng.randrange(n)
+        other = [base + draw(round(n * 0.24)), base[:round(n * 0.82)], base[:at] + draw(round(n * 0.2)) + base[at:],
+                 edited(rng, base, vocabulary, n // 60)][k % 4]
+        pair = " ".join(base), " ".join(other)
+        if s.shingle_similarity(*pair, 5) >= 0.8:
+            beyond += (s.word_set_fingerprint(pair[0]) ^ s.word_set_fingerprint(pair[1])).bit_count() > 8
+        texts += pair
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in s.drop_near_duplicates(df).collect())
+    assert beyond > 10 and kept == sorted(set(brute_force_groups(texts)))
