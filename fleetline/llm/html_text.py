@@ -7,7 +7,7 @@ summed in Spark, wins there. Each page is then read again from the containers on
 that has none falls back to its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and markup never count
-as text. White space inside a block becomes one space, blocks are joined by two line feeds in page order, character
+as text; names (class, id, role) tell them, as do tags. White space inside a block becomes one space, blocks are joined by two line feeds in page order, character
 references are decoded.
 
 Defined results: null or empty html gives an empty text; a page without tags is its own text; unclosed and stray tags
@@ -55,6 +55,8 @@ _BOILERPLATE = frozenset(
     "pagination popup popups promo promoted promotion recommended recommendations related replies reply respond search share sharing "
     "shoutbox sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar "
     "trending widget widgets complementary contentinfo".split())
+#: Those of them that mark what readers wrote, however much of a page it is.
+_READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*\Z|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -71,26 +73,57 @@ class Node:
     parent: Node | None
     dropped: bool
     items: list = field(default_factory=list)
+    #: Dropped only if it holds no more than half of the page's text outside links.
+    doubtful: bool = False
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Generalised class of a tag, and whether its attributes mark boilerplate."""
-    kind, bad = "", False
+#: What an element's names say: nothing, perhaps boilerplate (a word inside a compound name), or boilerplate.
+CLEAN, DOUBTFUL, BOILERPLATE = 0, 1, 2
+
+
+def _named(value: str) -> int:
+    """A name is boilerplate if it is, or begins with, one of the words: `sidebar-left`; `content-with-sidebar` is doubtful."""
+    found = CLEAN
+    for w in value.split():
+        parts = [p for p in re.split(r"[-_]+|\d+", w) if p]
+        if w in _BOILERPLATE or parts and (parts[0] in _BOILERPLATE or parts[-1] in _READERS):
+            return BOILERPLATE
+        if any(p in _BOILERPLATE for p in parts):
+            found = DOUBTFUL
+    return found
+
+
+def _marks(attributes: str) -> tuple[str, bool, int]:
+    """Generalised class of a tag, whether it is hidden, and what its names say."""
+    kind, hidden, named = "", False, CLEAN
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "class":
             kind = ".".join(sorted(set(_WORD.findall(value))))
         if name in ("class", "id", "role"):
-            bad = bad or any(w in _BOILERPLATE or any(p in _BOILERPLATE for p in re.split(r"[-_]+|\d+", w)) for w in value.split())
+            named = max(named, _named(value))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            bad = True
-    return kind, bad
+            hidden = True
+    return kind, hidden, named
+
 
+def _settle(nodes: list[Node]) -> None:
+    """Decides doubtful containers, outermost first, and drops what is inside dropped ones."""
+    if any(n.doubtful for n in nodes):
+        plain: dict[int, int] = {}
+        for node in reversed(nodes):  # inner containers come after outer ones
+            plain[id(node)] = sum((plain[id(x)] if not x.dropped else 0) if isinstance(x, Node) else x[2] - x[1] for x in node.items)
+        whole = plain[id(nodes[0])]
+        for node in nodes:
+            node.dropped = node.dropped or node.doubtful and 2 * plain[id(node)] <= whole
+    for node in nodes:
+        node.dropped = node.dropped or node.parent is not None and node.parent.dropped
 
-def parse(page: str) -> tuple[Node, list[Node]]:
-    """The page's root and all its containers, outermost first.
 
-    A block of text is a list of strings: its text, decoded and cut at inline tags, and the text inside links apart.
+def parse(page: str, by_name: bool = True) -> tuple[Node, list[Node]]:
+    """The page's root and all its containers, outermost first; names drop none if not `by_name`.
+
+    A name never drops html, body, main or an article, but for an article inside another one, which is a comment. A block of text is a list of strings: its text, decoded and cut at inline tags, and the text inside links apart.
     """
     root = Node("#", "", None, False)
     nodes, stack = [root], [("#", root)]
@@ -100,7 +133,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     def flush() -> None:
         nonlocal block
         node = stack[-1][1]
-        if block and not node.dropped:
+        if block and not node.dropped:  # by itself; containers inside are settled at the end
             text = _SPACE.sub(" ", html_lib.unescape("".join(t for t, _ in block))).strip()
             if text:
                 node.items.append((text, sum(len(t) for t, linked in block if linked), sum(len(t) for t, _ in block)))
@@ -158,15 +191,18 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        kind, bad = _marks(m[3]) if m[3] else ("", False)
+        kind, bad, named = _marks(m[3]) if m[3] else ("", False, CLEAN)
+        if not by_name or tag in ("html", "body", "main") or tag == "article" and not any(t == "article" for t, _ in stack):
+            named = CLEAN
+        bad = bad or named == BOILERPLATE
         # A header is site furniture unless it heads an article or section.
         bad = bad or tag in _DROPPED or tag == "header" and not any(t in ("article", "section", "main") for t, _ in stack)
-        if bad or tag in _CONTAINERS:
+        if bad or named or tag in _CONTAINERS:
             step = tag + ("." + kind if kind else "")
             path = f"{holder.path}/{step}"
             if len(path) > LONGEST_PATH:  # a digest keeps equal paths equal
                 path = "#" + hashlib.sha1(path.encode()).hexdigest()
-            node = Node(tag, path, holder, holder.dropped or bad)
+            node = Node(tag, path, holder, holder.dropped or bad, doubtful=named == DOUBTFUL)
             holder.items.append(node)
             nodes.append(node)
             holder = node
@@ -177,6 +213,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     flush()
     close(1)
     flush()
+    _settle(nodes)
     return root, nodes
 
 
@@ -223,16 +260,23 @@ def _on_path(nodes: list[Node], path: str) -> list[Node]:
 
 
 def main_text(page: str | None, path: str | None) -> str:
-    """Text of the containers on `path`, or of the page's best container, or of the whole page."""
+    """Text of the containers on `path`, or of the page's best container, or of the whole page.
+
+    If names leave no text at all, the page is read again without them.
+    """
     if not page:
         return ""
-    root, nodes = parse(page)
-    chosen = _on_path(nodes, path) if path else []
-    found = [b for n in chosen for b in blocks(n)]
-    if not found:
-        own = {p: s for p, s in scores(nodes).items() if s > 0}
-        best = max(own, key=lambda p: (own[p], len(p), p), default=None)
-        found = [b for n in (_on_path(nodes, best) if best else [root]) for b in blocks(n)]
+    found: list[str] = []
+    for by_name in (True, False):
+        root, nodes = parse(page, by_name)
+        chosen = _on_path(nodes, path) if path else []
+        found = [b for n in chosen for b in blocks(n)]
+        if not found:
+            own = {p: s for p, s in scores(nodes).items() if s > 0}
+            best = max(own, key=lambda p: (own[p], len(p), p), default=None)
+            found = [b for n in (_on_path(nodes, best) if best else [root]) for b in blocks(n)]
+        if found:
+            break
     return "\n\n".join(found)
 
 

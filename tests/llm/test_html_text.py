@@ -66,3 +66,27 @@ def test_deep_and_long_pages_are_read_whole():
     assert h.main_text(deep, None) == LONG.strip()
     long = "<article>" + "".join(f"<p>{LONG}{i}</p>" for i in range(3000)) + "</article>"
     assert h.main_text(long, None).count("\n\n") == 2999
+
+
+MENU = "<div class='main-nav'><p>Menu words</p></div><div class='site-footer'>Foot words</div><div id='left-sidebar'><p>Side words</p></div>"
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<html class='no-sidebar'><body class='right-sidebar'><div>", "</div></body></html>"), ("<body class='no-sidebar'><div class=post>", "</div></body>"),
+    ("<body><div class='content-with-sidebar'>", "</div></body>"), ("<body><article class='post category-social'>", "</article></body>"),
+    ("<body><main class='search-results'>", "</main></body>"), ("<body><main><article class='teaser-large post'>", "</article></main></body>"),
+    ("<body><p class='page-header-wide'>", "</p></body>"), ("<body><div class='widget'>", "</div></body>")])
+def test_layout_names_do_not_drop_the_article(spark, start, end):
+    inner = "" if "<p class" in start else f"<p>{LONG}</p>"
+    page = f"{start}{inner or LONG}{end}"
+    assert h.main_text(page, None) == LONG.strip()
+    if "class='widget'" not in start and "<p class" not in start:
+        assert h.main_text(f"{start}{inner}{MENU}{end}", None) == LONG.strip()
+
+
+def test_named_boilerplate_stays_out():
+    """Comments never count, however long, nor does what a word heads."""
+    for name in ("comments", "post-comments", "comments-area", "cookie-notice", "sidebar-left"):
+        assert h.main_text(f"<body><div class=post><p>{LONG}</p></div><div class='{name}'><p>{LONG * 5}</p></div></body>", None) == LONG.strip()
+    nested = f"<article class='post'><p>{LONG}</p><article class='comment'><p>{LONG * 5}</p></article></article>"
+    assert h.main_text(nested, None) == LONG.strip()
