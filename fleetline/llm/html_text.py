@@ -3,8 +3,8 @@
 Pages are split into a tree of block containers. Every container of every page gets a score: its text outside links,
 less for links, navigation words and forms, more for paragraphs. A container's path is generalised to its tags and
 classes, digits and positions left out. Hosts vote: the path whose containers score best over all of a host's pages,
-summed in Spark, wins there. Each page is then read again from the containers on its host's winning path; a page
-that has none falls back to its own best container.
+summed in Spark, wins there. Each page is then read again from the containers on its host's winning path, grown to the
+whole article around them; a page that has none falls back to its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and markup never count
 as text; names (class, id, role) tell them, as do tags. White space inside a block becomes one space, blocks are joined by two line feeds in page order, character
@@ -57,6 +57,9 @@ _BOILERPLATE = frozenset(
     "trending widget widgets complementary contentinfo".split())
 #: Those of them that mark what readers wrote, however much of a page it is.
 _READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words of a class that mark parts of an article.
+_STORY = frozenset("abstract article body content deck entry headline hentry intro introduction lead lede main post standfirst story "
+                   "summary text title".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*\Z|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -259,6 +262,76 @@ def _on_path(nodes: list[Node], path: str) -> list[Node]:
     return [n for n in nodes if n.path == path and not n.dropped]
 
 
+def _sums(nodes: list[Node]) -> dict[int, tuple[int, int]]:
+    """Characters outside and inside links, of each container with all that is in it."""
+    out: dict[int, tuple[int, int]] = {}
+    for node in reversed(nodes):
+        plain = linked = 0
+        for item in node.items:
+            if not isinstance(item, Node):
+                plain, linked = plain + item[2] - item[1], linked + item[1]
+            elif not item.dropped:
+                plain, linked = plain + out[id(item)][0], linked + out[id(item)][1]
+        out[id(node)] = plain, linked
+    return out
+
+
+def _is_story(node: Node) -> bool:
+    return node.tag in ("article", "main") or not _STORY.isdisjoint(node.path.rpartition("/")[2].split(".")[1:])
+
+
+def whole_article(nodes: list[Node], chosen: list[Node]) -> list[Node]:
+    """The containers that hold the article of which `chosen` are parts, in page order, none inside another.
+
+    An article element is one article. Else the article grows to the container around it, as long as that is not the page,
+    has as much text in the chosen parts as beside them (main: any) and is not mostly links beside them. Where it is the
+    page, containers beside the article join it if they have text and a class that says that they are parts of one.
+    """
+    sums = _sums(nodes)
+    page = next((n for n in nodes if n.tag == "body"), nodes[0])
+    ids = {id(n) for n in chosen}
+    tops: dict[int, Node] = {}
+    inside: dict[int, int] = {}  # text of chosen parts in each container around them, outer parts counted once
+    for node in chosen:
+        around, above = node.parent, []
+        while around is not None and id(around) not in ids:
+            above.append(around)
+            around = around.parent
+        if around is None:
+            for n in above:
+                inside[id(n)] = inside.get(id(n), 0) + sums[id(node)][0]
+    for node in chosen:
+        top, around = node, node
+        while around is not None:
+            if around.tag == "article":
+                top = around
+            around = around.parent
+        around = top.parent
+        while top.tag != "article" and around is not None and around is not page and around.parent is not None and around.tag not in ("html", "body"):
+            plain, linked = sums[id(around)]
+            own = inside.get(id(around), plain)
+            beside, beside_linked = plain - own, linked - sums[id(top)][1]
+            is_page = plain == sums[id(page)][0] and not _is_story(around)
+            if beside and (is_page or around.tag != "main" and beside > own or 2 * beside_linked > beside):
+                break
+            if beside or around.tag == "main":
+                top = around
+            around = around.parent
+        tops[id(top)] = top
+        if top.tag not in ("article", "main") and _is_story(top) and top.parent is not None:
+            for n in top.parent.items:
+                if isinstance(n, Node) and not n.dropped and _is_story(n) and sums[id(n)][0] > 2 * sums[id(n)][1]:
+                    tops[id(n)] = n
+
+    def covered(node: Node) -> bool:
+        around = node.parent
+        while around is not None and id(around) not in tops:
+            around = around.parent
+        return around is not None
+
+    return [n for n in nodes if id(n) in tops and not covered(n)]
+
+
 def main_text(page: str | None, path: str | None) -> str:
     """Text of the containers on `path`, or of the page's best container, or of the whole page.
 
@@ -270,11 +343,11 @@ def main_text(page: str | None, path: str | None) -> str:
     for by_name in (True, False):
         root, nodes = parse(page, by_name)
         chosen = _on_path(nodes, path) if path else []
-        found = [b for n in chosen for b in blocks(n)]
+        found = [b for n in whole_article(nodes, chosen) for b in blocks(n)]
         if not found:
             own = {p: s for p, s in scores(nodes).items() if s > 0}
             best = max(own, key=lambda p: (own[p], len(p), p), default=None)
-            found = [b for n in (_on_path(nodes, best) if best else [root]) for b in blocks(n)]
+            found = [b for n in (whole_article(nodes, _on_path(nodes, best)) if best else [root]) for b in blocks(n)]
         if found:
             break
     return "\n\n".join(found)

@@ -90,3 +90,25 @@ def test_named_boilerplate_stays_out():
         assert h.main_text(f"<body><div class=post><p>{LONG}</p></div><div class='{name}'><p>{LONG * 5}</p></div></body>", None) == LONG.strip()
     nested = f"<article class='post'><p>{LONG}</p><article class='comment'><p>{LONG * 5}</p></article></article>"
     assert h.main_text(nested, None) == LONG.strip()
+
+
+PARTS = [("<h1>T</h1>" + f"<p>{LONG * 2}</p>", "T\n\n" + (LONG * 2).strip()), (f"<section class=a><p>{LONG * 8}</p></section>", (LONG * 8).strip()),
+         (f"<section class=b><p>{LONG * 8}</p></section>", (LONG * 8).strip())]
+NESTED = "\n\n".join(t for _, t in PARTS)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article>{''.join(p for p, _ in PARTS)}</article>", NESTED),
+    (f"<article>{''.join(p for p, _ in PARTS)}</article>".replace(" class=a", "").replace(" class=b", ""), NESTED),
+    (f"<main>{''.join(p for p, _ in PARTS)}</main>", NESTED),
+    (f"<div class=story><div class=lead><p>{LONG}</p></div><div class=body><p>{LONG * 6}</p></div></div>", LONG.strip() + "\n\n" + (LONG * 6).strip()),
+    (f"<div class=lead><p>{LONG}</p></div><div class=body><p>{LONG * 6}</p></div><div class=x><p>{LONG}</p></div>", LONG.strip() + "\n\n" + (LONG * 6).strip()),
+    (f"<article><p>{LONG}</p><blockquote><p>{LONG * 5}</p></blockquote><p>End.</p></article>", LONG.strip() + "\n\n" + (LONG * 5).strip() + "\n\nEnd."),
+    (f"<article><p>{LONG}</p><table><tr><td>{LONG * 3}<td class=n>12</table></article>", LONG.strip() + "\n\n" + (LONG * 3).strip() + "\n\n12"),
+    (f"<div class=wrap><div class=c><p>{LONG * 3}</p></div><div class=x><p>{LONG}</p></div></div>", (LONG * 3).strip()),
+])
+def test_the_article_is_whole(spark, page, text):
+    page = f"<body><nav>Menu</nav>{page}<footer>Foot</footer></body>"
+    assert h.main_text(page, None) == text
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert [r["text"] for r in h.extract(df).collect()] == [text] * 3
