@@ -3,7 +3,8 @@
 A text becomes a vector of hashed n-gram counts (two and three bytes of the lower-cased text, everything but letters
 as space), damped, weighted by inverse document frequency and normalised. Each language has a few centroids found by
 spherical k-means; the language of the centroid with the highest cosine wins. A text farther from it than texts of
-that centroid and length are is marked as rejected.
+that language and length are is marked as rejected: the limits come from the cosines of each half of a language's sample
+to centroids of the other half, by the number of different n-grams.
 
 Document frequencies cover all training rows. Centroids are fitted on at most `SAMPLE` training rows a language, those
 whose id and text hash lowest, and for the `MOST_LANGUAGES` most frequent languages.
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from fleetline.llm.common import LOWEST, own_name
 
 DIMENSIONS, CENTROIDS, SAMPLE, MOST_LANGUAGES, ROUNDS = 4096, 3, 1000, 256, 12
-#: A text is rejected below this share of the lowest cosine in ten thousand of its centroid's sample. A text of few
-#: n-grams cannot come near any centroid, so below `FULL_FEATURES` different ones the limit falls with their square root.
-REJECT_SHARE, FULL_FEATURES = 0.25, 200
+#: A text is rejected below this quantile of the shares that held-out texts of its language reach of the cosine usual
+#: for their number of n-grams, but never at more than `STRICTEST` of it: few rows say little about the rare ones.
+REJECT_QUANTILE, STRICTEST = 0.005, 0.5
+#: Held-out rows of one length at least, and the numbers of n-grams (powers of two) for which a limit is kept.
+LENGTH_ROWS, LENGTHS = 20, np.arange(13.0)
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -63,7 +66,7 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Centroids:
-    """The fitted model: a language, a unit vector and a rejection limit for each centroid."""
+    """The fitted model: a language, a unit vector and rejection limits, one for each of `LENGTHS`, for each centroid."""
 
     languages: tuple[str, ...]
     idf: np.ndarray
@@ -76,8 +79,10 @@ class Centroids:
         cosines = rows @ self.vectors.T
         best = cosines.argmax(axis=1)
         cosine = cosines[np.arange(len(texts)), best]
-        length = np.sqrt(np.minimum((rows > 0).sum(axis=1) / FULL_FEATURES, 1.0))
-        return best, cosine, cosine < self.limits[best] * length
+        length = np.log2(np.maximum((rows > 0).sum(axis=1), 1))
+        low = np.minimum(length.astype(int), len(LENGTHS) - 2)
+        share = length - low
+        return best, cosine, cosine < self.limits[best, low] * (1 - share) + self.limits[best, low + 1] * share
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +103,27 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np
     return centres, (rows @ centres.T).argmax(axis=1)
 
 
+def rejection_limits(rows: np.ndarray) -> np.ndarray:
+    """Least cosine of a text of the language whose unit rows these are, for each of `LENGTHS`.
+
+    Each half of the rows is held out from the centroids that it is compared with. The usual cosine of a length is the
+    median of rows of about that length; below the shortest it falls with the square root of the number of n-grams.
+    """
+    cosines, halves = np.ones(len(rows)), (np.arange(len(rows)) % 2 == 0, np.arange(len(rows)) % 2 == 1)
+    for held, others in (halves, halves[::-1]):
+        if held.any() and others.any():
+            cosines[held] = (rows[held] @ spherical_kmeans(rows[others], CENTROIDS)[0].T).max(axis=1)
+    length = np.log2(np.maximum((rows > 0).sum(axis=1), 1))
+    parts = np.array_split(np.argsort(length, kind="stable"), max(len(rows) // LENGTH_ROWS, 1))
+    known, usual = (np.array([np.median(v[p]) for p in parts]) for v in (length, cosines))
+
+    def expected(at: np.ndarray) -> np.ndarray:
+        return np.interp(at, known, usual) * np.sqrt(2.0 ** np.minimum(at - known[0], 0))
+
+    shares = cosines / np.maximum(expected(length), 1e-12)
+    return expected(LENGTHS) * np.clip(np.quantile(shares, REJECT_QUANTILE), 0, STRICTEST)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (feature, documents that have it); feature -1 counts all documents."""
     seen, total = np.zeros(DIMENSIONS, dtype=np.int64), 0
@@ -122,7 +148,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("distinct"))
     most = {r["lang"]: min(2 * SAMPLE / r["distinct"], 1.0) for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not most:
-        return Centroids((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32))
+        return Centroids((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS))))
     bounds = {lang: min(int(LOWEST + share * 2.0 ** 64), -1 - LOWEST) for lang, share in most.items()}
     bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
 
@@ -131,17 +157,16 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if not texts:
             return pd.DataFrame({"lang": [], "centre": [], "low": []})
         units = vectors(texts, idf)
-        centres, own = spherical_kmeans(units, CENTROIDS)
-        cosines = (units * centres[own]).sum(axis=1)
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "low": [
-            float(np.quantile(cosines[own == i], 1e-4)) if (own == i).any() else 0.0 for i in range(len(centres))]})
+        centres, _ = spherical_kmeans(units, CENTROIDS)
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [c.tobytes() for c in centres],
+                             "low": [rejection_limits(units).tobytes()] * len(centres)})
 
     sample = rows.filter(F.col("key") <= bound).dropDuplicates(["lang", "key"])
-    learned = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, low double").collect()
+    learned = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, low binary").collect()
     learned.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
     return Centroids(tuple(r["lang"] for r in learned), idf,
                      np.array([np.frombuffer(r["centre"], np.float32) for r in learned]).reshape(-1, DIMENSIONS),
-                     np.array([r["low"] * REJECT_SHARE for r in learned]))
+                     np.array([np.frombuffer(r["low"]) for r in learned]).reshape(-1, len(LENGTHS)))
 
 
 def predict(model: Centroids, text: Column) -> Column:

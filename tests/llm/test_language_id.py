@@ -51,3 +51,24 @@ def test_repeated_rows_do_not_crowd_the_sample(spark, monkeypatch):
     same = spark.createDataFrame([(None, "the same text again and again", "en", 0)] * 500, "doc_id long, text string, lang string, score int")
     model = lid.fit(small(spark).unionByName(same))
     assert set(model.languages) == {"en", "de"}
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    """Leaving out one language at a time: its rows are rejected, clean rows of the others are kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang IS NOT NULL").cache()
+    rows = [r for r in docs.collect() if lid.has_letter(r["text"])]
+    for left in ("de", "en", "fr"):
+        model = lid.fit(docs.filter(f"lang <> '{left}' AND doc_id % 2 = 0"))
+        foreign = model.nearest([r["text"] for r in rows if r["lang"] == left])[2]
+        own = model.nearest([r["text"] for r in rows if r["lang"] != left and r["doc_id"] % 2])[2]
+        assert foreign.mean() > 0.9 and own.mean() < 0.02, (left, foreign.mean(), own.mean())
+
+
+def test_limits_do_not_swing_with_one_outlier():
+    """A row alone in its cluster sets no limit for all."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijkl"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(5, 80))) for _ in range(200)]
+    idf = np.ones(lid.DIMENSIONS, np.float32)
+    with_one, without = (lid.rejection_limits(lid.vectors(t, idf)) for t in (texts + ["zzz qqq xxx www " * 9], texts))
+    assert np.abs(with_one - without).max() < 0.05
