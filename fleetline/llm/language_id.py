@@ -7,7 +7,7 @@ that language and length are is marked as rejected: the limits come from the cos
 to centroids of the other half, by the number of different n-grams.
 
 Document frequencies cover all training rows. Centroids are fitted on at most `SAMPLE` training rows a language, those
-whose id and text hash lowest, and for the `MOST_LANGUAGES` most frequent languages.
+whose id and text hash lowest, for every language that occurs.
 
 Defined results: a null text or one without a letter has language `und`, score 0 and is rejected, even if no language
 could be learned; equal cosines go to the first language in alphabetical order; equal texts have equal results; rows
@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.llm.common import LOWEST, own_name
+from fleetline.session import staged
 
-DIMENSIONS, CENTROIDS, SAMPLE, MOST_LANGUAGES, ROUNDS = 4096, 3, 1000, 256, 12
+DIMENSIONS, CENTROIDS, SAMPLE, ROUNDS = 4096, 3, 1000, 12
 #: A text is rejected below this quantile of the shares that held-out texts of its language reach of the cosine usual
 #: for their number of n-grams, but never at more than `STRICTEST` of it: few rows say little about the rare ones.
 REJECT_QUANTILE, STRICTEST = 0.005, 0.5
@@ -143,14 +144,12 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     found = dict(frequent)
     total = found.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([found.get(i, 0) for i in range(DIMENSIONS)]))).astype(np.float32) + np.float32(0.05)
-    # Keys are uniform 64-bit hashes, so a share of the distinct rows is a share of the range of keys. Only the counts
-    # by language come to the driver; twice the sample is taken, and cut to the lowest keys where it is clustered.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("distinct"))
-    most = {r["lang"]: min(2 * SAMPLE / r["distinct"], 1.0) for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not most:
-        return Centroids((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS))))
-    bounds = {lang: min(int(LOWEST + share * 2.0 ** 64), -1 - LOWEST) for lang, share in most.items()}
-    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+    # Keys are uniform 64-bit hashes, so a share of the distinct rows is a share of the range of keys. Twice the sample is
+    # taken, and cut to the lowest keys where it is clustered.
+    share = F.least(F.lit(2.0 * SAMPLE) / F.approx_count_distinct("key"), F.lit(1.0))
+    # Written, so its size is known and texts are not shuffled to join it.
+    bounds = staged(rows.groupBy("lang").agg(F.when(share >= 1, F.lit(-1 - LOWEST)).otherwise(
+        (F.lit(float(LOWEST)) + share * 2.0 ** 64).cast("long")).alias("bound")), "bounds")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in part.sort_values("key")["text"][:SAMPLE] if has_letter(t)]
@@ -161,7 +160,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [c.tobytes() for c in centres],
                              "low": [rejection_limits(units).tobytes()] * len(centres)})
 
-    sample = rows.filter(F.col("key") <= bound).dropDuplicates(["lang", "key"])
+    sample = rows.join(bounds, "lang").filter("key <= bound").select("key", "text", "lang").dropDuplicates(["lang", "key"])
     learned = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, low binary").collect()
     learned.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
     return Centroids(tuple(r["lang"] for r in learned), idf,

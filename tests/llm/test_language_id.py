@@ -72,3 +72,10 @@ def test_limits_do_not_swing_with_one_outlier():
     idf = np.ones(lid.DIMENSIONS, np.float32)
     with_one, without = (lid.rejection_limits(lid.vectors(t, idf)) for t in (texts + ["zzz qqq xxx www " * 9], texts))
     assert np.abs(with_one - without).max() < 0.05
+
+
+def test_every_language_is_learned(spark):
+    """However many there are, also those of one row."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"x{i}") for i in range(300)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {f"x{i}" for i in range(300)}
