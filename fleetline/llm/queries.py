@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole test tables, with production parameters."""
+"""The operators as queries over the whole test tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.llm import decontaminate, digest, html_text, language_id, lattice_lm, packing, pii, quality, sharding, simhash
+from fleetline.llm import conversations, decontaminate, digest, filter_audit, html_text, language_id, lattice_lm, minhash, packing, pii
+from fleetline.llm import quality, sharding, simhash
 from fleetline.llm.common import bounded_batches, fold, table
 from fleetline.session import staged
 
@@ -105,3 +106,19 @@ def op6_lattice_lm(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = lattice_lm.score_documents(docs, fold("doc_id", 5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.select("doc_id", (~F.col("learned_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score")
+
+
+@query
+def op11_conversations(spark, sf):
+    """The rows are damaged as the contract says before they are audited."""
+    return conversations.audit(conversations.damaged(table(spark, sf, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op12_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op13_filter_audit(spark, sf):
+    return filter_audit.report(filter_audit.combinations(table(spark, sf, "documents"), table(spark, sf, "labels")))
