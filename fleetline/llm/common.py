@@ -46,10 +46,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shuffle_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_buckets(df: DataFrame, id_col: str, hash_col: str, bucket_rows: int = BUCKET_ROWS):
     """A column that deals rows to buckets in ascending (id, hash) order, and the number of rows.
 

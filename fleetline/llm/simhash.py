@@ -14,15 +14,9 @@ Search over the distinct fingerprints, all steps over all of them:
    never all pairs. Values that more than `CROWD` fingerprints share are cut into chunks and every two chunks meet in a
    task of their own.
 
-`drop_near_duplicates` finds near copies by similarity, not by fingerprint. A text has `HASHES` least hashes of its
-shingles, and texts that agree in all of a band of them meet. Their exact Jaccard similarity is taken on whole texts, in
-rounds: the texts in the middle of a bucket (by sketches of one bit a hash) are compared with the others that are not in
-their group yet, four times as many in each round, until no two texts of a bucket that could be alike are left untried
-in different groups.
-
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null id takes part but
-is no component id unless all of its group are null (then the component id is null); repeated rows are kept; an empty
-table gives an empty result; a text is read whole.
+is no component id unless all of its group are null (then the component id is null); repeated rows are kept; columns beside
+id and text are ignored, whatever their names; an empty table gives an empty result; a text is read whole, however long.
 """
 
 from __future__ import annotations
@@ -34,7 +28,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetline.llm.common import own_name
@@ -72,16 +66,6 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def word_set_fingerprint(text: str) -> int:
-    """Unsigned SimHash of the distinct A-Z-lowered words."""
-    tokens = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
-    if not tokens:
-        return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(SEED)), np.uint64, len(tokens))
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.uint64)[0])
-
-
 def with_fingerprints(df: DataFrame, text_col: str, name: str, words: int = SHINGLE_WORDS) -> DataFrame:
     """`df` with the fingerprint as a signed 64-bit number."""
 
@@ -208,7 +192,7 @@ def make_plan(marks: DataFrame, radius: int = RADIUS) -> Plan:
 # ---- probe and verify ----
 
 def _meetings(marks: DataFrame, plan: Plan) -> DataFrame:
-    """(part, value, probe, mark, detail): each fingerprint under its own value and under those that it probes."""
+    """(part, value, probe, mark): each fingerprint under its own value and under those that it probes."""
     places = []
     for part, (mask, threshold) in enumerate(zip(plan.masks, plan.thresholds)):
         if threshold < 0:
@@ -222,15 +206,11 @@ def _meetings(marks: DataFrame, plan: Plan) -> DataFrame:
             zero = F.filter(listed, lambda x: F.col("mark").bitwiseAND(x["high"]) == 0)
             places.append(F.transform(zero, lambda x: F.struct(  # called at once, in this turn of the loop
                 F.lit(part).alias("part"), own.bitwiseXOR(x["flip"]).alias("value"), F.lit(True).alias("probe"))))
-    return marks.select("mark", "detail", F.explode(F.concat(*places)).alias("at")).select("at.part", "at.value", "at.probe", "mark", "detail")
+    return marks.select("mark", F.explode(F.concat(*places)).alias("at")).select("at.part", "at.value", "at.probe", "mark")
 
 
 def near_links(marks: DataFrame, plan: Plan, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, a_detail, b, b_detail) that connect all distinct rows whose `mark`s are within the radius.
-
-    `detail` is a second fingerprint, or zero: of several ways to connect a crowd, the one of least distance in both
-    fingerprints together is kept.
-    """
+    """Links (a, b) that connect all distinct `mark`s within the radius."""
     met = _meetings(marks, plan)
     used = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("mark").bitwiseAND(F.lit(signed(m))).alias("value"))
                                for p, (m, t) in enumerate(zip(plan.masks, plan.thresholds)) if t >= 0]))
@@ -245,18 +225,18 @@ def near_links(marks: DataFrame, plan: Plan, radius: int = RADIUS, crowd: int =
             "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns(
             {"low": F.least("side", "other"), "high": F.greatest("side", "other")})
         rest = met.join(crowded.select("part", "value"), ["part", "value"], "left_anti")
-        columns = ["part", "value", "low", "high", "probe", "mark", "detail"]
+        columns = ["part", "value", "low", "high", "probe", "mark"]
         met = rest.select(*columns).unionByName(cut.select(*columns))
     keys = ["part", "value", "low", "high"]
-    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "probe").select(*keys, "probe", "mark", "detail")
-    return dealt.mapInArrow(lambda b: _verify(b, radius), "a long, a_detail long, b long, b_detail long").distinct()
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "probe").select(*keys, "probe", "mark")
+    return dealt.mapInArrow(lambda b: _verify(b, radius), "a long, b long").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, stored ones before probes; a bucket may go on in the next batch."""
     rest = None
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if rest is not None:
             columns = [np.concatenate(pair) for pair in zip(rest, columns)]
         n = len(columns[0])
@@ -273,51 +253,48 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield _links(new, *rest[4:], radius)
 
 
-def _links(new: np.ndarray, probe: np.ndarray, marks: np.ndarray, details: np.ndarray, radius: int) -> pa.RecordBatch:
-    # Unsigned: the bits of a negative number would be counted in its absolute value.
-    both = np.column_stack([marks, details]).view(np.uint64)
+def _links(new: np.ndarray, probe: np.ndarray, marks: np.ndarray, radius: int) -> pa.RecordBatch:
+    marks = marks.view(np.uint64)  # the bits of a negative number would be counted in its absolute value
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(new)))
-    pairs = [np.zeros((0, 4), np.uint64)]
+    pairs = [np.zeros((0, 2), np.uint64)]
     if len(starts):
         bucket, size_of = np.cumsum(new) - 1, np.repeat(sizes, sizes)
         small = (size_of > 1) & (size_of <= SMALL) & np.repeat(~probe[starts], sizes)
-        bucket, values, stored = bucket[small], both[small], ~probe[small].astype(bool)
+        bucket, values, stored = bucket[small], marks[small], ~probe[small].astype(bool)
         for shift in range(1, min(SMALL, len(values))):
             same = (bucket[shift:] == bucket[:-shift]) & stored[:-shift]
             if not same.any():
                 break
             x, y = values[:-shift][same], values[shift:][same]
-            close = np.bitwise_count(x[:, 0] ^ y[:, 0]) <= radius
-            pairs.append(np.hstack([x[close], y[close]]))
+            close = np.bitwise_count(x ^ y) <= radius
+            pairs.append(np.column_stack([x[close], y[close]]))
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             if not probe[start]:
-                pairs.append(spanning_links(both[start:start + size], radius))
+                pairs.append(spanning_links(marks[start:start + size], radius))
     flat = np.concatenate(pairs).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(4)], names=["a", "a_detail", "b", "b_detail"])
+    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
 
 
-def spanning_links(rows: np.ndarray, radius: int) -> np.ndarray:
-    """The minimum spanning tree (or forest) of (mark, detail) rows whose marks are within the radius, as rows of pairs.
+def spanning_links(marks: np.ndarray, radius: int) -> np.ndarray:
+    """The minimum spanning tree (or forest) of the marks within the radius of each other, as rows of pairs.
 
-    The weight of a link is the distance of marks and details together. Trees grow from the rows reached so far by the
-    nearest other row, in time quadratic and memory linear in the rows, which `CROWD` bounds.
+    Trees grow from the marks reached so far by the nearest other one, in time quadratic and memory linear in the marks,
+    which `CROWD` bounds.
     """
-    rows = np.unique(rows, axis=0)
-    marks, details = rows[:, 0].copy(), rows[:, 1].copy()
+    marks = np.unique(marks)
     unreached, done = 1 << 14, 1 << 15
-    weight = np.full(len(rows), unreached, dtype=np.int32)
-    parent = np.full(len(rows), -1)
+    weight = np.full(len(marks), unreached, dtype=np.int32)
+    parent = np.full(len(marks), -1)
     at = 0
-    for _ in range(len(rows)):
+    for _ in range(len(marks)):
         weight[at] = done
         near = np.bitwise_count(marks ^ marks[at])
-        own = near.astype(np.int32) + np.bitwise_count(details ^ details[at])
-        closer = (near <= radius) & (own < weight) & (weight < done)
-        weight[closer], parent[closer] = own[closer], at
+        closer = (near <= radius) & (near < weight) & (weight < done)
+        weight[closer], parent[closer] = near[closer], at
         at = int(weight.argmin())
     child = np.flatnonzero(parent >= 0)
-    return np.hstack([rows[parent[child]], rows[child]])
+    return np.column_stack([marks[parent[child]], marks[child]])
 
 
 # ---- operator ----
@@ -334,7 +311,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def label_marks(marked: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(id, mark) with `component_id`. Equal fingerprints are one node; their rows are never compared."""
     nodes = staged(marked.groupBy("mark").agg(F.min("id").alias("lead")), "nodes")
-    links = near_links(nodes.select("mark", F.lit(0).cast("long").alias("detail")), make_plan(nodes, radius), radius, crowd)
+    links = near_links(nodes.select("mark"), make_plan(nodes, radius), radius, crowd)
     found = components(links, "a", "b")
     labelled = nodes.join(found, nodes["mark"] == found["node"], "left").select(
         "mark", "lead", F.coalesce("component", "mark").alias("group"))
@@ -343,195 +320,23 @@ def label_marks(marked: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
     return marked.join(names, "mark")
 
 
-def shingle_similarity(a: str, b: str, words: int) -> float:
-    """Jaccard similarity of the sets of A-Z-lowered word shingles (all words of a shorter text); 1 for two wordless texts."""
-    x, y = (_shingles(t, words) for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def _shingles(text: str, words: int) -> set[bytes]:
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(tokens[i:i + words]) for i in range(max(len(tokens) - words + 1, min(len(tokens), 1)))}
-
-
-# ---- near copies by similarity ----
-
-#: Least hashes of a text. Their multipliers are odd, so each is a permutation of the 32-bit hashes.
-HASHES = 128
-MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-#: Share of pairs at exactly the asked similarity that may never meet.
-MISSED = 1e-4
-
-
-def least_hashes(text: str, words: int) -> np.ndarray:
-    """The least value of the shingles' hashes under each permutation; two texts agree in each with their Jaccard similarity."""
-    shingles = _shingles(text, words)
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, shingles, repeat(SEED)), np.uint32, len(shingles))
-    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at:at + 4096, None] * MULTIPLIERS).min(axis=0))
-    return least
-
-
-def band_size(similarity: float) -> int:
-    """Hashes in a band: the most with which pairs at the similarity share no band in at most a `MISSED` share of cases."""
-    return max((r for r in range(1, 17) if (1 - similarity ** r) ** (HASHES // r) <= MISSED), default=1)
-
-
-def furthest(similarity: float) -> int:
-    """Differing sketch bits beyond which a pair is not read: six deviations over the mean of pairs at the similarity."""
-    odds = (1 - similarity) / 2
-    return min(int(HASHES * odds + 6 * (HASHES * odds * (1 - odds)) ** 0.5) + 1, HASHES)
-
-
-def bands(least: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit value for each band of a row of least hashes."""
-    n = HASHES // size
-    values = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in least[:n * size].reshape(n, size).T.astype(np.uint64):
-        values = (values ^ part) * np.uint64(0xD6E8FEB86659FD93)
-        values ^= values >> np.uint64(32)
-    return values
-
-
-def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each least hash, as two 64-bit values."""
-    return np.packbits((least * np.uint32(0x85EBCA6B)) >> np.uint32(31)).view(np.uint64)
-
-
-def _untried(batches: Iterator[pa.RecordBatch], first: int, last: int, far: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (hub, other) to try, by buckets: hubs are the texts of ranks from `first` to before `last`; see `_bucket_pairs`.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+                         words: int = SHINGLE_WORDS, crowd: int = CROWD) -> DataFrame:
+    """`df` with one row of each group of `near_duplicates`: that of the smallest id, null ids last.
 
-    A row of -1 says that later ranks have pairs as well. Rows come by bucket, which may go on in the next batch.
+    Of rows with one id and text, the least by all columns stays. Rows are named by id and a hash of the text, so texts are
+    shuffled once at most, by the join with the names of the rows that stay.
     """
-    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        new = np.ones(len(columns[0]), dtype=bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(new)))
-        nodes, groups, bits = columns[3], columns[4], np.column_stack(columns[5:]).view(np.uint64)
-        found = [np.zeros((0, 2), np.int64)]
-        if first == 0:  # of two texts either may be the hub
-            at = starts[sizes == 2]
-            open_ = (groups[at] != groups[at + 1]) & (np.bitwise_count(bits[at] ^ bits[at + 1]).sum(axis=1) <= far)
-            found.append(np.sort(np.column_stack([nodes[at], nodes[at + 1]])[open_], axis=1))
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            part = slice(start, start + size)
-            if size > first + 1 and (groups[part] != groups[start]).any():
-                found += _bucket_pairs(nodes[part], groups[part], bits[part], first, last, far)
-        flat = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
-
-    rest = None
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        if rest is not None:
-            columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-        if not len(columns[0]):
-            continue
-        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-        rest = [c[cut:] for c in columns]
-        yield out([c[:cut] for c in columns])
-    if rest is not None:
-        yield out(rest)
-
-
-def _bucket_pairs(nodes: np.ndarray, groups: np.ndarray, bits: np.ndarray, first: int, last: int, far: int) -> list[np.ndarray]:
-    """Texts are ranked by their distance from the bucket's majority sketch, so that an original comes before its copies.
-
-    A text is tried with all of later rank in other groups whose sketches are near enough; over all ranks these are all pairs.
-    """
-    every = np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1)
-    middle = np.packbits(every.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view(np.uint64)
-    order = np.lexsort((nodes, np.bitwise_count(bits ^ middle).sum(axis=1)))
-    nodes, groups, bits = nodes[order], groups[order], bits[order]
-    found = []
-    for rank in range(first, len(nodes) - 1):
-        if rank >= last and not (groups[rank:] != groups[-1]).any():
-            break
-        other = np.flatnonzero(groups[rank + 1:] != groups[rank]) + rank + 1
-        other = other[np.bitwise_count(bits[other] ^ bits[rank]).sum(axis=1) <= far]
-        if rank >= last and len(other):
-            found.append(np.array([[-1, -1]]))
-            break
-        found.append(np.column_stack([np.full(len(other), nodes[rank]), nodes[other]]))
-    return found
-
-
-def _buckets(texts: DataFrame, crowd: int) -> DataFrame:
-    """(value, low, high, node, s0, s1): the texts under each band value that several share.
-
-    Values of more than `crowd` texts are cut into chunks by a hash of the text's row, and every two chunks are a bucket.
-    """
-    met = texts.select("node", F.explode("values").alias("value"))
-    shared = met.groupBy("value").count().filter("count > 1").select("value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
-    placed = met.join(shared, "value").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return placed.select("value", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node").join(
-        texts.select("node", "s0", "s1"), "node")
-
-
-def near_copies(rows: DataFrame, words: int, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(lead, row): the rows to keep of a written table (row, key, text), by the least `key` of each group of near copies.
-
-    Equal texts are one node. A pair that was tried is not tried again, and pairs inside a group never are.
-    """
-    size, far = band_size(similarity), furthest(similarity)
-
-    @F.pandas_udf("values array<long>, s0 long, s1 long")
-    def prints(texts):
-        import pandas as pd
-
-        least = [least_hashes(t, words) for t in texts]
-        both = np.array([sketch(x) for x in least], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"values": [bands(x, size).view(np.int64) for x in least], "s0": both[:, 0], "s1": both[:, 1]})
-
-    @F.pandas_udf("boolean")
-    def alike(a, b):
-        import pandas as pd
-
-        return pd.Series([shingle_similarity(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
-
-    marked = rows.select("key", F.md5("text").alias("text_md5"), prints("text").alias("p"))
-    texts = staged(marked.groupBy("text_md5").agg(F.min(F.struct("key", "p")).alias("m")).select(
-        "m.key", F.col("m.key.row").alias("node"), "m.p.*"), "texts")
-    met = staged(_buckets(texts, crowd), "buckets")
-    whole = staged(rows.select(F.col("row").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi"), "whole")
-    groups, tried, first, last, more = None, None, 0, 1, True
-    while more:
-        named = met.withColumn("group", F.col("node")) if groups is None else met.join(groups, "node", "left").withColumn(
-            "group", F.coalesce("component", "node"))
-        keys = ["value", "low", "high"]
-        dealt = named.select(*keys, "node", "group", "s0", "s1").repartition(*keys).sortWithinPartitions(*keys)
-        # Both ends of the ranks are bound here, in this round of the loop.
-        found = staged(dealt.mapInArrow(lambda b, first=first, last=last: _untried(b, first, last, far), "a long, b long").distinct(), "pairs")
-        more = not found.filter("a < 0").isEmpty()
-        pairs = found.filter("a >= 0")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        # The other text is joined first: with it the pairs of one hub are large, and are split as skew.
-        read = pairs.join(whole.toDF("b", "b_text"), "b").join(whole.toDF("a", "a_text"), "a")
-        checked = staged(read.select("a", "b", alike("a_text", "b_text").alias("same")), "tried")
-        both = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
-        links = checked.filter("same").select("a", "b")
-        if groups is not None:
-            links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = staged(components(links, "a", "b"), "groups")
-        first, last = last, 4 * last
-    grouped = texts.select("key", "node").join(groups, "node", "left")
-    return grouped.groupBy(F.coalesce("component", "node").alias("lead")).agg(F.min("key").alias("key")).select("lead", "key.row")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`df` with one row of each group of near copies: that of the smallest id (null ids last; of equal ids, one).
-
-    Near copies are texts whose shingles have at least that Jaccard similarity, or which such texts connect; a pair at
-    exactly that similarity is overlooked with odds of `MISSED` at most. Null, empty and blank texts are copies of each other.
-    """
-    row, key = own_name(df, "_row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row"))
-    stored = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    named = stored.select(F.col(row).alias("row"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = near_copies(named.select("row", key.alias("key"), "text"), words, similarity)
-    return stored.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*df.columns)
+    name = own_name(df, "_hash")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = df.withColumn(name, F.xxhash64(text))
+    rows = hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("hash")).alias("id"),
+                         text.alias("text"))
+    marked = staged(with_fingerprints(rows, "text", "mark", words).select("id", "mark"), "marks")
+    firsts = label_marks(marked, radius, crowd).filter("id <=> component_id").groupBy("component_id").agg(F.count("*").alias("n"))
+    kept_id, kept_hash, copies = (own_name(df, n) for n in ("_kept_id", "_kept_hash", "_copies"))
+    kept = staged(firsts.select("component_id.id", "component_id.hash", "n"), "kept").toDF(kept_id, kept_hash, copies)
+    met = hashed.join(kept, (F.col(name) == F.col(kept_hash)) & F.col(id_col).eqNullSafe(F.col(kept_id)))
+    order = Window.partitionBy(kept_id, kept_hash).orderBy(*df.columns)
+    again = met.filter(F.col(copies) > 1).withColumn(copies, F.row_number().over(order))
+    return met.filter(F.col(copies) == 1).unionByName(again.filter(F.col(copies) == 1)).select(*df.columns)

@@ -3,13 +3,11 @@
 import importlib.util
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline as cp
 from fleetline.llm import language_id, pii
-from fleetline.llm import simhash as s
 
 
 def helper(name):
@@ -50,21 +48,9 @@ def test_language(spark, stages):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    rows = sorted(before, key=lambda r: r["doc_id"])
-    marks = np.array([s.word_set_fingerprint(r["text"]) for r in rows], dtype=np.uint64)
-    parent = list(range(len(rows)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(marks[:i] ^ marks[i]) <= 8):
-            if s.shingle_similarity(rows[i]["text"], rows[j]["text"], 5) >= 0.8:
-                a, b = sorted((top(i), top(int(j))))
-                parent[b] = a
-    assert ids(after) == [rows[i]["doc_id"] for i in range(len(rows)) if top(i) == i] and len(after) < len(before)
+    plain = helper("test_simhash")
+    groups = plain.plain_groups([(r["doc_id"], plain.plain_fingerprint(r["text"])) for r in before])
+    assert ids(after) == sorted({c for _, _, c in groups}) and len(after) < len(before)
 
 
 def test_decontamination(spark, sf_dir, stages):
@@ -98,7 +84,7 @@ def test_packing(stages):
 
 def test_registered_queries(spark, sf_dir):
     found = contract.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)] == [1] * 13 and "pipeline" in found
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, sf_dir)
