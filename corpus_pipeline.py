@@ -24,9 +24,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies."""
+    """The row with the smallest id of each group whose fingerprints of four words are linked at four bits or fewer."""
     bounded_batches(spark)
-    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, words=4, radius=4)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
