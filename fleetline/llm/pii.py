@@ -10,12 +10,14 @@ The fit needs only the number of candidates for each pattern of votes and featur
 is bounded by the labelers and binary features, not by the data.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points, ends exclusive; repeated rows
-have equal spans; with no candidates nothing is fitted and nothing added; an empty table gives an empty result.
+have equal spans; runs of digits may have any length; with no candidates nothing is fitted and nothing added; a column named
+like a new one is replaced, all others pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +72,11 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _octet(digits: str) -> bool:
+    """At most 255; digits of equal length are ordered like their numbers, however long the run was."""
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, one look at each @: back to the start of the local part, forward over the domain."""
     done, at = 0, text.find("@")
@@ -89,7 +96,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if not any("0" <= c <= "9" for c in text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(p.lstrip("0")) for p in m.group().split("."))]
     out += [("card", *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := digits_of(m.group())) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(digits_of(m.group())) <= 15]
@@ -109,14 +116,27 @@ def _loose(text: str) -> Iterator[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]]:
     """(kind, start, end, base, votes, features); votes are 1 for, 0 against, -1 none."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _merged((s, e) for _, s, e in base)
+    starts = [s for s, _ in taken]
     out = [(*span, True, *_votes(text, *span, True)) for span in base]
     for kind, start, end in _loose(text):
-        if not any(s < end and start < e for s, e in taken):
+        before = bisect_left(starts, end) - 1  # the last taken stretch that starts before this end
+        if before < 0 or taken[before][1] <= start:
             out.append((kind, start, end, False, *_votes(text, kind, start, end, False)))
     return out
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
     span, before, after = text[start:end], text[max(0, start - WINDOW):start], text[end:end + WINDOW]
     digits = digits_of(span)

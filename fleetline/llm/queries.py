@@ -40,12 +40,12 @@ def op9_fingerprints(spark, sf):
 @query
 def op10_sharding(spark, sf):
     """Texts are reduced to size and checksum before rows are dealt, as only those are returned."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = sharding.shard_rows(docs, shards=8)
-    return rows.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.xxhash64(text).alias("hash"), (F.octet_length(text.cast("binary")) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard_rows(rows, shards=8, hash_col="hash").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

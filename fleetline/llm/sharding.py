@@ -64,15 +64,17 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return place(number)
 
 
-def number_rows(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, id_col: str, text_col: str, name: str, hash_col: str | None = None) -> tuple[DataFrame, int]:
     """Adds the global row number 0..n-1 in (id, text hash) order, and returns n.
 
+    Give `hash_col`, a column with the texts' xxhash64, for rows that need not carry their texts through the shuffle.
+
     One shuffle by ordered bucket, a window inside each bucket, and the sum of the earlier buckets' counts. Only
     those counts (one for some thousands of rows) come to the driver.
     """
     hash_name, bucket_name = own_name(df, "_hash"), own_name(df, "_bucket")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = df.withColumn(hash_name, F.xxhash64(text))
+    text_hash = F.col(hash_col) if hash_col else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = df.withColumn(hash_name, text_hash)
     bucket, n = ordered_buckets(hashed, id_col, hash_name)
     dealt = hashed.withColumn(bucket_name, bucket)
     counts = dict(dealt.groupBy(bucket_name).count().collect())
@@ -92,10 +94,11 @@ def number_rows(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[D
     return numbered.drop(hash_name, bucket_name), n
 
 
-def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 42,
+               hash_col: str | None = None) -> DataFrame:
     """`df` with `shard` (0..shards-1) and `slot` (gapless from 0 in each shard)."""
     number = own_name(df, "_number")
-    numbered, n = number_rows(df, id_col, text_col, number)
+    numbered, n = number_rows(df, id_col, text_col, number, hash_col)
     place = own_name(df, "_place")
     out = numbered.withColumn(place, permuted(F.col(number), n, seed))
     return out.withColumns({"shard": (F.col(place) % shards).cast("int"), "slot": F.expr(f"`{place}` div {shards}")}).drop(number, place)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -17,7 +18,7 @@ def plain_spans(text):
     for kind, pattern in PLAIN.items():
         for m in re.finditer(pattern, text):
             n = len(re.sub(r"[^0-9]", "", m.group()))
-            if (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.group().split("."))
+            if (kind == "email" or kind == "ip" and all(re.fullmatch("0*(1?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])", p) for p in m.group().split("."))
                     or kind == "card" and 16 <= n <= 19 and pii.luhn(re.sub(r"[^0-9]", "", m.group())) or kind == "phone" and 8 <= n <= 15):
                 out.append((kind, *m.span()))
     return out
@@ -36,6 +37,27 @@ def test_base_spans_of_long_runs_take_linear_time():
     assert pii.base_spans("1" * 300_000 + " " + "a" * 300_000 + "@" * 1000) == []
 
 
+def test_parts_of_any_length_are_compared():
+    text = "0" * 5000 + "1.2.3.4 and 1.2.3." + "9" * 5000
+    assert pii.base_spans(text) == plain_spans(text) == [("ip", 0, 5007)]
+
+
+def test_many_spans_take_linear_time():
+    start = time.perf_counter()
+    found = pii.candidates("+1 (555) 123-4567 or 555 123-4567, " * 150_000)
+    assert len(found) == 300_000 and sum(c[3] for c in found) == 150_000
+    assert time.perf_counter() - start < 60
+
+
+def test_taken_stretches():
+    rng = random.Random(9)
+    for _ in range(500):
+        spans = [(s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        merged = pii._merged(spans)
+        assert {i for s, e in merged for i in range(s, e)} == {i for s, e in spans for i in range(s, e)}
+        assert all(a[1] <= b[0] for a, b in zip(merged, merged[1:]))
+
+
 def test_whole_table(spark, sf_dir):
     docs = dict(map(tuple, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()))
     rows = queries.queries()["op8_pii"](spark, sf_dir).collect()
