@@ -7,14 +7,17 @@ candidates. Their signatures are compared word by word (64 bits), and after each
 posterior given the bits that agree so far, it reaches the asked similarity with odds below `MISS`. What survives is
 verified on the whole sets.
 
-Only links between different groups are of use, so the search goes in rounds, each written to the shared folder:
+Only links between different groups are of use, so there are three steps, each written to the shared folder:
 1. In each bucket the node nearest to the majority signature is the hub; nodes that survive a comparison with it are its
-   candidates, and the next of the rest is the next hub. A bucket gives fewer candidates than it has nodes.
-2. Verified candidates are joined to groups. In buckets that hold several groups, each node then names its nearest
-   untried survivors of other groups, four times as many in each round, until nobody has any left. Over all rounds every
-   pair of a bucket that may be alike is verified or lies inside one group.
-A bucket of more than `CROWD` nodes is dealt in chunks, and every two chunks meet in a task of their own; comparisons
-stay in memory and are never written. Members of a hub are verified in runs of `RUN`, each with one copy of the hub's text.
+   candidates, and the next of the rest is the next hub. A bucket gives fewer candidates than it has nodes. They are
+   verified, and links make groups. Buckets of more than `CROWD` nodes are cut into chunks for this, and once more with
+   one node of each group, so that chunks of one group become one.
+2. In buckets that still hold several groups all survivors of different groups are candidates. A bucket of up to `SMALL`
+   nodes lists its pairs for verification.
+3. Larger buckets get the texts of the nodes that have such survivors, and verify in place: what is linked already is not
+   compared again, and only links leave the task, fewer than there are nodes. Every two chunks of a crowd meet in a task.
+After these, every pair of a bucket that may be alike is verified or lies inside one group. Members of a hub are verified in
+runs of `RUN`, each with one copy of the hub's text.
 
 Defined results: shingles are taken from the whole A-Z-lowered text, the whole sequence if it has fewer words; null,
 empty and blank texts have no set and are linked with nothing; a null id takes part, but names a group only if all of its
@@ -42,7 +45,7 @@ SIGNATURE = 512
 HASHES = max(SIGNATURE, BAND_HASHES * BANDS)
 #: Chosen odds, at each look, of dropping a pair that is as similar as asked.
 MISS = 1e-5
-CROWD, RUN, GROWTH = 8192, 64, 4
+CROWD, SMALL, RUN = 2048, 16, 64
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -148,59 +151,93 @@ def _hub_pairs(nodes: np.ndarray, bits: np.ndarray, least: tuple[int, ...]) -> l
     return found
 
 
-def _open_pairs(nodes: np.ndarray, groups: np.ndarray, bits: np.ndarray, partners: int, least: tuple[int, ...]) -> list[np.ndarray]:
-    """Each node with the nearest survivors of other groups; a row of -1 says that somebody has more."""
-    found, more = [], False
+def _open_pairs(nodes: np.ndarray, groups: np.ndarray, bits: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """All pairs of survivors in different groups of a small bucket; of a larger one the nodes that have any, as (node, -1)."""
+    found = []
     for i in range(len(nodes)):
-        at, agree = survivors(bits, i, np.flatnonzero(groups != groups[i]), least)
-        if len(at) > partners:
-            more, at = True, at[np.lexsort((nodes[at], -agree))[:partners]]
-        found.append(np.sort(np.column_stack([np.full(len(at), nodes[i]), nodes[at]]), axis=1))
-    return found + [np.array([[-1, -1]])] * more
+        at, _ = survivors(bits, i, np.flatnonzero(groups != groups[i]), least)
+        if len(nodes) > SMALL:
+            at = at[:1]
+        found.append(np.column_stack([np.full(len(at), nodes[i]), np.full(len(at), -1) if len(nodes) > SMALL else nodes[at]]))
+    pairs = np.concatenate(found)
+    return pairs if len(nodes) > SMALL else np.sort(pairs, axis=1)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], partners: int | None, least: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each bucket; rows (value, low, high, node, group, bits) come by bucket, which may go on in the next batch."""
-
-    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        found = [np.zeros((0, 2), np.int64)]
-        if len(columns[0]):
-            new = np.ones(len(columns[0]), dtype=bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-            starts = np.flatnonzero(new)
-            for start, end in zip(starts, [*starts[1:], len(new)]):
-                part = slice(start, end)
-                nodes, groups, bits = (c[part] for c in columns[3:])
-                if end - start < 2 or (groups == groups[0]).all():
-                    continue
-                found += _hub_pairs(nodes, bits, least) if partners is None else _open_pairs(nodes, groups, bits, partners, least)
-        flat = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
-
+def _buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Runs of whole buckets, each as its columns; rows come by the first `keys` columns, and a bucket may go on in the next batch."""
     rest = None
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(batch), -1))
+        columns = [np.array(c.to_pylist(), dtype=object) if pa.types.is_binary(c.type) or pa.types.is_string(c.type)
+                   else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if rest is not None:
             columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-        rest = [c[cut:] for c in columns]
-        yield out([c[:cut] for c in columns])
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)) + 1
+        edges = [0, *new.tolist()]
+        rest = [c[edges[-1]:] for c in columns]
+        yield [[c[i:j] for c in columns] for i, j in zip(edges, edges[1:])]
     if rest is not None:
-        yield out(rest)
+        yield [rest]
 
 
-def buckets(nodes: DataFrame, crowd: int) -> DataFrame:
-    """(value, low, high, node, bits): the nodes (node, values, bits) under each band value that several share."""
-    met = nodes.select("node", F.explode("values").alias("value"))
-    shared = met.groupBy("value").count().filter("count > 1").select("value", F.ceil(F.col("count") / crowd).cast("int").alias("chunks"))
-    placed = met.join(shared, "value").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return placed.select("value", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node").join(
-        nodes.select("node", "bits"), "node")
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+
+
+def _hubs(batches: Iterator[pa.RecordBatch], least: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Pairs (hub, node) of rows (value, chunk, node, bits)."""
+    for run in _buckets(batches, 2):
+        found = [np.zeros((0, 2), np.int64)]
+        for _, _, nodes, bits in run:
+            if len(nodes) > 1:
+                found += _hub_pairs(nodes, _words(bits), least)
+        flat = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], least: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(value, low, high, a, b) by `_open_pairs`, of rows (value, low, high, node, group, bits)."""
+    for run in _buckets(batches, 3):
+        found = [np.zeros((0, 5), np.int64)]
+        for value, low, high, nodes, groups, bits in run:
+            if (groups != groups[0]).any():
+                pairs = _open_pairs(nodes, groups, _words(bits), least)
+                found.append(np.column_stack([np.full(len(pairs), x[0], dtype=np.int64) for x in (value, low, high)] + [pairs]))
+        flat = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[:, i]) for i in range(5)], names=[*_KEYS, "a", "b"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int, least: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between groups of each bucket, of rows (value, low, high, node, group, bits, text), verified in place.
+
+    Sets are sorted 64-bit hashes of shingles, and nearest candidates come first.
+    """
+    for run in _buckets(batches, 3):
+        links = []
+        for *_, nodes, groups, bits, texts in run:
+            sets, marks, now = [_hashed(t, words) for t in texts], _words(bits), groups.copy()
+            for i in range(len(nodes) - 1):
+                at, agree = survivors(marks, i, np.flatnonzero(now[i + 1:] != now[i]) + i + 1, least)
+                for j in at[np.argsort(-agree, kind="stable")].tolist():
+                    if now[i] != now[j] and _alike(sets[i], sets[j], percent):
+                        links.append((nodes[i], nodes[j]))
+                        now[now == now[i]] = now[j]
+        flat = np.array(links, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
+
+def _hashed(text: str, words: int) -> np.ndarray:
+    found = shingles(text, words)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 # ---- verification ----
@@ -236,33 +273,64 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 # ---- operator ----
 
+def _chunked(rows: DataFrame, by: str, crowd: int) -> DataFrame:
+    """`rows` with `chunk` and `chunks`: values that more than `crowd` rows share are cut, by a hash of the node."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / crowd).cast("int").alias("chunks"))
+    return rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
 def linked_groups(sets: DataFrame, texts_of, words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """(node, component) of the nodes that have a link, from a written table (node, values, bits, ...).
 
     `texts_of` gives the texts (node, text) of a table of nodes.
     """
     least = least_agreeing(percent)
-    met = staged(buckets(sets, crowd), "buckets")
-    texts = staged(texts_of(met.select("node").distinct()), "texts")
-    groups, tried, partners, more = None, None, None, True
-    while more:
-        named = met.withColumn("group", F.col("node")) if groups is None else met.join(groups, "node", "left").withColumn(
-            "group", F.coalesce("component", "node"))
-        dealt = named.select(*_KEYS, "node", "group", "bits").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-        found = staged(dealt.mapInArrow(lambda b, p=partners: _candidates(b, p, least), "a long, b long").distinct(), "pairs")
-        more = partners is None or not found.filter("a < 0").isEmpty()
-        partners = 1 if partners is None else partners * GROWTH
-        pairs = found.filter("a >= 0") if tried is None else found.filter("a >= 0").join(tried, ["a", "b"], "left_anti")
-        if groups is not None and pairs.isEmpty():
-            continue
-        checked = staged(verified(pairs, texts, words, percent), "verified")
-        both = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
-        links = checked.filter("same").select("a", "b")
+    met = sets.select("node", F.explode("values").alias("value"))
+    shared = met.groupBy("value").count().filter("count > 1").select("value")
+    placed = _chunked(met.join(shared, "value", "left_semi"), "value", crowd)
+    rows = staged(placed.join(sets.select("node", "bits"), "node").select("value", "chunk", "chunks", "node", "bits"), "buckets")
+    texts = staged(texts_of(rows.select("node").distinct()), "texts")
+
+    def hub_links(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("value", "chunk", "node", "bits").repartition("value", "chunk").sortWithinPartitions("value", "chunk")
+        pairs = staged(dealt.mapInArrow(lambda b: _hubs(b, least), "a long, b long").distinct(), "hubs")
+        return staged(verified(pairs, texts, words, percent), "verified")
+
+    def grouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
         if groups is not None:
             links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = staged(components(links, "a", "b"), "groups")
-    return groups
+        return staged(components(links, "a", "b"), "groups")
+
+    def named(table: DataFrame, groups: DataFrame) -> DataFrame:
+        return table.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+
+    tried = hub_links(rows)
+    groups = grouped(tried.filter("same").select("a", "b"), None)
+    crowds = rows.filter("chunks > 1")
+    if not crowds.isEmpty():
+        one = named(crowds.select("value", "node", "bits"), groups).groupBy("value", "group").agg(F.min(F.struct("node", "bits")).alias("m"))
+        again = hub_links(_chunked(one.select("value", "m.node", "m.bits"), "value", crowd))
+        groups = grouped(again.filter("same").select("a", "b"), groups)
+        tried = tried.unionByName(again)
+
+    now = staged(named(rows.select("value", "node"), groups), "named")
+    open_ = now.groupBy("value").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter("first < last").select("value")
+    cut = _chunked(now.join(open_, "value", "left_semi"), "value", crowd).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = cut.join(sets.select("node", "bits"), "node").select(
+        "value", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "group", "bits")
+    dealt = met.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    found = staged(dealt.mapInArrow(lambda b: _open(b, least), "value long, low long, high long, a long, b long"), "open")
+
+    both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = found.filter("b >= 0").select("a", "b").distinct().join(both, ["a", "b"], "left_anti")
+    small = verified(staged(pairs, "pairs"), texts, words, percent).filter("same").select("a", "b")
+    # A node that has survivors in a large bucket goes there with its text.
+    placed = found.filter("b < 0").select(*_KEYS, F.col("a").alias("node"))
+    full = named(placed, groups).join(sets.select("node", "bits"), "node").join(texts, "node")
+    full = full.select(*_KEYS, "node", "group", "bits", "text").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    large = full.mapInArrow(lambda b: _linked(b, words, percent, least), "a long, b long")
+    return grouped(small.unionByName(large), groups)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
