@@ -113,8 +113,8 @@ STOP_KEYS = ("route_id", "direction", "stop_id")
 
 
 def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-            entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
-    """Seconds between consecutive arrivals of different vehicles at the same stop."""
+            entity: str = "trip_id", width: str | int = "1 hour", also: Sequence[str] = ()) -> DataFrame:
+    """Seconds between consecutive arrivals of different vehicles at the same stop, with further columns of the later one."""
     return match_consecutive(
         arrivals, partition, (order, entity), ("A", "B"),
         {"B": lambda m: m["B"](entity) != m["A"](entity)},
@@ -126,13 +126,14 @@ def headway(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: st
             "curr_trip": lambda m: m["B"](entity),
             "headway_seconds": lambda m: seconds_between(m["A"](order), m["B"](order)),
             "arrival_time": lambda m: m["B"](order),
+            **{c: lambda m, c=c: m["B"](c) for c in also},
         },
         width,
     )
 
 
 def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS, order: str = "event_time",
-                     entity: str = "trip_id", width: str | int = "1 hour") -> DataFrame:
+                     entity: str = "trip_id", width: str | int = "1 hour", also: Sequence[str] = ()) -> DataFrame:
     """Two consecutive headways and their straight-line continuation."""
     pairs = match_consecutive(
         arrivals, partition, (order, entity), ("A", "B", "C"),
@@ -146,6 +147,7 @@ def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS,
             "headway_seconds": lambda m: seconds_between(m["B"](order), m["C"](order)),
             "prev_headway_seconds": lambda m: seconds_between(m["A"](order), m["B"](order)),
             "arrival_time": lambda m: m["C"](order),
+            **{c: lambda m, c=c: m["C"](c) for c in also},
         },
         width,
     )
@@ -154,14 +156,14 @@ def headway_triplets(arrivals: DataFrame, partition: Sequence[str] = STOP_KEYS,
 
 
 def headway_forecast(arrivals: DataFrame, bunch: int = BUNCH_BELOW, gap: int = GAP_ABOVE,
-                     width: str | int = "1 hour") -> DataFrame:
+                     width: str | int = "1 hour", also: Sequence[str] = ()) -> DataFrame:
     """Triplets whose next headway is about to cross a bound."""
     kind = forecast_type(F.col("predicted_headway"), F.col("headway_seconds"), bunch, gap)
     return (
-        headway_triplets(arrivals, width=width)
+        headway_triplets(arrivals, width=width, also=also)
         .withColumn("forecast_type", kind)
         .filter(F.col("forecast_type") != "STABLE")
         .select("route_id", "direction", "stop_id", "stop_name", "stop_lat", "stop_lon", "curr_trip",
                 "headway_seconds", "prev_headway_seconds", "predicted_headway", "forecast_type",
-                "arrival_time")
+                "arrival_time", *also)
     )

@@ -568,7 +568,15 @@ _CHECKS["stream_headway"] = "SELECT * FROM hw"
 _CHECKS["stream_forecast"] = "SELECT * FROM fc"
 _CHECKS["stream_weather_impact"] = _CHECKS["weather_impact"]
 _CHECKS["stream_bottlenecks"] = _CHECKS["station_bottlenecks"]
-_CHECKS["stream_first_rows"] = "SELECT trip_id, stop_id, route_id, direction FROM arr"
+_CHECKS["stream_first_rows"] = "SELECT trip_id, route_id, direction, stop_id, stop_name, stop_lat, stop_lon, event_time FROM arr"
+_CHECKS["stream_latest_state"] = """
+SELECT sg.*, moment FROM sg, (VALUES (1706572800000), (1706659200000)) AS m(moment)
+WHERE event_time <= 1706572800000 AND event_time >= moment - 129600000
+QUALIFY row_number() OVER (PARTITION BY moment, station_id, line ORDER BY event_time DESC, taps_per_minute DESC) = 1"""
+_CHECKS["stream_pipeline"] = f"""
+WITH wi AS ({_CHECKS["weather_impact"]})
+SELECT 'weather' AS part, route_id, direction, stop_name, alert_type, severity, headway_seconds, weather_risk_level AS result FROM wi
+UNION ALL SELECT 'decision', route_id, direction, stop_name, alert_type, severity, headway_seconds, action FROM act"""
 _CHECKS["stream_outbox"] = """
 SELECT route_id, direction, stop_id, stop_name, alert_type, severity, headway_seconds, action, '**MONITOR**' AS llm_action,
   alert_type AS dispatcher_note FROM act"""

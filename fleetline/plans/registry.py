@@ -23,7 +23,7 @@ from fleetline.sinks import tables as sinks
 from fleetline.sources import feeds, files, flatten, sample, static
 from fleetline.streaming import events as streams
 from fleetline.streaming import headways as headway_streams
-from fleetline.streaming import runs
+from fleetline.streaming import joins, runs, slices
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -728,11 +728,19 @@ def keyed_table(spark, sf):
 # A month later, and far enough apart not to meet in a join.
 CLOSING, CLOSING_ALERTS = "2024-03-20 00:00:00", "2024-03-10 00:00:00"
 CLOSING_MS = 1710892800000
+#: Moments at which the state of a stream is read.
+STATE_MS = (1706572800000, 1706659200000)
+#: Between the two runs of the chained streams.
+CHAIN_STOP = "2024-01-16 00:00:00"
 
 
-def _closed_positions(spark, sf):
-    spark.conf.set(headway_streams.STATE_STORE, headway_streams.ROCKSDB)
-    return runs.closed(sample.vehicle_positions(spark, sf, True), event_time=CLOSING, trip_id="", current_status="STOPPED_AT")
+def _streamed_headways(spark, sf):
+    """Folder of the tables that the stream of positions makes."""
+    base = new_run_dir(spark, "headways")
+    positions = runs.closed(sample.vehicle_positions(spark, sf, True), event_time=CLOSING)
+    # The test tables hold each trip once, a month long.
+    runs.finish(headway_streams.headway_stream(positions, f"{base}/data", f"{base}/checkpoint", horizon="40 days", width="10 days"))
+    return f"{base}/data"
 
 
 @query
@@ -743,19 +751,42 @@ def stream_congestion(spark, sf):
 
 @query
 def stream_headway(spark, sf):
-    return runs.run_append(headway_streams.headway_stream(_closed_positions(spark, sf)))
+    return headway_streams.read_headways(spark, _streamed_headways(spark, sf))
 
 
 @query
 def stream_forecast(spark, sf):
-    return runs.run_append(headway_streams.forecast_stream(_closed_positions(spark, sf)))
+    return headway_streams.read_forecasts(spark, _streamed_headways(spark, sf))
 
 
 @query
 def stream_first_rows(spark, sf):
-    stopped = sample.vehicle_positions(spark, sf, True).filter("current_status = 'STOPPED_AT'")
-    first = streams.dedup_first_stream(streams.with_feed_watermark(stopped, delay="40 days"), ("trip_id", "stop_id"))
-    return runs.run_append(first.select("trip_id", "stop_id", "route_id", "direction"))
+    base = new_run_dir(spark, "first")
+    positions = runs.closed(sample.vehicle_positions(spark, sf, True), event_time=CLOSING, current_status="STOPPED_AT")
+    stopped = positions.filter("current_status = 'STOPPED_AT'").select(*jobs.STOP_COLUMNS, "event_time")
+    runs.finish(joins.first_rows_stream(stopped, ("trip_id", "stop_id"), "event_time", f"{base}/data", f"{base}/checkpoint",
+                                        ("route_id", "direction", "stop_name"), width="10 days"))
+    return slices.read_closed(spark, f"{base}/data/first", stopped.schema)
+
+
+@query
+def stream_latest_state(spark, sf):
+    """Crowd readings that are valid at two moments: the end of the data, and a day and a half later, when few are."""
+    out, schema = None, sample.passenger_surges(spark, sf).schema
+    keys, at, delay = ["station_id", "line"], F.col("event_time") * 1000, "30 seconds"
+    base = new_run_dir(spark, "state")
+    readings = sample.passenger_surges(spark, sf, True).filter(F.col("event_time") <= STATE_MS[0])
+    for moment in STATE_MS:
+        # The stream goes on with one more row, which moves the mark to the moment.
+        runs.write_last(spark, schema, f"{base}/clock/{moment}", event_time=moment + 30_000)
+        clock = spark.readStream.schema(schema).parquet(f"{base}/clock/*")
+        stream = readings.unionByName(clock)
+        runs.finish(joins.latest_state_stream(stream, at, keys, "event_time", DAY * 3 // 2, f"{base}/data", f"{base}/checkpoint",
+                                              ("taps_per_minute",), delay, "10 days"))
+        valid = joins.read_latest_state(spark, f"{base}/data", schema, keys).withColumn("moment", F.lit(moment))
+        valid = staged(valid.filter("station_id IS NOT NULL"), "valid")  # without the rows that moved the mark
+        out = valid if out is None else out.unionByName(valid)
+    return out
 
 
 @query
@@ -783,26 +814,62 @@ def stream_arrival_estimates(spark, sf):
     return runs.read_arrival_estimates(spark, f"{base}/data", sample.AS_OF_PREDICTIONS)
 
 
-def _alert_stream(spark, sf, close=False):
-    path = new_run_dir(spark, "alerts")
-    alerts = _alerts(spark, sf)
-    alerts.write.parquet(path)
-    stream = spark.readStream.schema(alerts.schema).parquet(path)
-    return streams.with_alert_watermark(runs.closed(stream, arrival_time=CLOSING_ALERTS, route_id="") if close else stream)
+def _stored_alerts(spark, sf):
+    alerts = staged(_alerts(spark, sf), "alerts")
+    return spark.readStream.schema(alerts.schema).parquet(alerts.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def _closed_alerts(spark, sf):
+    return runs.closed(_stored_alerts(spark, sf), arrival_time=CLOSING_ALERTS)
+
+
+def _alert_stream(spark, sf):
+    return streams.with_alert_watermark(_stored_alerts(spark, sf))
 
 
 @query
 def stream_weather_impact(spark, sf):
-    weather = streams.with_feed_watermark(runs.closed(sample.weather_events(spark, sf, True), event_time=CLOSING))
-    out = runs.run_append(streams.weather_impact_stream(_alert_stream(spark, sf, True), weather))
-    return out.withColumn("arrival_time", F.col("arrival_time").cast("timestamp_ntz"))
+    base = new_run_dir(spark, "weather")
+    weather = runs.closed(sample.weather_events(spark, sf, True), event_time=CLOSING)
+    runs.finish(joins.weather_impact_stream(_closed_alerts(spark, sf), weather, f"{base}/data", f"{base}/checkpoint", width="10 days"))
+    return slices.read_closed(spark, f"{base}/data/joined", weather_impact(spark, sf).schema)
 
 
 @query
 def stream_bottlenecks(spark, sf):
-    surges = runs.closed(sample.passenger_surges(spark, sf, True), event_time=CLOSING_MS, line="L")
-    out = runs.run_append(streams.station_bottlenecks_stream(_alert_stream(spark, sf, True), surges, "1 hour"))
-    return out.withColumn("detection_time", F.col("detection_time").cast("timestamp_ntz"))
+    base = new_run_dir(spark, "bottlenecks")
+    surges = runs.closed(sample.passenger_surges(spark, sf, True), event_time=CLOSING_MS)
+    runs.finish(joins.station_bottlenecks_stream(_closed_alerts(spark, sf), surges, f"{base}/data", f"{base}/checkpoint", "1 hour", width="10 days"))
+    return slices.read_closed(spark, f"{base}/data/joined", station_bottlenecks(spark, sf).schema)
+
+
+@query
+def stream_pipeline(spark, sf):
+    """Positions to headways, alerts, decisions and alerts with weather: four streams, each reading the table of the one before.
+
+    The first runs twice, stopped in between with half the data, so the others go on with what it added.
+    """
+    base = new_run_dir(spark, "chain")
+    positions = sample.vehicle_positions(spark, sf)
+    halves = [F.col("event_time") < F.lit(CHAIN_STOP).cast("timestamp_ntz"), F.col("event_time") >= F.lit(CHAIN_STOP).cast("timestamp_ntz")]
+    weather = runs.closed(sample.weather_events(spark, sf, True), event_time=CLOSING)
+    headways = spark.readStream.schema(headway_streams.HEADWAYS).option("recursiveFileLookup", "true")
+    for part, half in enumerate(halves):
+        positions.filter(half).write.parquet(f"{base}/in/{part}")
+        if part:
+            runs.write_last(spark, positions.schema, f"{base}/in/end", event_time=CLOSING)
+            runs.write_last(spark, headway_streams.HEADWAYS, f"{base}/headways/headways/change=closing", arrival_time=CLOSING_ALERTS, headway_seconds=0)
+        stream = spark.readStream.schema(positions.schema).parquet(f"{base}/in/*")
+        runs.finish(headway_streams.headway_stream(stream, f"{base}/headways", f"{base}/ck_headways", horizon="40 days", width="10 days"))
+        alerts = jobs.headway_alerts(headways.parquet(f"{base}/headways/headways"))
+        runs.finish(joins.weather_impact_stream(alerts, weather, f"{base}/weather", f"{base}/ck_weather", width="10 days"))
+        decided = streams.with_alert_watermark(alerts.filter("curr_trip IS NOT NULL"))
+        runs.finish(runs.dispatcher_stream(decided, f"{base}/decisions", f"{base}/ck_decisions", _echo))
+    enriched = slices.read_closed(spark, f"{base}/weather/joined", weather_impact(spark, sf).schema)
+    decisions = spark.read.parquet(f"{base}/decisions")
+    columns = ["route_id", "direction", "stop_name", "alert_type", "severity", "headway_seconds"]
+    return enriched.select(F.lit("weather").alias("part"), *columns, F.col("weather_risk_level").alias("result")).unionByName(
+        decisions.select(F.lit("decision").alias("part"), *columns, F.col("action").alias("result")))
 
 
 @query

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -63,6 +63,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    folder, files = _folder(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def _compacted_to(spark: SparkSession, path: str) -> int | None:
     """The last change that the newest complete compaction holds."""
     folder, files = _folder(spark, f"{path}/{COMPACTED}")
@@ -95,19 +101,19 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType, keys: Seque
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: str | None = None,
-            ties: Sequence[str] = ()) -> None:
+            ties: Sequence[str] = (), keep: Column | None = None, before: int | None = None) -> None:
     """Folds all complete changes into one folder of the table, from which later reads start.
 
+    `keep` leaves out rows that are no longer needed, `before` the changes from that number on.
     Use the order of the readers. Readers that started before go on with the changes, which stay where they are.
     """
-    folder, files = _folder(spark, path)
-    names = [s.getPath().getName() for s in files.listStatus(folder)]
-    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{CHANGE}="))
-    done = [n for n in numbers if has_change(spark, path, n)]
+    numbers = sorted(int(n.split("=")[1]) for n in child_names(spark, path) if n.startswith(f"{CHANGE}="))
+    done = [n for n in numbers if (before is None or n < before) and has_change(spark, path, n)]
     if done:
         upto = done[-1]
         changes = stored_changes(spark, path, schema).filter(F.col(CHANGE) <= upto)
-        _latest(changes, keys, order, ties).write.mode("overwrite").parquet(f"{path}/{COMPACTED}/{upto}")
+        latest = _latest(changes, keys, order, ties)
+        (latest if keep is None else latest.filter(keep)).write.mode("overwrite").parquet(f"{path}/{COMPACTED}/{upto}")
 
 
 def upsert_sink(df: DataFrame, keys: Sequence[str], order: str, path: str, checkpoint: str,

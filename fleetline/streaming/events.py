@@ -1,4 +1,4 @@
-"""Watermarks, stateful dedup, windows and as-of joins on streams."""
+"""Watermarks, stateful dedup and windows on streams."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.functions import rules
-from fleetline.functions.times import duration_seconds, from_epoch_ms, time_slice, window_time
-from fleetline.operators.enrich import surge_line
+from fleetline.functions.times import window_time
 
 FEED_DELAY = "30 seconds"
 ALERT_DELAY = "5 minutes"
@@ -60,62 +59,3 @@ def corridor_congestion_stream(buses: DataFrame, window: str = "1 minute", ts: s
         "route_short", "active_buses", "in_transit_buses", "stopped_buses",
         rules.congestion_level(F.col("active_buses"), F.col("stopped_buses")).alias("congestion_level"),
         window_time(F.col("w")).cast("timestamp_ntz").alias("window_time"))
-
-
-def asof_join_stream(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance: str,
-                     keys: Sequence[str] = (), entity: Sequence[str] = ()) -> DataFrame:
-    """Streaming form of `asof_join`; both sides carry watermarks on their time columns.
-
-    A time-bounded join collects the right rows a left row can see, then the newest one per entity is
-    kept. State on both sides is dropped once the watermark passes the bound. Left rows must be distinct.
-    """
-    limit = duration_seconds(tolerance)
-    payload = [c for c in right.columns if c not in (*keys, *entity, right_ts)]
-    last = time_slice(right_ts, limit)
-    seen = right.select(F.explode(F.array(last, last + 1)).alias("_r_slice"), F.col(right_ts).alias("_r_ts"),
-                        *[F.col(c).alias(f"_r_{c}") for c in (*keys, *entity)],
-                        F.struct(F.col(right_ts).cast("string").alias("_r_at"), *payload).alias("_r"))
-    seeker = left.withColumn("_slice", time_slice(left_ts, limit))
-    near = (F.col("_r_ts") <= F.col(left_ts)) & (F.col("_r_ts") >= F.col(left_ts) - F.make_dt_interval(secs=F.lit(limit)))
-    match = near & (F.col("_slice") == F.col("_r_slice"))
-    for c in keys:
-        match = match & (F.col(c) == F.col(f"_r_{c}"))
-    pairs = seeker.join(seen, match)
-    groups = [*left.columns, *[F.col(f"_r_{c}").alias(c) for c in entity]]
-    newest = pairs.groupBy(*groups).agg(F.max("_r").alias("_r"))
-    return newest.select(*left.columns, *entity, *[F.col(f"_r.{c}") for c in payload])
-
-
-def weather_impact_stream(alerts: DataFrame, weather: DataFrame, tolerance: str = "30 minutes",
-                          observed: str = "event_time") -> DataFrame:
-    """Streaming form of `weather_impact`."""
-    now = F.col("current")
-    readings = weather.select(F.col(observed).alias("_observed"), now["weather_code"].alias("_code"),
-                              now["temperature_2m"].alias("_temp"), now["precipitation"].alias("_rain"),
-                              now["wind_speed_10m"].alias("_wind"))
-    joined = asof_join_stream(alerts, readings, "arrival_time", "_observed", tolerance)
-    return joined.select(
-        "route_id", "direction", "stop_name", "alert_type", "severity", "headway_seconds",
-        F.coalesce("_temp", F.lit(18.0)).alias("temperature_c"),
-        F.coalesce("_rain", F.lit(0.0)).alias("precipitation_mm"),
-        F.coalesce("_wind", F.lit(5.0)).alias("wind_speed_kmh"),
-        rules.weather_condition(F.col("_code")).alias("weather_condition"),
-        rules.weather_risk(F.col("_rain"), F.col("_wind")).alias("weather_risk_level"), "arrival_time")
-
-
-def station_bottlenecks_stream(alerts: DataFrame, surges: DataFrame, within: str = "180 seconds",
-                               delay: str = FEED_DELAY) -> DataFrame:
-    """Streaming form of `station_bottlenecks`; surge times arrive as epoch milliseconds."""
-    readings = surges.select(
-        surge_line(F.col("line")).alias("route_id"), F.col("station_id").alias("_station"),
-        from_epoch_ms(F.col("event_time")).cast("timestamp").alias("_seen"),
-        F.col("taps_per_minute").alias("_taps"), F.col("crowd_level").alias("_crowd"),
-        F.col("station_name").alias("_name")).withWatermark("_seen", delay)
-    joined = asof_join_stream(alerts, readings, "arrival_time", "_seen", within, ("route_id",), ("_station",))
-    crowd, kind = F.col("_crowd"), F.col("alert_type")
-    return joined.filter(crowd.isin("HIGH", "SURGE")).select(
-        F.col("_name").alias("station_name"), F.col("route_id").alias("subway_line"),
-        crowd.alias("crowd_level"), F.col("_taps").alias("taps_per_minute"), "alert_type", "headway_seconds",
-        rules.bottleneck_severity(crowd, kind, F.col("severity")).alias("bottleneck_severity"),
-        rules.bottleneck_recommendation(crowd, kind).alias("dispatcher_recommendation"),
-        F.col("arrival_time").alias("detection_time"))

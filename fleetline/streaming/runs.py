@@ -35,10 +35,15 @@ def closed(stream: DataFrame, **last) -> DataFrame:
     row a run that ends keeps the rows above its last watermark back for the run that resumes it.
     """
     spark, path = stream.sparkSession, new_run_dir(stream.sparkSession, "closing")
-    spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]).write.parquet(path)
+    write_last(spark, stream.schema, path, **last)
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
 
 
+def write_last(spark: SparkSession, schema: T.StructType, path: str, **last) -> None:
+    """A file with one row of the given values, other columns null."""
+    spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+
+
 def run_append(df: DataFrame, label: str = "stream") -> DataFrame:
     """Runs an append stream over the data present and returns the files it wrote as a table."""
     base = new_run_dir(df.sparkSession, label)

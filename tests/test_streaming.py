@@ -8,11 +8,13 @@ from fleetline import schemas
 from fleetline.operators.agent import dispatcher_decisions
 from fleetline.operators.aggregate import corridor_congestion
 from fleetline.operators.dedup import ALERT_IDENTITY
+from fleetline.operators.enrich import weather_impact
 from fleetline.operators.sequence import headway, headway_forecast
+from fleetline.operators.snapshot import latest_state
 from fleetline.plans import jobs
 from fleetline.sinks import tables as sinks
 from fleetline.sources import feeds
-from fleetline.streaming import events, headways, runs
+from fleetline.streaming import events, headways, joins, runs, slices
 from helpers import ALERTS, START, alert, at, rows
 
 
@@ -45,24 +47,34 @@ def moving(spark, tmp_path):
     return landed(spark, str(tmp_path / "in"), batches, schemas.VEHICLE_POSITIONS), spark.createDataFrame(data, schemas.VEHICLE_POSITIONS)
 
 
-def test_headways_equal_batch(spark, moving):
+def matched(stream, folder, **options):
+    runs.finish(headways.headway_stream(stream, f"{folder}/out", f"{folder}/ck", **options))
+    return headways.read_headways(stream.sparkSession, f"{folder}/out")
+
+
+def test_headways_and_forecasts_equal_batch(spark, moving, tmp_path):
     stream, table = moving
-    got = runs.run_append(headways.headway_stream(stream))
-    expected = headway(jobs.first_arrivals(table))
-    assert rows(got) == rows(expected) and got.count() > 50
+    got = matched(stream, tmp_path, width="1 day")
+    arrivals = jobs.first_arrivals(table).filter("stop_id <> '999'")
+    assert rows(got) == rows(headway(arrivals)) and got.count() > 50
+    assert rows(headways.read_arrivals(spark, f"{tmp_path}/out")) == rows(arrivals.select(*headways.ARRIVALS.names))
+    ahead = headways.read_forecasts(spark, f"{tmp_path}/out")
+    assert rows(ahead) == rows(headway_forecast(arrivals)) and ahead.count() > 0
 
 
-def test_forecasts_equal_batch(spark, moving):
+def test_folded_tables_give_the_same_headways(spark, moving, tmp_path, monkeypatch):
+    monkeypatch.setattr(headways, "FOLD_EVERY", 2)
     stream, table = moving
-    got = runs.run_append(headways.forecast_stream(stream))
-    assert rows(got) == rows(headway_forecast(jobs.first_arrivals(table))) and got.count() > 0
+    got = matched(stream, tmp_path, width="1 day")
+    assert rows(got) == rows(headway(jobs.first_arrivals(table).filter("stop_id <> '999'")))
+    assert sinks.child_names(spark, f"{tmp_path}/out/seen/_compacted")
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
     batches = [[position("a", 0), position("b", 100)], [position("c", 500)], [position("late", 50), position("d", 700)],
                [position("end", 9000, "999")]]
     stream = landed(spark, str(tmp_path / "in"), batches, schemas.VEHICLE_POSITIONS)
-    got = runs.run_append(headways.headway_stream(stream))
+    got = matched(stream, tmp_path)
     assert rows(got, "prev_trip", "curr_trip", "headway_seconds") == [("a", "b", 100), ("b", "c", 400), ("c", "d", 200)]
 
 
@@ -70,10 +82,85 @@ def test_trips_return_after_the_horizon(spark, tmp_path):
     batches = [[position("a", 0), position("b", 100)], [position("a", 200), position("c", 4000)], [position("a", 8000)],
                [position("end", 20000, "999")]]
     stream = landed(spark, str(tmp_path / "in"), batches, schemas.VEHICLE_POSITIONS)
-    got = runs.run_append(headways.headway_stream(stream, horizon="1 hour"))
+    got = matched(stream, tmp_path, horizon="1 hour")
     assert rows(got, "prev_trip", "curr_trip") == [("a", "b"), ("b", "c"), ("c", "a")]
 
 
+def test_matching_goes_on_in_a_resumed_run(spark, tmp_path):
+    """What waited in the first run is matched in the second, and a batch that runs again changes nothing."""
+    schema = schemas.VEHICLE_POSITIONS
+    for part, batch in enumerate([[position("a", 0), position("b", 100), position("c", 160)], [position("d", 300), position("a", 310)],
+                                  [position("end", 9000, "999")]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        got = rows(matched(stream, tmp_path), "prev_trip", "curr_trip")
+        assert got == [[("a", "b")], [("a", "b"), ("b", "c")], [("a", "b"), ("b", "c"), ("c", "d")]][part]
+    pending = spark.read.parquet(f"{tmp_path}/out/pending")
+    assert pending.count() == 6 and matched(stream, tmp_path).count() == 3
+
+
+def test_matching_has_no_state_in_python(spark, moving, tmp_path):
+    stream, _ = moving
+    query = headways.headway_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", width="1 day")
+    runs.finish(query)
+    assert "State" not in query._jsq.explainInternal(False) and "Python" not in query._jsq.explainInternal(False)
+
+
+def test_an_unfinished_batch_is_not_seen_when_it_runs_again(spark, tmp_path):
+    batches = [[position("a", 0), position("b", 100)], [position("c", 500)], [position("end", 9000, "999")]]
+    stream = landed(spark, str(tmp_path / "in"), batches, schemas.VEHICLE_POSITIONS)
+    want = rows(matched(stream, tmp_path))
+    last = max(int(n.split("=")[1]) for n in sinks.child_names(spark, f"{tmp_path}/out/marks") if "=" in n)
+    for name in os.listdir(f"{tmp_path}/out/marks/change={last}"):
+        os.remove(f"{tmp_path}/out/marks/change={last}/{name}")
+    for name in (f"commits/{last}", f"commits/.{last}.crc"):
+        if os.path.exists(f"{tmp_path}/ck/{name}"):
+            os.remove(f"{tmp_path}/ck/{name}")
+    assert rows(matched(stream, tmp_path)) == want and len(want) == 2
+
+
+WEATHER = "event_time timestamp_ntz, current struct<temperature_2m: double, precipitation: double, wind_speed_10m: double, weather_code: int>"
+
+
+def test_weather_on_a_stream_keeps_equal_alerts_apart(spark, tmp_path):
+    rnd = random.Random(8)
+    alerts = sorted((alert(rnd.randrange(20_000), curr=f"c{rnd.randrange(3)}") for _ in range(60)), key=lambda a: a[-1])
+    alerts += [alerts[30], alerts[30]]
+    weather = [(at(rnd.randrange(20_000)), (float(i), 0.0, 1.0, i)) for i in range(40)]
+    end = [alert(90_000)], [(at(190_000), (0.0, 0.0, 0.0, 0))]
+    left = landed(spark, str(tmp_path / "a"), [alerts[:20], alerts[20:], end[0]], spark.createDataFrame([], ALERTS).schema)
+    right = landed(spark, str(tmp_path / "w"), [weather, end[1]], spark.createDataFrame([], WEATHER).schema)
+    runs.finish(joins.weather_impact_stream(left, right, f"{tmp_path}/out", f"{tmp_path}/ck", width="1 day"))
+    late = alerts[:20] + sorted(alerts[20:], key=lambda a: a[-1])
+    want = weather_impact(spark.createDataFrame(late, ALERTS), spark.createDataFrame(weather, WEATHER))
+    got = slices.read_closed(spark, f"{tmp_path}/out/joined", want.schema)
+    assert rows(got) == rows(want) and want.count() > 40
+    assert spark.read.parquet(f"{tmp_path}/out/pending").count() == len(alerts) + len(weather) + 2
+
+
+def test_states_expire(spark, tmp_path):
+    schema, keys = schemas.struct(k="string", t="time", v="long"), ("k",)
+    batches = [[("a", at(0), 1), ("b", at(50), 2)], [("a", at(40), 3), ("a", at(30), 9)], [("b", at(200), 4)], [("c", at(400), 5)]]
+    want = [[("a", 1)], [("a", 1)], [("a", 3), ("b", 2)], [("b", 4)]]
+    for part, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        runs.finish(joins.latest_state_stream(stream, slices.micros("t"), keys, "t", 200, f"{tmp_path}/out", f"{tmp_path}/ck", delay="30 seconds"))
+        got = joins.read_latest_state(spark, f"{tmp_path}/out", schema, keys)
+        mark = max(t for b in batches[:part + 1] for _, t, _ in b).timestamp() - START.timestamp() - 30
+        table = latest_state(spark.createDataFrame([r for b in batches[:part + 1] for r in b], schema), keys, "t", 200, at(mark))
+        assert rows(got, "k", "v") == rows(table, "k", "v") == want[part]
+
+
+def test_first_rows_by_event_time(spark, tmp_path):
+    schema = schemas.struct(k="string", event_time="time", v="long")
+    batches = [[("a", at(20), 1), ("b", at(25), 2)], [("a", at(10), 3), ("b", at(70), 4)], [("a", at(300), 5), (None, at(310), 6)], [("z", at(900), 7)]]
+    stream = landed(spark, str(tmp_path / "in"), batches, schema)
+    runs.finish(joins.first_rows_stream(stream, ("k",), "event_time", f"{tmp_path}/out", f"{tmp_path}/ck"))
+    got = slices.read_closed(spark, f"{tmp_path}/out/first", schema)
+    assert sorted(((r.k, r.v) for r in got.collect()), key=str) == [("a", 3), ("b", 2), (None, 6)]
+
+
 def test_congestion_equals_batch(spark, tmp_path):
     rnd = random.Random(2)
     data = [(f"t{rnd.randrange(15)}", "M1", rnd.choice(["M1", "M2", ""]), "0", "", 1.0, 1.0, None,
