@@ -8,7 +8,8 @@ whole article around them; a page that has none falls back to its own best conta
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and markup never count
 as text; names (class, id, role) tell them, as do tags. White space inside a block becomes one space, blocks are joined by two line feeds in page order, character
-references are decoded.
+references are decoded. Names never drop a heading or paragraph, but for adverts; inside an article a name of more words
+drops a part only if it is mostly links. Time and memory grow in proportion to a page, whatever its markup.
 
 Defined results: null or empty html gives an empty text; a page without tags is its own text; unclosed and stray tags
 are tolerated; a null url is a host of its own (its pages vote together); equal scores go to the longer, then the
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -61,12 +63,36 @@ _READERS = frozenset("comment comments commentlist disqus replies reply respond"
 _STORY = frozenset("abstract article body content deck entry headline hentry intro introduction lead lede main post standfirst story "
                    "summary text title".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*\Z|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that say where a part stands or how it looks, not what it is.
+_NEUTRAL = frozenset("area articles bar block bottom box button buttons center column container content fixed footer full grid header "
+                     "inner item items large left link links list main mobile outer page panel post posts primary right row secondary "
+                     "section site small static sticky top wide wrap wrapper".split())
+#: Words that mark an advert or the like even on a heading or paragraph.
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion "
+                     "cookie cookies gdpr consent".split())
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^<>]*+\Z", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
+_NAME = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
+@dataclass(eq=False)
+class Open:
+    """An open tag, the container that its text goes to, and how many blocks were open before it."""
+
+    tag: str
+    node: Node
+    blocks: int
+    story: bool = False
+    #: Ended while blocks inside it were still open.
+    ended: bool = False
+
+
 @dataclass
 class Node:
     """A container: what it holds is blocks of text and further containers, in page order."""
@@ -76,27 +102,33 @@ class Node:
     parent: Node | None
     dropped: bool
     items: list = field(default_factory=list)
-    #: Dropped only if it holds no more than half of the page's text outside links.
-    doubtful: bool = False
+    #: Dropped only for what it holds, see `_settle`.
+    doubtful: int = 0
+    in_story: bool = False
+
 
+#: What an element's names say: nothing, perhaps boilerplate (a word inside a compound name with other words, or with words
+#: of layout alone), or boilerplate.
+CLEAN, DOUBTFUL, LAYOUT, BOILERPLATE = 0, 1, 2, 3
 
-#: What an element's names say: nothing, perhaps boilerplate (a word inside a compound name), or boilerplate.
-CLEAN, DOUBTFUL, BOILERPLATE = 0, 1, 2
 
+def _named(value: str, slug: bool = False) -> int:
+    """A name is boilerplate if it is one of the words, or begins with one and adds only words of layout: `sidebar-left`.
 
-def _named(value: str) -> int:
-    """A name is boilerplate if it is, or begins with, one of the words: `sidebar-left`; `content-with-sidebar` is doubtful."""
+    `content-with-sidebar` and `social-science` are doubtful; as ids (`slug`), which are often made from a heading, they say nothing.
+    """
     found = CLEAN
     for w in value.split():
         parts = [p for p in re.split(r"[-_]+|\d+", w) if p]
-        if w in _BOILERPLATE or parts and (parts[0] in _BOILERPLATE or parts[-1] in _READERS):
+        known = all(p in _BOILERPLATE or p in _NEUTRAL for p in parts)
+        if w in _BOILERPLATE or parts and known and (parts[0] in _BOILERPLATE or parts[-1] in _READERS):
             return BOILERPLATE
-        if any(p in _BOILERPLATE for p in parts):
-            found = DOUBTFUL
+        if any(p in _BOILERPLATE for p in parts) and (known or not slug):
+            found = max(found, LAYOUT if known else DOUBTFUL)
     return found
 
 
-def _marks(attributes: str) -> tuple[str, bool, int]:
+def _marks(tag: str, attributes: str, in_story: bool) -> tuple[str, bool, int]:
     """Generalised class of a tag, whether it is hidden, and what its names say."""
     kind, hidden, named = "", False, CLEAN
     for m in _ATTRIBUTE.finditer(attributes):
@@ -104,21 +136,29 @@ def _marks(attributes: str) -> tuple[str, bool, int]:
         if name == "class":
             kind = ".".join(sorted(set(_WORD.findall(value))))
         if name in ("class", "id", "role"):
-            named = max(named, _named(value))
+            if tag in _TEXTUAL:  # only an advert is named on a heading or paragraph
+                named = max(named, BOILERPLATE if name != "id" and not _ADVERTS.isdisjoint(value.split()) else CLEAN)
+            else:
+                words = " ".join(w for w in value.split() if not (in_story and w == "header"))
+                named = max(named, _named(words, name == "id"))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
     return kind, hidden, named
 
 
 def _settle(nodes: list[Node]) -> None:
-    """Decides doubtful containers, outermost first, and drops what is inside dropped ones."""
-    if any(n.doubtful for n in nodes):
-        plain: dict[int, int] = {}
-        for node in reversed(nodes):  # inner containers come after outer ones
-            plain[id(node)] = sum((plain[id(x)] if not x.dropped else 0) if isinstance(x, Node) else x[2] - x[1] for x in node.items)
-        whole = plain[id(nodes[0])]
+    """Decides doubtful containers, outermost first, and drops what is inside dropped ones.
+
+    They go if they hold no more than half of the page's text; inside an article, where a name has words of its own, only if
+    they are mostly links.
+    """
+    if any(n.doubtful in (DOUBTFUL, LAYOUT) for n in nodes):
+        sums = _sums(nodes)
+        whole = sums[id(nodes[0])][0]
         for node in nodes:
-            node.dropped = node.dropped or node.doubtful and 2 * plain[id(node)] <= whole
+            plain, linked = sums[id(node)]
+            node.dropped = node.dropped or node.doubtful != CLEAN and (
+                linked > plain if node.in_story and node.doubtful == DOUBTFUL else 2 * plain <= whole)
     for node in nodes:
         node.dropped = node.dropped or node.parent is not None and node.parent.dropped
 
@@ -129,97 +169,123 @@ def parse(page: str, by_name: bool = True) -> tuple[Node, list[Node]]:
     A name never drops html, body, main or an article, but for an article inside another one, which is a comment. A block of text is a list of strings: its text, decoded and cut at inline tags, and the text inside links apart.
     """
     root = Node("#", "", None, False)
-    nodes, stack = [root], [("#", root)]
+    nodes, stack = [root], [Open("#", root, 0)]
+    opened: dict[str, list[Open]] = {}
+    around: list[Open] = []  # open blocks
     block: list[tuple[str, bool]] = []
-    at, links = 0, 0
+    at, links, stories = 0, 0, 0
 
     def flush() -> None:
         nonlocal block
-        node = stack[-1][1]
+        node = stack[-1].node
         if block and not node.dropped:  # by itself; containers inside are settled at the end
             text = _SPACE.sub(" ", html_lib.unescape("".join(t for t, _ in block))).strip()
             if text:
                 node.items.append((text, sum(len(t) for t, linked in block if linked), sum(len(t) for t, _ in block)))
         block = []
 
-    def close(to: int) -> None:
-        nonlocal links
-        while len(stack) > to:
-            tag, _ = stack[-1]
-            if tag not in _INLINE:
+    def close(last: Open) -> None:
+        """Ends all that is open from `last` on."""
+        nonlocal links, stories
+        while True:
+            top = stack[-1]
+            if top.tag not in _INLINE:
                 flush()
-            links -= tag == "a"
+                around.pop()
+            if not top.ended:
+                opened[top.tag].pop()
+                links -= top.tag == "a"
+            stories -= top.story
             stack.pop()
+            if top is last:
+                return
 
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            break
+    for m in _tokens(page):
         if m.start() > at:
             block.append((page[at:m.start()], links > 0))
+        elif m.start() < at:  # inside a raw element
+            continue
         at = m.end()
-        if m[2] is None:
+        if m.re is _OTHER:
             if m.group().startswith("<![CDATA["):
                 block.append((html_lib.escape(m.group()[9:].removesuffix("]]>")), links > 0))
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    # An inline end tag does not close the blocks around it.
-                    if tag in _INLINE and any(t not in _INLINE for t, _ in stack[depth + 1:]):
-                        inner = stack[depth + 1:]
-                        links -= tag == "a"
-                        stack[depth:] = inner
-                    else:
-                        close(depth)
-                    break
+            if opened.get(tag):
+                one = opened[tag][-1]
+                if tag in _INLINE and len(around) > one.blocks:  # an inline end tag does not close the blocks around it
+                    one.ended = True
+                    opened[tag].pop()
+                    links -= tag == "a"
+                else:
+                    close(one)
             continue
         if tag == "br":
             block.append((" ", False))
             continue
         if tag not in _INLINE:
             flush()
-            while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1][0], ()):
-                close(len(stack) - 1)
-            for depth in range(len(stack) - 1, 0, -1):  # inline tags left open end with their block
-                if stack[depth][0] not in _INLINE:
-                    if tag in _CLOSED_BY.get(stack[depth][0], ()):
-                        close(depth)
-                    break
+            # Inline tags left open end with their block.
+            while around and tag in _CLOSED_BY.get(around[-1].tag, ()):
+                close(around[-1])
         if tag in _VOID or m[3].endswith("/") and tag not in _CONTAINERS and tag not in _RAW:
             continue
-        holder = stack[-1][1]
+        holder = stack[-1].node
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        kind, bad, named = _marks(m[3]) if m[3] else ("", False, CLEAN)
-        if not by_name or tag in ("html", "body", "main") or tag == "article" and not any(t == "article" for t, _ in stack):
+        kind, bad, named = _marks(tag, m[3], stories > 0) if m[3] else ("", False, CLEAN)
+        if not by_name or tag in ("html", "body", "main") or tag == "article" and not opened.get("article"):
             named = CLEAN
         bad = bad or named == BOILERPLATE
         # A header is site furniture unless it heads an article or section.
-        bad = bad or tag in _DROPPED or tag == "header" and not any(t in ("article", "section", "main") for t, _ in stack)
+        bad = bad or tag in _DROPPED or tag == "header" and not any(opened.get(t) for t in ("article", "section", "main"))
+        node = Node(tag, "", holder, holder.dropped or bad, doubtful=named, in_story=stories > 0)
         if bad or named or tag in _CONTAINERS:
             step = tag + ("." + kind if kind else "")
-            path = f"{holder.path}/{step}"
-            if len(path) > LONGEST_PATH:  # a digest keeps equal paths equal
-                path = "#" + hashlib.sha1(path.encode()).hexdigest()
-            node = Node(tag, path, holder, holder.dropped or bad, doubtful=named == DOUBTFUL)
+            node.path = f"{holder.path}/{step}"
+            if len(node.path) > LONGEST_PATH:  # a digest keeps equal paths equal
+                node.path = "#" + hashlib.sha1(node.path.encode()).hexdigest()
             holder.items.append(node)
             nodes.append(node)
             holder = node
         links += tag == "a"
-        stack.append((tag, holder))
+        one = Open(tag, holder, len(around), story=holder is node and tag != "body" and _is_story(node))
+        stories += one.story
+        stack.append(one)
+        opened.setdefault(tag, []).append(one)
+        if tag not in _INLINE:
+            around.append(one)
     if at < len(page):
         block.append((page[at:], links > 0))
     flush()
-    close(1)
+    if len(stack) > 1:
+        close(stack[1])
     flush()
     _settle(nodes)
     return root, nodes
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and the like, in order; what is inside raw elements is for the caller to skip.
+
+    A tag that no > ends outside quotes has a quote that is never closed; from there on quotes mean nothing, so that the
+    rest of the page is not searched again and again.
+    """
+    at, quotes = page.find("<"), True
+    while at >= 0:
+        m = _OTHER.match(page, at)
+        if m is None and _NAME.match(page, at):
+            m = _TAG.match(page, at) if quotes else None
+            if m is None:
+                quotes, m = False, _PLAIN_TAG.match(page, at)
+        if m is not None:
+            yield m
+        at = page.find("<", at + 1 if m is None else m.end())
+
+
 def blocks(node: Node) -> list[str]:
     out, waiting = [], [iter(node.items)]
     while waiting:

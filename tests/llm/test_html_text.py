@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -112,3 +113,32 @@ def test_the_article_is_whole(spark, page, text):
     assert h.main_text(page, None) == text
     df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
     assert [r["text"] for r in h.extract(df).collect()] == [text] * 3
+
+
+@pytest.mark.parametrize("inner", [
+    "<section id='social-science'><p>{}</p></section>", "<section id='search-engines'><p>{}</p></section>",
+    "<section id='notice-of-hearing'><p>{}</p></section>", "<h2 id='reply-to-critics'>{}</h2>", "<p class='header'>{}</p>",
+    "<div class='text-notice-block'><p>{}</p></div>", "<div class='header'><h1>{}</h1></div>", "<div id='related-work'><p>{}</p></div>",
+    "<h3 class='share'>{}</h3>", "<p id='search'>{}</p>"])
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("<div class='post'>", "</div>")])
+def test_names_do_not_drop_parts_of_an_article(inner, start, end):
+    page = f"<body><nav>Menu</nav>{start}<p>{LONG}</p>{inner.format('A part of it.')}<p>{LONG}</p>{end}<footer>Foot</footer></body>"
+    assert h.main_text(page, None) == f"{LONG.strip()}\n\nA part of it.\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("inner", [
+    "<div class='ad'>Buy</div>", "<p class='ad'>Buy</p>", "<div class='share-bar'>Share</div>", "<section class='comments'><p>First!</p></section>",
+    "<div class='related-posts'><p><a href=x>More</a></p></div>", "<div class='social-science-links'><a href=x>One more</a></div>",
+    "<div class='newsletter'><p>Sign up</p></div>", "<div id='cookie-notice'>We use</div>", "<div class='sidebar-right'>Side</div>"])
+def test_furniture_inside_an_article_is_dropped(inner):
+    page = f"<body><article><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>"
+    assert h.main_text(page, None) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a \"" * 250_000, "<a '\" " * 150_000 + ">", "<div>" * 20_000 + "</p>" * 100_000, "<b>" * 20_000 + "<hr>" * 50_000,
+    "<b>" * 10_000 + "<div>" * 10_000 + "</b>" * 10_000, "<!--" * 200_000, "<script>" * 100_000, "<p><b>" * 50_000, "<" * 1_000_000])
+def test_broken_markup_takes_linear_time(page):
+    start = time.perf_counter()
+    h.parse(page)
+    assert time.perf_counter() - start < 10
