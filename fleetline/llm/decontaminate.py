@@ -3,16 +3,17 @@
 Words are runs of letters and digits, lower-cased; shingles are five words (all of an item that has fewer). Windows of
 an item's number of words slide over a document. A window and an item are candidates if their 64-bit SimHashes, with
 shingles weighted by how often they occur, differ in at most `RADIUS` bits. Fingerprints are cut into eight blocks
-with thresholds that sum to RADIUS - 7, so two within the radius agree in at least one block up to its threshold; a
-table for each block and byte value lists the items to compare. Candidates count as copies if the weighted Jaccard
-similarity (sum of smaller over sum of larger counts) is at least 0.8.
+with thresholds that sum to RADIUS - 7, so two within the radius agree in at least one block up to its threshold.
+Candidates count as copies if the weighted Jaccard similarity (sum of smaller over sum of larger counts) is at least 0.8.
 
-A window without any shingle of an item has similarity zero, so only windows that reach over a shared shingle are
-looked at; those are found in whole documents. The benchmark is read in blocks of `BLOCK_WORDS` words, each of which
-is one pass over the documents; it is never cut.
+A window without any shingle of an item has similarity zero, so an item is looked for only in windows that reach over a
+shingle of its own; lists of items by shingle name those pairs of window and item, and the blocks are compared on these
+pairs alone. At this radius blocks by themselves would list most of a large benchmark for every window. The benchmark is
+read in blocks of `BLOCK_WORDS` words, each of which is one pass over the documents; it is never cut.
 
 Defined results: null or wordless texts and items match nothing; a document shorter than an item is one window; items
-with equal texts all match; repeated rows match alike; an empty benchmark or table matches nothing.
+with equal texts all match; item ids keep their type; repeated rows match alike, columns beside id and text are ignored or
+pass through, whatever their names; texts are read whole; an empty benchmark or table matches nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ BLOCKS, BLOCK_BITS = 8, 8
 BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_BYTES = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
+#: Pairs of window and item compared at once.
+PAIRS = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,116 +70,127 @@ def thresholds(radius: int = RADIUS) -> list[int]:
     return [total // BLOCKS + (i < total % BLOCKS) for i in range(BLOCKS)]
 
 
-class Items:
-    """Benchmark items of one length in words: counts, fingerprints and block tables."""
+def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints a[i] and b[i] are within the radius: some block is within its threshold, and then the whole."""
+    blocks = np.bitwise_count((a ^ b).view(np.uint8).reshape(-1, BLOCKS))
+    out = (blocks <= np.array(thresholds(radius))).any(axis=1)
+    out[out] = blocks[out].sum(axis=1, dtype=np.int64) <= radius
+    return out
+
 
-    def __init__(self, length: int):
-        self.length, self.size = length, min(WORDS, length)
-        self.ids: list[int] = []
-        self.shingles: list[Counter] = []
-        self.marks = np.zeros(0, np.uint64)
-        self.tables = np.zeros((BLOCKS, 256, 0), bool)
+class Lists:
+    """Values by key in two flat arrays: those of the k-th key from `bounds[k]` to before `bounds[k + 1]`."""
 
-    def add(self, item_id, words: list[str]) -> None:
-        self.ids.append(item_id)
-        self.shingles.append(Counter(shingle_hashes(words, self.size).tolist()))
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.bounds, self.values = np.append(first, len(keys)), values[order]
 
-    def close(self, radius: int) -> None:
-        sums = [(_signs(np.array(list(c), np.uint64)) * np.array(list(c.values()))[:, None]).sum(axis=0) for c in self.shingles]
-        self.marks = _mark(np.array(sums))
-        parts = self.marks.view(np.uint8).reshape(-1, BLOCKS)
-        near = [np.bitwise_count(_BYTES[:, None] ^ parts[None, :, b]) <= t for b, t in enumerate(thresholds(radius))]
-        self.tables = np.array(near)
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `keys`, value) for all values of all keys that are known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        place = np.flatnonzero(self.keys[at] == keys)
+        first, n = self.bounds[at[place]], (self.bounds[at[place] + 1] - self.bounds[at[place]])
+        return np.repeat(place, n), self.values[_ranges(first, n)]
 
-    def candidates(self, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) indexes of all fingerprints within the radius, by way of the block tables."""
-        parts = marks.view(np.uint8).reshape(-1, BLOCKS)
-        listed = self.tables[0, parts[:, 0]]
-        for b in range(1, BLOCKS):
-            listed = listed | self.tables[b, parts[:, b]]
-        window, item = np.nonzero(listed)
-        close = np.bitwise_count(marks[window] ^ self.marks[item]) <= radius
-        return window[close], item[close]
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Benchmark:
-    """Items by length, and for each shingle size the item lengths that each shingle occurs in."""
+    """Items as flat arrays: ids, lengths in words, fingerprints, shingle hashes, and lists of items by shingle."""
 
     def __init__(self, rows: list[tuple], radius: int = RADIUS, least: float = SIMILARITY):
         self.radius, self.least = radius, least
-        self.by_length: dict[int, Items] = {}
         self.vocabulary: dict[str, int] = {}
-        lengths: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+        self.ids, lengths, marks, hashes = [], [], [], []
+        codes: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
         for item_id, text in rows:
             words = words_of(text)
             if not words:
                 continue
-            items = self.by_length.setdefault(len(words), Items(len(words)))
-            items.add(item_id, words)
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for i in range(len(words) - items.size + 1):
-                lengths[items.size][self._code(coded[i:i + items.size])].add(len(words))
-        for items in self.by_length.values():
-            items.close(radius)
-        self.sizes = {size: (np.array(sorted(found), dtype=np.uint64), [sorted(found[k]) for k in sorted(found)]) for size, found in lengths.items()}
-
-    @staticmethod
-    def _code(numbers: list[int]) -> int:
-        """A number for a run of vocabulary words: the polynomial that `_codes` computes for whole texts."""
-        out = 0
-        for n in numbers:
-            out = (out * 0x9E3779B97F4A7C15 + n + 1) & 0xFFFFFFFFFFFFFFFF
-        return out
+            size = min(WORDS, len(words))
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
+            own = np.unique(self._codes(numbers, size))
+            codes[size][0].append(own)
+            codes[size][1].append(np.full(len(own), len(self.ids), dtype=np.int64))
+            found = shingle_hashes(words, size)
+            hashes.append(found)
+            marks.append(_mark(_signs(found).sum(axis=0)[None])[0])
+            lengths.append(len(words))
+            self.ids.append(item_id)
+        self.lengths, self.marks = np.array(lengths, dtype=np.int64), np.array(marks, dtype=np.uint64)
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.ends = np.cumsum([len(h) for h in hashes])
+        self.lists = {size: Lists(np.concatenate(c), np.concatenate(i)) for size, (c, i) in codes.items()}
 
     @staticmethod
     def _codes(numbers: np.ndarray, size: int) -> np.ndarray:
+        """A number for each run of vocabulary words."""
         n = len(numbers) - size + 1
         out = np.zeros(n, dtype=np.uint64)
         for k in range(size):
             out = out * np.uint64(0x9E3779B97F4A7C15) + (numbers[k:k + n] + 1).astype(np.uint64)
         return out
 
+    def shingles(self, item: int) -> Counter:
+        end = int(self.ends[item])
+        return Counter(self.hashes[end - max(int(self.lengths[item]) - WORDS + 1, 1):end].tolist())
+
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, best similarity) of every item that some window of the text copies."""
         words = words_of(text)
         numbers = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
-        starts: dict[int, set[int]] = defaultdict(set)
-        for size, (codes, lengths) in self.sizes.items():
+        best: dict[int, float] = {}
+        for size, lists in self.lists.items():
             if len(words) < size:
                 continue
             known = np.convolve(numbers >= 0, np.ones(size, int), "valid") == size
             places = np.flatnonzero(known)
-            if not len(places):
+            at, item = lists.found(self._codes(numbers, size)[places])
+            if not len(at):
                 continue
-            own = self._codes(numbers, size)[places]
-            index = np.searchsorted(codes, own)
-            index[index == len(codes)] = 0
-            for place, k in zip(places[codes[index] == own].tolist(), index[codes[index] == own].tolist()):
-                for length in lengths[k]:
-                    last = max(len(words) - length, 0)
-                    starts[length].update(range(min(max(place - (length - size), 0), last), min(place, last) + 1))
-        best: dict = {}
-        for length, found in starts.items():
-            for item_id, value in self._verified(words, self.by_length[length], sorted(found)):
-                best[item_id] = max(value, best.get(item_id, 0.0))
-        return sorted(best.items(), key=str)
-
-    def _verified(self, words: list[str], items: Items, starts: list[int]) -> Iterator[tuple]:
-        """Windows are taken in runs of neighbours, so overlapping ones share one running sum of signs."""
-        cuts = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > items.length or i % 4096 == 0), len(starts)]
+            # Windows of the item's length over the shared shingle.
+            last = np.maximum(len(words) - self.lengths[item], 0)
+            first = np.minimum(np.maximum(places[at] - (self.lengths[item] - size), 0), last)
+            n = np.minimum(places[at], last) - first + 1
+            order = np.lexsort((first, self.lengths[item]))
+            item, first, n = item[order], first[order], n[order]
+            edges = np.flatnonzero(np.diff(self.lengths[item], prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(item)]):
+                for x, value in self._verified(words, size, int(self.lengths[item[a]]), item[a:b], first[a:b], n[a:b]):
+                    best[x] = max(value, best.get(x, 0.0))
+        out: dict = {}
+        for x, value in best.items():
+            out[self.ids[x]] = max(value, out.get(self.ids[x], 0.0))
+        return sorted(out.items(), key=str)
+
+    def _verified(self, words: list[str], size: int, length: int, item: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        """Pairs of one window length, by runs of neighbouring windows that share one running sum of signs."""
+        reach = np.maximum.accumulate(first + n)
+        gap = np.flatnonzero(first[1:] > reach[:-1] + length) + 1
+        full = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1
+        cuts = np.unique(np.concatenate(([0], gap, full, [len(first)]))).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            first, run = starts[a], np.array(starts[a:b]) - starts[a]
-            part = words[first:starts[b - 1] + items.length]
-            size = min(items.size, len(part))
+            low, high = int(first[a]), int((first[a:b] + n[a:b]).max()) - 1
+            part = words[low:high + length]
             hashes = shingle_hashes(part, size)
-            width = min(items.length, len(part)) - size + 1
-            sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(hashes), axis=0)))
-            marks = _mark(sums[run + width] - sums[run])
-            for window, item in zip(*items.candidates(marks, self.radius)):
-                at = int(run[window])
-                value = similarity(Counter(hashes[at:at + width].tolist()), items.shingles[item])
-                if value >= self.least:
-                    yield items.ids[item], value
+            width = min(length, len(part)) - size + 1
+            pairs = np.unique(np.column_stack([_ranges(first[a:b], n[a:b]) - low, np.repeat(item[a:b], n[a:b])]), axis=0)
+            for start in range(0, high - low + 1, 4096):  # signs of a stretch at a time
+                own = pairs[(pairs[:, 0] >= start) & (pairs[:, 0] < start + 4096)]
+                signs = _signs(hashes[start:start + 4096 + width])
+                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(signs, axis=0)))
+                window = own[:, 0] - start
+                windows, back = np.unique(window, return_inverse=True)
+                marks = _mark(sums[windows + width] - sums[windows])
+                close = near(marks[back], self.marks[own[:, 1]], self.radius)
+                for at, x in own[close].tolist():
+                    value = similarity(Counter(hashes[at:at + width].tolist()), self.shingles(x))
+                    if value >= self.least:
+                        yield x, value
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
@@ -195,13 +208,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for block in benchmark_blocks(benchmark, block_words=block_words):
         items = Benchmark(block)
-        found = rows.select(id_col, F.explode(_matches(items)("_text")).alias("m")).select(id_col, "m.item_id", "m.similarity")
+        found = rows.select(id_col, F.explode(_matches(items, benchmark)("_text")).alias("m")).select(id_col, "m.item_id", "m.similarity")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _matches(items: Benchmark):
-    @F.pandas_udf("array<struct<item_id:long,similarity:double>>")
+def _matches(items: Benchmark, benchmark: DataFrame, id_col: str = "item_id"):
+    @F.pandas_udf(f"array<struct<item_id:{benchmark.schema[id_col].dataType.simpleString()},similarity:double>>")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"item_id": i, "similarity": s} for i, s in items.matches(t)])
 
@@ -212,5 +225,5 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     """The rows of `df` that copy no benchmark item."""
     for block in benchmark_blocks(benchmark):
         name = own_name(df, "_matches")
-        df = df.withColumn(name, _matches(Benchmark(block))(text_col)).filter(F.size(name) == 0).drop(name)
+        df = df.withColumn(name, _matches(Benchmark(block), benchmark)(text_col)).filter(F.size(name) == 0).drop(name)
     return df

@@ -1,6 +1,9 @@
 """Benchmark copies against every window by hand, and edge cases."""
 
+import pickle
 import random
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -53,14 +56,36 @@ def test_edited_copies():
 
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
-    items = d.Items(5)
-    items.marks = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    parts = items.marks.view(np.uint8).reshape(-1, 8)
-    items.tables = np.array([np.bitwise_count(d._BYTES[:, None] ^ parts[None, :, b]) <= t for b, t in enumerate(d.thresholds(20))])
-    flips = np.array([sum(1 << int(b) for b in rng.permutation(64)[:20]) for _ in range(200)], dtype=np.uint64)
-    marks = items.marks ^ flips
-    window, item = items.candidates(marks, 20)
-    assert {(i, i) for i in range(200)} <= set(zip(window.tolist(), item.tolist())) and sum(d.thresholds(20)) == 13
+    marks = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.permutation(64)[:rng.integers(0, 40)]) for _ in range(4000)], dtype=np.uint64)
+    assert (d.near(marks, marks ^ flips, 20) == (np.bitwise_count(flips) <= 20)).all() and sum(d.thresholds(20)) == 13
+
+
+def test_many_items_are_listed_by_their_shingles():
+    """30,000 items of ten words that share a shingle with one other at most: a text meets those that it holds."""
+    rng = np.random.default_rng(3)
+    words = [f"v{k}" for k in range(50_000)]
+    items = [(k, " ".join(words[i] for i in row)) for k, row in enumerate(rng.integers(0, 50_000, (30_000, 10)).tolist())]
+    tracemalloc.start()
+    benchmark = d.Benchmark(items)
+    filler = [words[i] for i in rng.integers(0, 50_000, 3000)]
+    text = " ".join(filler[:1500]) + " " + items[77][1] + " " + " ".join(filler[1500:]) + " " + items[9][1]
+    start = time.perf_counter()
+    assert [i for i, _ in benchmark.matches(text)] == [77, 9]
+    assert time.perf_counter() - start < 2 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    assert len(pickle.dumps(benchmark)) < 12 << 20
+
+
+def test_items_that_share_shingles_and_long_texts():
+    rng = random.Random(6)
+    items = [(f"i{k}", " ".join(["which", "of", "these", "is", "the"] + [f"q{rng.randrange(30)}" for _ in range(rng.randrange(1, 9))])) for k in range(80)]
+    benchmark = d.Benchmark(items)
+    for _ in range(30):
+        text = " ".join(rng.choice([t for _, t in items] + ["x y z"]) for _ in range(8))
+        assert benchmark.matches(text) == plain(text, items)
+    long = "a b " * 40_000 + items[3][1] + " c d" * 40_000
+    assert dict(benchmark.matches(long))["i3"] == 1.0
 
 
 def test_nulls_blocks_clashing_names_and_no_rows(spark, monkeypatch):
@@ -75,4 +100,6 @@ def test_nulls_blocks_clashing_names_and_no_rows(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == want
     kept = d.drop_contaminated(df, items)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
+    named = d.contaminated(df, items.selectExpr("concat('item ', item_id) item_id", "text")).select("item_id").distinct().collect()
+    assert sorted(r[0] for r in named) == ["item 1", "item 4", "item 5"]
     assert d.contaminated(df.limit(0), items).count() == 0 and d.contaminated(df, items.limit(0)).count() == 0
