@@ -19,7 +19,8 @@ from fleetline.operators.dedup import top_per_group
 SLICE = "_slice"
 SALT = "_salt"
 SLICES_PER_TOLERANCE = 6
-#: Tasks that the left rows of one slice are spread over where no key does it. Each gets a copy of the slice's right rows.
+#: Tasks that the left rows of one slice are spread over where no key does it. Each gets a copy of the slice's right rows,
+#: so slices are as wide as the tolerance there: a right row is carried into one further slice, not into six.
 SALTS_WITHOUT_KEYS = 16
 
 
@@ -33,17 +34,17 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, to
               width: str | int | None = None, salts: int | None = None) -> DataFrame:
     """Left rows with the newest right row at or before them, at most `tolerance` old (inner).
 
-    `width` is the slice width, a sixth of the tolerance unless given; narrower slices spread one key over
-    more tasks and carry one more row each. `keys` are equal on both sides. `entity` columns exist on the right only: a left row then gets one
+    `width` is the slice width, unless given a sixth of the tolerance, or all of it where salts spread the rows;
+    narrower slices spread one key over more tasks and carry one more row each. `keys` are equal on both sides. `entity` columns exist on the right only: a left row then gets one
     result per entity of its key that has a fresh enough row. `ties` orders right rows of equal time.
     `salts` spreads the left rows of one (key, slice) over as many tasks and copies its right rows to each; without
     keys it is `SALTS_WITHOUT_KEYS`, else 1. Give it where one key holds many left rows and few right ones.
     Right columns keep their names; they must not collide with left ones apart from `keys`.
     """
     limit = duration_seconds(tolerance)
-    step = duration_seconds(width) if width else max(1, limit // SLICES_PER_TOLERANCE)
-    reach = -(-limit // step)
     salts = salts or (1 if keys else SALTS_WITHOUT_KEYS)
+    step = duration_seconds(width) if width else max(1, limit // (1 if salts > 1 else SLICES_PER_TOLERANCE))
+    reach = -(-limit // step)
     group = [*keys, *entity]
     payload = [c for c in right.columns if c not in keys]
 

@@ -49,17 +49,13 @@ def with_carried_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     out = sliced.withColumn(CARRIED, F.lit(False))
     if n <= 4:
         along_key = Window.partitionBy(*keys).orderBy(SLICE, *order)
-        marked = tails.withColumn("_last_slice", F.lag(SLICE).over(along_key))
-        heads = F.col("_last_slice") < F.col(SLICE)
+        heads = F.lag(SLICE).over(along_key) < F.col(SLICE)
         # Column by column, so that columns nobody uses are pruned here as in the data itself and both
         # read the same shuffle.
-        for back in range(1, n + 1):
-            out = out.unionByName(
-                marked.select(SLICE, F.lit(True).alias(CARRIED), heads.alias("_heads"),
-                              F.lag(F.lit(True), back, False).over(along_key).alias("_found"),
-                              *[F.lag(c, back).over(along_key).alias(c) for c in columns])
-                .filter("_heads AND _found").drop("_heads", "_found"))
-        return out
+        earlier = tails.select(SLICE, heads.alias("_heads"), F.least(F.row_number().over(along_key) - 1, F.lit(n)).alias("_found"),
+                               *[F.array(*[F.lag(c, back).over(along_key) for back in range(1, n + 1)]).alias(c) for c in columns])
+        carried = earlier.filter("_heads").withColumn("_back", F.explode(F.sequence(F.lit(0), F.col("_found") - 1)))
+        return out.unionByName(carried.select(SLICE, F.lit(True).alias(CARRIED), *[F.get(c, "_back").alias(c) for c in columns]))
     # One row for each slice holds its last rows; the n before a slice are the last of up to n slices before it.
     row = F.struct(*order, *[c for c in columns if c not in order])
     by_slice = tails.groupBy(*keys, SLICE).agg(F.array_sort(F.collect_list(row)).alias("_rows"))

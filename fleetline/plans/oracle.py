@@ -299,8 +299,8 @@ SELECT curr_trip, stop_id, 'Action: **MONITOR**' || chr(10) || 'Dispatcher Note:
 _CHECKS["parse_response"] = r"""
 WITH r AS (SELECT doc_id, CASE doc_id % 4
   WHEN 0 THEN '**Action:** HOLD TRAIN ' || chr(10) || 'Dispatcher Note: ' || lang || chr(10) || 'Rider Message: to ' || source || chr(10) || 'Reasoning: ' || rtrim("text", ' ')
-  WHEN 1 THEN 'Action:' || chr(10) || 'Dispatcher Note: ' || source
-  WHEN 2 THEN rtrim("text", ' ') ELSE '' END AS t FROM documents)
+  WHEN 1 THEN 'Action:' || chr(10) || 'Dispatcher Note: ' || source || chr(10) || 'Reasoning: ' || rtrim("text", ' ')
+  WHEN 2 THEN rtrim("text", ' ') ELSE 'Rider Message: ' || rtrim("text", ' ') END AS t FROM documents)
 SELECT doc_id, trim(nullif(regexp_extract(t, '\*{0,2}Action:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS llm_action,
   trim(nullif(regexp_extract(t, '\*{0,2}Dispatcher Note:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS dispatcher_note,
   trim(nullif(regexp_extract(t, '\*{0,2}Rider Message:\*{0,2}\s*([^\n]+)', 1), ''), ' ') AS rider_message,
@@ -545,17 +545,28 @@ SELECT route_id, 'bus' AS mode, color, part, count(*) AS n_points, arg_min(lon,
   arg_max(lon, position) AS last_lon, arg_max(lat, position) AS last_lat
 FROM p GROUP BY route_id, color, part HAVING count(*) >= 2"""
 _CHECKS["static_files"] = """
-SELECT 'stops' AS name, count(*) AS n, round(sum(CASE WHEN stop_id = 'S3' THEN 0.0 ELSE stop_lat END), 6) AS total FROM st
-UNION ALL SELECT 'shapes', count(*), round(sum(lat), 6) FROM shp
-UNION ALL SELECT 'trips', count(*), count(DISTINCT (o_orderkey % 60, o_custkey % 20))::DOUBLE FROM orders
-UNION ALL SELECT 'routes', count(*), count(*) FILTER (WHERE n_nationkey % 4 <> 0)::DOUBLE FROM nation"""
+SELECT 'stops' AS name, stop_id AS id, stop_name AS detail, CASE WHEN stop_id = 'S3' THEN 0.0 ELSE stop_lat END AS lat,
+  CASE WHEN stop_id = 'S3' THEN 0.0 ELSE stop_lon END AS lon FROM st
+UNION ALL SELECT 'shapes', shape_id, seq::VARCHAR, lat, lon FROM shp
+UNION ALL SELECT 'trips', 'SH' || (o_orderkey % 60), 'R' || (o_custkey % 20), NULL, NULL FROM orders
+UNION ALL SELECT 'routes', 'R' || n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE lpad(printf('%X', n_nationkey * 4099), 6, '0') END, NULL, NULL
+FROM nation"""
 _CHECKS["read_weather_events"] = """
-SELECT strftime(event_time, '%Y-%m-%d') AS day, count(*) AS n, sum(code)::BIGINT AS codes FROM wx GROUP BY 1"""
+SELECT date_trunc('minute', event_time) AS event_time, temp AS temperature_2m, precip AS precipitation, rain, code AS weather_code,
+  wind AS wind_speed_10m FROM wx"""
+_CHECKS["read_vehicle_positions"] = "SELECT *, stop_id AS stop_base, right(stop_id, 1)::INTEGER AS stop_sequence FROM pos"
+_COMMON["tu_all"] = _COMMON["tu"].replace(" FROM lineitem", """,
+  'S' || (l_suppkey % 40) AS stop_base, (1704067200 + (l_orderkey * 7 + l_linenumber * 131) % 4000 - 980)::BIGINT AS departure_epoch
+  FROM lineitem""")
+_CHECKS["read_trip_updates"] = "SELECT * FROM tu_all"
+_CHECKS["read_bus_positions"] = "SELECT *, '' AS stop_id FROM bus"
+_CHECKS["read_passenger_surges"] = "SELECT * FROM sg"
 _CHECKS["read_feeds"] = """
 SELECT 'vehicle_positions' AS name, count(*) AS n FROM pos UNION ALL SELECT 'trip_updates', count(*) FROM tu
 UNION ALL SELECT 'bus_positions', count(*) FROM bus UNION ALL SELECT 'passenger_surges', count(*) FROM sg"""
 _CHECKS["outbox_file"] = """
-SELECT alert_type, severity, action, action AS llm_action, count(*) AS n, sum(headway_seconds)::BIGINT AS seconds FROM act GROUP BY ALL"""
+SELECT route_id, direction, stop_id, stop_name, alert_type, severity, headway_seconds, action, action AS llm_action, dispatcher_note
+FROM dd"""
 _CHECKS["bucketed_estimates"] = "SELECT * FROM est"
 _CHECKS["keyed_table"] = """
 SELECT * FROM tu WHERE arrival_epoch > 0

@@ -266,8 +266,8 @@ def parse_response(spark, sf):
     case = F.col("doc_id") % 4
     text = (F.when(case == 0, F.concat(F.lit("**Action:** HOLD TRAIN \nDispatcher Note: "), "lang",
                                        F.lit("\nRider Message: to "), "source", F.lit("\nReasoning: "), F.rtrim("text")))
-            .when(case == 1, F.concat(F.lit("Action:\nDispatcher Note: "), "source"))
-            .when(case == 2, F.rtrim("text")).otherwise(""))
+            .when(case == 1, F.concat(F.lit("Action:\nDispatcher Note: "), "source", F.lit("\nReasoning: "), F.rtrim("text")))
+            .when(case == 2, F.rtrim("text")).otherwise(F.concat(F.lit("Rider Message: "), F.rtrim("text"))))
     parsed = agent.parse_response(docs.select("doc_id", text.alias("response")))
     return parsed.select("doc_id", "llm_action", "dispatcher_note", "rider_message", "reasoning")
 
@@ -639,15 +639,14 @@ def static_files(spark, sf):
     sample.trips(spark, sf).select("shape_id", "route_id").write.csv(f"{path}/trips.txt", header=True)
     sample.routes(spark, sf).write.csv(f"{path}/routes.txt", header=True)
     parts = static.read_gtfs_static(spark, path)
-    stops = static.read_stops(spark, f"{path}/stops.txt").agg(
-        F.lit("stops").alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum("stop_lat"), 6).alias("total"))
-    shapes = parts["shapes"].agg(F.lit("shapes").alias("name"), F.count(F.lit(1)).alias("n"),
-                                 F.round(F.sum("shape_pt_lat"), 6).alias("total"))
-    trips = parts["trips"].agg(F.lit("trips").alias("name"), F.count(F.lit(1)).alias("n"),
-                               F.countDistinct("shape_id", "route_id").cast("double").alias("total"))
-    routes = parts["routes"].agg(F.lit("routes").alias("name"), F.count(F.lit(1)).alias("n"),
-                                 F.count_if(F.col("route_color") != "").cast("double").alias("total"))
-    return stops.unionByName(shapes).unionByName(trips).unionByName(routes)
+    stops = static.read_stops(spark, f"{path}/stops.txt")
+    none = F.lit(None).cast("double")
+    out = stops.select(F.lit("stops").alias("name"), F.col("stop_id").alias("id"), F.col("stop_name").alias("detail"),
+                       F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    for name, row in (("shapes", ("shape_id", F.col("shape_pt_sequence").cast("string"), "shape_pt_lat", "shape_pt_lon")),
+                      ("trips", ("shape_id", "route_id", none, none)), ("routes", ("route_id", "route_color", none, none))):
+        out = out.union(parts[name].select(F.lit(name), *row))
+    return out
 
 
 # ---- sources and sinks over files ----
@@ -663,8 +662,8 @@ def read_service_alerts(spark, sf):
 def read_weather_events(spark, sf):
     path = new_run_dir(spark, "landing")
     sample.weather_events(spark, sf).select("current").write.json(path)
-    return feeds.read_weather_events(spark, path).groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("current.weather_code").alias("codes"))
+    return feeds.read_weather_events(spark, path).select("event_time", *[f"current.{c}" for c in (
+        "temperature_2m", "precipitation", "rain", "weather_code", "wind_speed_10m")])
 
 
 @query
@@ -681,6 +680,33 @@ def read_feeds(spark, sf):
     return out
 
 
+def _landed(spark, rows, reader):
+    """A feed written as files and read back, with the columns written."""
+    path = new_run_dir(spark, "landing")
+    rows.write.parquet(path)
+    return reader(spark, path).select(*rows.columns)
+
+
+@query
+def read_vehicle_positions(spark, sf):
+    return _landed(spark, sample.vehicle_positions(spark, sf), feeds.read_vehicle_positions)
+
+
+@query
+def read_trip_updates(spark, sf):
+    return _landed(spark, sample.trip_updates(spark, sf), feeds.read_trip_updates)
+
+
+@query
+def read_bus_positions(spark, sf):
+    return _landed(spark, sample.bus_positions(spark, sf), feeds.read_bus_positions)
+
+
+@query
+def read_passenger_surges(spark, sf):
+    return _landed(spark, sample.passenger_surges(spark, sf), feeds.read_passenger_surges)
+
+
 @query
 def read_decisions_jsonl(spark, sf):
     """Logged decisions with broken and blank lines in between."""
@@ -698,8 +724,7 @@ def outbox_file(spark, sf):
     path = new_run_dir(spark, "outbox")
     decisions = agent.dispatcher_decisions(_alerts(spark, sf))
     sinks.write_outbox(decisions, path)
-    return files.read_decisions_jsonl(spark, path).groupBy("alert_type", "severity", "action", "llm_action").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("headway_seconds").alias("seconds"))
+    return files.read_decisions_jsonl(spark, path)
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetline.functions.times import duration_seconds
 from fleetline.operators.dedup import dedup_first, dedup_last
 from fleetline.operators.enrich import station_bottlenecks, weather_impact
-from fleetline.sinks.tables import CHANGE, exists, stored_changes
+from fleetline.sinks.tables import CHANGE, exists, fold_changes, stored_changes
 from fleetline.streaming.events import ALERT_DELAY, FEED_DELAY
 from fleetline.streaming.slices import WIDTH, Closed, Side, closed_slices, micros, write_closed
 
@@ -76,6 +76,7 @@ def latest_state_stream(rows: DataFrame, at, keys: Sequence[str], ts: str, ttl:
     state = T.StructType([*rows.schema.fields, T.StructField(EXPIRED, T.BooleanType()), T.StructField("at", T.LongType())])
 
     def work(closed: Closed) -> None:
+        fold_changes(closed.spark, f"{path}/state", state, keys, closed.number)
         newest = dedup_last(closed.due["rows"], keys, ts, ties).withColumns({EXPIRED: F.lit(False), "at": at})
         known = dedup_last(_stored(closed.spark, f"{path}/state", state, closed.number), keys, CHANGE).filter(~F.col(EXPIRED))
         both = dedup_last(newest.withColumn(CHANGE, F.lit(closed.number).cast("long")).unionByName(known), keys, CHANGE)

@@ -16,7 +16,8 @@ from fleetline.operators.dedup import ALERT_IDENTITY
 from fleetline.plans.jobs import STOP_COLUMNS, within_eta
 from fleetline.schemas import TRIP_UPDATES
 from fleetline.session import new_run_dir
-from fleetline.sinks.tables import CHANGE, append_sink, decision_outbox, exists, has_change, read_keyed, stored_changes, upsert_sink
+from fleetline.sinks.tables import CHANGE, append_sink, decision_outbox, exists, fold_changes, has_change
+from fleetline.sinks.tables import read_keyed, stored_changes, upsert_sink
 from fleetline.streaming.events import dedup_first_stream
 
 PREDICTION_COLUMNS = (*STOP_COLUMNS, "arrival_epoch", "event_time")
@@ -97,6 +98,7 @@ def dispatcher_stream(alerts: DataFrame, path: str, checkpoint: str, responder:
             decision_outbox(made, "value").write.mode("overwrite").text(f"{outbox}/{CHANGE}={number}")
 
     def answer(spark: SparkSession, batch: DataFrame, number: int) -> None:
+        fold_changes(spark, path, dispatcher_decisions(batch, responder).schema, ALERT_IDENTITY, number)
         if exists(spark, path):
             known = stored_changes(spark, path, identity).select(*[F.col(c).alias(f"_{c}") for c in ALERT_IDENTITY])
             same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ALERT_IDENTITY])

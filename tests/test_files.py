@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetline import schemas
@@ -135,14 +137,66 @@ def test_keyed_table(spark, tmp_path):
     sinks.compact(spark, path, schema, ("k",), "t")
     now = sinks.read_keyed(spark, path, schema, ("k",), "t")
     assert rows(now, "v") == [("a2",), ("b5",), ("c1",)]
-    plan = now._jdf.queryExecution().executedPlan().toString()
-    assert "_compacted" in plan and "PartitionFilters: [isnotnull(change" in plan
+    assert all("/_compacted/0-1/" in f for f in now.inputFiles())
     change(2, [("a", 1, "old"), ("c", 7, "c7")])
     assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c7",)]
     sinks.compact(spark, path, schema, ("k",), "t")
     assert rows(sinks.read_keyed(spark, path, schema, ("k",), "t"), "v") == [("a2",), ("b5",), ("c7",)]
 
 
+def test_folders_of_a_thousand_changes():
+    folds = set()
+    for number in range(1001):
+        count = sinks.FOLD
+        while count <= number:
+            last = number // count * count - 1
+            folds.add((last - count + 1, last))
+            count *= sinks.FOLD
+        live = sinks.live_folders(range(number), sorted(folds), lambda f: True)
+        held = [c for f in live for c in (range(f[0], f[1] + 1) if isinstance(f, tuple) else (f,))]
+        assert sorted(held) == list(range(number)) and len(live) <= 20
+
+
+@given(st.sets(st.integers(0, 40)), st.sets(st.tuples(st.integers(0, 40), st.integers(0, 40)).filter(lambda f: f[0] <= f[1])),
+       st.integers(0, 7))
+def test_folders_hold_each_change_once(changes, folds, broken):
+    live = sinks.live_folders(sorted(changes), sorted(folds), lambda f: sum(f) % 7 != broken)
+    held = [c for f in live for c in changes if (f[0] <= c <= f[1] if isinstance(f, tuple) else c == f)]
+    assert sorted(held) == sorted(changes)
+    assert all(not isinstance(f, tuple) or (f in folds and sum(f) % 7 != broken) for f in live)
+
+
+def test_folded_changes(spark, tmp_path):
+    """Folds of four and sixteen, with a missing change, a replayed last one, and a compaction across their borders."""
+    path, schema, newest = str(tmp_path / "t"), schemas.struct(k="string", t="long", v="string"), {}
+
+    def check(most):
+        now = sinks.read_keyed(spark, path, schema, ("k",), "t")
+        assert rows(now, "k", "v") == sorted((k, v) for k, (_, v) in newest.items())
+        assert len({f.rsplit("/", 1)[0] for f in now.inputFiles()}) <= most
+
+    def change(n, t):
+        data = [(f"k{n % 5}", t, f"v{n}"), (f"own{n}", t, f"v{n}")]
+        sinks.fold_changes(spark, path, schema, ("k",), n, "t")
+        sinks.write_changes(spark.createDataFrame(data, schema).coalesce(1), path, n, ("k",), "t")
+        for k, t, v in data:
+            newest[k] = max(newest.get(k, (-1, "")), (t, v))
+
+    assert sinks.stored_changes(spark, path, schema).count() == 0
+    for n in range(18):
+        if n != 6:
+            change(n, 100 - n if n % 3 else 100 + n)
+    assert {p.name for p in (tmp_path / "t" / "_compacted").iterdir()} == {"0-3", "4-7", "8-11", "12-15", "0-15"}
+    check(3)
+    change(17, 83)
+    check(3)
+    sinks.compact(spark, path, schema, ("k",), "t")
+    check(1)
+    for n in range(18, 22):
+        change(n, 200 + n)
+    check(5)
+
+
 def test_buckets(spark, tmp_path):
     path = str(tmp_path / "b")
     sinks.write_bucketed(spark.range(100).withColumn("k", F.col("id") % 7).repartition(5), path, ("k",))
