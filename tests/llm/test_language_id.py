@@ -1,6 +1,11 @@
 """Language identification: nearest centroid by hand, held-out accuracy, rejection, and edge cases."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from fleetline.llm import language_id as lid
 from fleetline.llm import queries
@@ -79,3 +84,61 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"x{i}") for i in range(300)]
     model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(model.languages) == {f"x{i}" for i in range(300)}
+
+
+def plain_counts(text):
+    """Hashed pairs and triples of the lower-cased bytes, all but letters as space."""
+    raw = [b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+    if len(raw) < 2:
+        return Counter(raw)
+    grams = Counter((1 << 24) + a + 256 * b for a, b in zip(raw, raw[1:]))
+    grams += Counter(a + 256 * b + 65536 * c for a, b, c in zip(raw, raw[1:], raw[2:]))
+    out = Counter()
+    for gram, n in grams.items():
+        out[gram * 0x9E3779B1 % 2**32 >> 20] += n
+    return out
+
+
+def plain_clusters(rows):
+    """Three unit centroids: starts far from each other, twelve rounds."""
+    starts = [int(np.argmax(rows @ rows.mean(axis=0)))]
+    while len(starts) < min(3, len(rows)):
+        starts.append(int(np.argmin(np.max(rows @ rows[starts].T, axis=1))))
+    centres = rows[starts]
+    for _ in range(12):
+        own = np.argmax(rows @ centres.T, axis=1)
+        sums = [rows[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))]
+        centres = np.array([v / np.linalg.norm(v) for v in sums])
+    return centres
+
+
+def test_whole_table_equals_a_plain_fit(spark):
+    """Counts, document frequencies, centroids and cosines of all documents, computed anew without the module."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("key"))
+    docs = docs.orderBy("key").collect()
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs]
+    known = [r["text"] is not None and any(c.isalpha() for c in r["text"]) for r in docs]
+    counted = [plain_counts(r["text"]) if k else Counter() for r, k in zip(docs, known)]
+    training = [i for i, r in enumerate(docs) if known[i] and not held[i] and r["lang"] is not None]
+    having = Counter(feature for i in training for feature in counted[i])
+    idf = np.array([math.log((1 + len(training)) / (1 + having[j])) + 0.05 for j in range(4096)])
+    units = np.zeros((len(docs), 4096))
+    for i, grams in enumerate(counted):
+        for feature, n in grams.items():
+            units[i, feature] = math.log(1 + n) * idf[feature]
+    units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
+    langs = sorted({docs[i]["lang"] for i in training})
+    assert max(Counter(docs[i]["lang"] for i in training).values()) <= lid.SAMPLE  # so the plain fit takes all rows as well
+    centres = {lang: plain_clusters(units[[i for i in training if docs[i]["lang"] == lang]]) for lang in langs}
+    out = {r["doc_id"]: r for r in queries.queries()["op5_language"](spark, sf).collect()}
+    assert len(out) == len(docs)
+    for i, r in enumerate(docs):
+        got = out[r["doc_id"]]
+        assert got["held_out"] == held[i]
+        if not known[i]:
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        nearest = {lang: float((units[i] @ c.T).max()) for lang, c in centres.items()}
+        assert abs(got["score"] - max(max(nearest.values()), 0)) < 1e-4
+        assert nearest[got["lang_pred"]] > max(nearest.values()) - 1e-4
