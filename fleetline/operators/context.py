@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetline.functions.ids import blank_to
@@ -20,6 +21,7 @@ HEADINGS = {
     5: "FLINK DISPATCHER RECOMMENDATIONS (already issued by the streaming agent):",
     6: "NEXT ARRIVALS (route @ stop in N sec):",
 }
+TITLES = {2: "SUBWAY LINES RUNNING: ", 3: "BUS ROUTES RUNNING: ", 8: "STATION PASSENGER SURGES: "}
 
 
 def _text(*parts: str | Column) -> Column:
@@ -28,63 +30,68 @@ def _text(*parts: str | Column) -> Column:
                       for p in parts])
 
 
-def _listed(df: DataFrame, section: int, order: list[Column], line: Column, k: int = MAX_LISTED) -> DataFrame:
-    """The first `k` rows as numbered lines, and the section heading when there is any row."""
-    short = df.orderBy(*order).limit(k)
-    ranked = short.select(F.lit(section).alias("section"),
-                          F.row_number().over(Window.orderBy(*order)).cast("long").alias("ord"), line.alias("line"))
-    heading = ranked.filter("ord = 1").select("section", F.lit(0).cast("long").alias("ord"),
-                                              F.lit(HEADINGS[section]).alias("line"))
-    return heading.unionByName(ranked)
+#: Parts that `context_lines` reads: lists of bounded length or single rows.
+PARTS = ("counts", "live", "routes", "alerts", "decisions", "arrivals", "weather", "surges")
+NAMES = 4
 
 
-def _joined(rows: DataFrame, section: int, title: str, order: str, item: Column) -> DataFrame:
-    """Items of an already short table on one line; no line without items."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t"))))
-    text = F.array_join(F.transform(items, lambda x: x["t"]), ", ")
-    return (rows.agg(F.count(F.lit(1)).alias("n"), text.alias("t")).filter("n > 0")
-            .select(F.lit(section).alias("section"), F.lit(0).cast("long").alias("ord"),
-                    F.concat(F.lit(title), F.col("t")).alias("line")))
+def _part(rows: DataFrame, section: int | Column, line: Column, number: str | Column | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with what orders them within their section: a number, then up to four names."""
+    by = F.lit(None) if number is None else F.col(number) if isinstance(number, str) else number
+    filled = [F.col(n).cast("string") for n in names] + [F.lit("")] * (NAMES - len(names))
+    place = F.lit(section) if isinstance(section, int) else section
+    return rows.select(place.alias("section"), by.cast("double").alias("number"), *[n.alias(f"name{i}") for i, n in enumerate(filled)],
+                       line.alias("line"))
 
 
-def context_lines(snap: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows (section, ord, line) built from the parts `snapshot` returns."""
+def context_parts(snap: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The parts of a snapshot that the text needs, cut to the lengths it shows. Store them to read each feed once."""
+    newest = [F.col("ts").desc(), "route_id", "direction", "stop_id"]
+    return {
+        "counts": snap["counts"], "live": snap["live"], "routes": top_routes(snap["all_vehicles"]), "weather": snap["weather"],
+        "alerts": snap["alerts"].orderBy(*newest, "curr_trip").limit(MAX_LISTED),
+        "decisions": snap["decisions"].orderBy(*newest, "dispatcher_note").limit(MAX_LISTED),
+        "arrivals": snap["arrivals"].orderBy(*BOARD_ORDER).limit(MAX_LISTED),
+        "surges": snap["surges"].orderBy("station_id").limit(MAX_SURGES)}
+
+
+def _sections(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows (section, lines), lines being structs of a number and a text. All parts meet in one shuffle by section."""
     c = F.col
-    live = snap["live"].select(F.max("live")).scalar()
+    live = parts["live"].select(F.max("live")).scalar()
     flag = F.when(F.coalesce(live, F.lit(False)), "True").otherwise("False")
-    fleet = snap["counts"].select(
-        F.lit(1).alias("section"), F.lit(0).cast("long").alias("ord"),
-        _text("LIVE FLEET: ", c("trains"), " subway trains, ", c("buses"), " buses, ", c("routes"),
-              " active routes, ", c("alerts"), " headway alerts. data_live=", flag).alias("line"))
-    busiest = top_routes(snap["all_vehicles"])
-    named = _text(c("route_short"), "(", c("vehicles"), ")")
-    rail = _joined(busiest.filter("mode = 'subway'"), 2, "SUBWAY LINES RUNNING: ", "position", named)
-    road = _joined(busiest.filter("mode = 'bus'"), 3, "BUS ROUTES RUNNING: ", "position", named)
     place = blank_to(c("stop_name"), c("stop_id"))
-    newest = [c("ts").desc(), c("route_id"), c("direction"), c("stop_id")]
-    alerts = _listed(snap["alerts"], 4, [*newest, c("curr_trip")],
-                     _text("  - ", c("route_id"), " ", c("alert_type"), " [", c("severity"), "] @ ", place,
-                           " (", c("headway_seconds"), "s)"))
-    decisions = _listed(snap["decisions"], 5, [*newest, c("dispatcher_note")],
-                        _text("  - ", c("route_id"), ": ", c("action"), " — ", c("dispatcher_note")))
-    arrivals = _listed(snap["arrivals"], 6, [c(x) for x in BOARD_ORDER],
-                       _text("  - ", c("route_id"), " @ ", place, " in ", c("eta_seconds"), "s"))
     temp = F.when(c("temp_f").isNotNull(), _text(c("temp_f"), "°F (", c("temp_c"), "°C)")).otherwise("N/A")
-    weather = snap["weather"].select(
-        F.lit(7).alias("section"), F.lit(0).cast("long").alias("ord"),
-        _text("WEATHER: ", c("condition"), ", ", temp, ", rain: ", c("precip_mm"), "mm, wind: ",
-              c("wind_kph"), " km/h").alias("line"))
-    crowded = snap["surges"].orderBy("station_id").limit(MAX_SURGES)
-    surges = _joined(crowded, 8, "STATION PASSENGER SURGES: ", "station_id",
-                     _text(c("station_name"), " [", c("line"), "] (", c("crowd_level"), ", ",
-                           c("taps_per_minute"), " taps/min)"))
-    out = fleet
-    for part in (rail, road, alerts, decisions, arrivals, weather, surges):
-        out = out.unionByName(part)
-    return out
-
-
-def context_text(snap: Mapping[str, DataFrame]) -> DataFrame:
+    by_time = (-c("ts"), ("route_id", "direction", "stop_id"))
+    rows = [
+        _part(parts["counts"], 1, _text("LIVE FLEET: ", c("trains"), " subway trains, ", c("buses"), " buses, ", c("routes"),
+                                        " active routes, ", c("alerts"), " headway alerts. data_live=", flag)),
+        _part(parts["routes"], F.when(c("mode") == "subway", 2).otherwise(3), _text(c("route_short"), "(", c("vehicles"), ")"), "position"),
+        _part(parts["alerts"], 4, _text("  - ", c("route_id"), " ", c("alert_type"), " [", c("severity"), "] @ ", place,
+                                        " (", c("headway_seconds"), "s)"), by_time[0], (*by_time[1], "curr_trip")),
+        _part(parts["decisions"], 5, _text("  - ", c("route_id"), ": ", c("action"), " — ", c("dispatcher_note")),
+              by_time[0], (*by_time[1], "dispatcher_note")),
+        _part(parts["arrivals"], 6, _text("  - ", c("route_id"), " @ ", place, " in ", c("eta_seconds"), "s"), BOARD_ORDER[0], BOARD_ORDER[1:]),
+        _part(parts["weather"], 7, _text("WEATHER: ", c("condition"), ", ", temp, ", rain: ", c("precip_mm"), "mm, wind: ",
+                                         c("wind_kph"), " km/h")),
+        _part(parts["surges"], 8, _text(c("station_name"), " [", c("line"), "] (", c("crowd_level"), ", ", c("taps_per_minute"),
+                                        " taps/min)"), None, ("station_id",))]
+    order = F.struct(F.col("number").isNull().alias("last"), "number", *[f"name{i}" for i in range(NAMES)], "line")
+    listed = reduce(DataFrame.unionByName, rows).groupBy("section").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    texts = F.transform("found", lambda x: x["line"])
+    heading = F.create_map(*[F.lit(v) for item in {**HEADINGS, **TITLES}.items() for v in item])[c("section")]
+    single = F.concat(F.coalesce(heading, F.lit("")), F.array_join(texts, ", "))
+    lines = F.when(c("section").isin(*HEADINGS), F.concat(F.array(heading), texts)).otherwise(F.array(single))
+    return listed.select("section", F.transform(lines, lambda t, i: F.struct(i.cast("long").alias("ord"), t.alias("line"))).alias("lines"))
+
+
+def context_lines(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows (section, ord, line) built from what `context_parts` returns."""
+    return _sections(parts).select("section", F.inline("lines"))
+
+
+def context_text(parts: Mapping[str, DataFrame]) -> DataFrame:
     """The lines as one text: one row, bounded by the list caps."""
-    lines = F.array_sort(F.collect_list(F.struct("section", "ord", "line")))
-    return context_lines(snap).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+    in_order = F.array_sort(F.collect_list(F.struct("section", "lines")))
+    texts = F.transform(F.flatten(F.transform(in_order, lambda s: s["lines"])), lambda x: x["line"])
+    return _sections(parts).agg(F.array_join(texts, "\n").alias("text"))

@@ -244,6 +244,10 @@ _CHECKS["corridor_congestion_minute"] = _HOURLY.replace("1 HOUR", "1 MINUTE").re
 _CHECKS["corridor_congestion_vehicles"] = f"""
 SELECT route_short, active_buses, in_transit_buses, stopped_trips AS stopped_buses, {_level('stopped_trips')},
   w + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS window_time FROM cong"""
+_COMMON["cong_day"] = _COMMON["cong"].replace("'hour'", "'day'")
+_CHECKS["corridor_congestion_rollup"] = (
+    f"SELECT *, 'hour' AS span FROM ({_HOURLY}) UNION ALL BY NAME SELECT *, 'day' AS span FROM (" +
+    _CHECKS["corridor_congestion_vehicles"].replace("1 HOUR", "1 DAY").replace("FROM cong", "FROM cong_day") + ")")
 _CHECKS["weather_impact"] = """
 SELECT a.route_id, a.direction, a.stop_name, a.alert_type, a.severity, a.headway_seconds,
   coalesce(temp, 18.0) AS temperature_c, coalesce(precip, 0.0) AS precipitation_mm, coalesce(wind, 5.0) AS wind_speed_kmh,
@@ -575,6 +579,13 @@ _CHECKS["stream_arrival_estimates"] = "SELECT * FROM est"
 _CHECKS["stream_latest_rows"] = _CHECKS["keyed_table"].replace("*", "trip_id, stop_id, arrival_epoch, event_time", 1)
 _CHECKS["stream_upsert"] = _CHECKS["stream_latest_rows"]
 _CHECKS["stream_congestion"] = _HOURLY
+_CHECKS["stream_rollup"] = _HOURLY
+_CHECKS["stream_vehicle_counts"] = """
+SELECT route_short, current_status, count(*) AS vehicles FROM (
+  SELECT * FROM bus QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY event_time DESC, route_short DESC NULLS LAST,
+    current_status DESC NULLS LAST, bearing DESC NULLS LAST) = 1)
+GROUP BY route_short, current_status"""
+_CHECKS["stream_anomalies"], _CHECKS["stream_trends"] = _CHECKS["anomaly_alerts"], _CHECKS["trend_forecasts"]
 _CHECKS["stream_headway"] = "SELECT * FROM hw"
 _CHECKS["stream_forecast"] = "SELECT * FROM fc"
 _CHECKS["stream_weather_impact"] = _CHECKS["weather_impact"]

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from fleetline.functions import display, ids, rules
 from fleetline.functions.times import epoch_seconds, from_epoch_ms, seconds_between
 from fleetline.operators import agent, aggregate, asof, board, context, dedup, enrich, geometry, models
-from fleetline.operators import proposals, scoring, sequence, snapshot
+from fleetline.operators import proposals, rollup, scoring, sequence, snapshot
 from fleetline.plans import jobs
 from fleetline.schemas import struct
 from fleetline.session import new_run_dir, staged
 from fleetline.sinks import tables as sinks
 from fleetline.sources import feeds, files, flatten, sample, static
+from fleetline.streaming import changes
 from fleetline.streaming import events as streams
 from fleetline.streaming import headways as headway_streams
 from fleetline.streaming import joins, runs, slices
@@ -80,8 +81,9 @@ def _vehicles(spark, sf, ttl=SNAPSHOT_TTL["vehicles"]):
                                   sample.AS_OF, ttl)
 
 
-def _snapshot(spark, sf):
-    alerts = staged(_alerts(spark, sf), "alerts")
+def _snapshot(spark, sf, stored=False):
+    """All parts, lazily; `stored` writes the alerts for who reads several parts that need them."""
+    alerts = staged(_alerts(spark, sf), "alerts") if stored else _alerts(spark, sf)
     tables = {
         "vehicle_positions": sample.vehicle_positions(spark, sf), "bus_positions": sample.bus_positions(spark, sf),
         "arrival_estimates": _estimates_now(spark, sf), "headway_alerts": alerts,
@@ -91,6 +93,11 @@ def _snapshot(spark, sf):
     return snapshot.snapshot(tables, sample.AS_OF, SNAPSHOT_TTL, live_within=DAY // 24)
 
 
+def _context(spark, sf):
+    """The parts of the snapshot that the text needs, as written tables."""
+    return {name: staged(part, f"context-{name}") for name, part in context.context_parts(_snapshot(spark, sf, True)).items()}
+
+
 # ---- derived tables ----
 
 @query
@@ -161,6 +168,15 @@ def corridor_congestion_vehicles(spark, sf):
     return aggregate.corridor_congestion(sample.bus_positions(spark, sf), "1 hour", distinct_stopped=True)
 
 
+@query
+def corridor_congestion_rollup(spark, sf):
+    """Hours and days of congestion from stored minutes with sketches; the days are made from the hours."""
+    minutes = staged(rollup.congestion_rollup(sample.bus_positions(spark, sf)), "minutes")
+    hours = rollup.widen_rollup(minutes, "1 hour")
+    return rollup.rollup_congestion(hours).withColumn("span", F.lit("hour")).unionByName(
+        rollup.rollup_congestion(rollup.widen_rollup(hours, "1 day"), distinct_stopped=True).withColumn("span", F.lit("day")))
+
+
 @query
 def weather_impact(spark, sf):
     return enrich.weather_impact(_alerts(spark, sf), sample.weather_events(spark, sf))
@@ -336,7 +352,7 @@ def _planner(prompts: pd.Series) -> pd.Series:
 
 @query
 def answer_requests(spark, sf):
-    text = context.context_text(_snapshot(spark, sf))
+    text = context.context_text(_context(spark, sf))
     return agent.answer_requests(sample.requests(spark, sf), text, _planner)
 
 
@@ -462,12 +478,12 @@ def diverse_board_route(spark, sf):
 
 @query
 def context_lines(spark, sf):
-    return context.context_lines(_snapshot(spark, sf))
+    return context.context_lines(_context(spark, sf))
 
 
 @query
 def context_text(spark, sf):
-    return context.context_text(_snapshot(spark, sf))
+    return context.context_text(_context(spark, sf))
 
 
 # ---- feeds and scalars ----
@@ -868,6 +884,53 @@ def stream_bottlenecks(spark, sf):
     return slices.read_closed(spark, f"{base}/data/joined", station_bottlenecks(spark, sf).schema)
 
 
+def _in_two_runs(spark, rows, ts, run, **last):
+    """Lets a stream run over the rows before the middle of the month, and again over the others and a row that closes it."""
+    base = new_run_dir(spark, "halves")
+    early = F.col(ts) < F.lit(CHAIN_STOP).cast(rows.schema[ts].dataType)
+    for part, half in enumerate((early, ~early)):
+        rows.filter(half).write.parquet(f"{base}/in/{part}")
+        if part:
+            runs.write_last(spark, rows.schema, f"{base}/in/end", **{ts: CLOSING, **last})
+        runs.finish(run(spark.readStream.schema(rows.schema).parquet(f"{base}/in/*"), f"{base}/data", f"{base}/checkpoint"))
+    return f"{base}/data"
+
+
+@query
+def stream_vehicle_counts(spark, sf):
+    """Vehicles by route and status of their newest ping, kept from a log of changes; each ping is a correction of the one before."""
+    keys, rows = ("trip_id",), sample.bus_positions(spark, sf).select("trip_id", "route_short", "current_status", "bearing", "event_time")
+    path = _in_two_runs(spark, rows, "event_time", lambda stream, data, checkpoint: changes.change_log_stream(
+        stream, keys, "event_time", data, checkpoint, ("route_short", "current_status", "bearing"), horizon="40 days", width="10 days"))
+    log = changes.read_change_log(spark, path, rows.schema, keys)
+    return changes.sums_of_log(log, keys, ("route_short", "current_status"), count="vehicles")
+
+
+@query
+def stream_rollup(spark, sf):
+    """Hours of congestion from the sketches that a stream of buses left."""
+    rows = sample.bus_positions(spark, sf)
+    path = _in_two_runs(spark, rows, "event_time", lambda stream, data, checkpoint: changes.congestion_rollup_stream(
+        stream, data, checkpoint, width="10 days"))
+    return rollup.rollup_congestion(rollup.widen_rollup(changes.read_rollup(spark, path, rows.schema), "1 hour"))
+
+
+def _streamed_models(spark, sf):
+    """Folder of the tables that the stream of headways makes."""
+    return _in_two_runs(spark, _stored_headways(spark, sf), "arrival_time", lambda stream, data, checkpoint: changes.model_stream(
+        stream, data, checkpoint, width="10 days"))
+
+
+@query
+def stream_anomalies(spark, sf):
+    return changes.read_anomalies(spark, _streamed_models(spark, sf))
+
+
+@query
+def stream_trends(spark, sf):
+    return changes.read_trends(spark, _streamed_models(spark, sf)).drop("prev_headway_seconds")
+
+
 @query
 def stream_pipeline(spark, sf):
     """Positions to headways, alerts, decisions and alerts with weather: four streams, each reading the table of the one before.
