@@ -51,6 +51,12 @@ def test_board_meets_in_few_exchanges_without_python(spark, sf_dir):
     assert text.count("Exchange hashpartitioning") <= 3 and "Pandas" not in text and "Python" not in text
 
 
+def test_context_meets_in_one_shuffle(spark, sf_dir):
+    df = registry.queries()["context_text"](spark, sf_dir)
+    # One by section, one for the text, and one for the flag of the first line.
+    assert plan(df).count("Exchange ") <= 3
+
+
 def test_long_look_backs_shuffle_by_slice_without_a_count_or_join(spark, sf_dir):
     text = plan(registry.queries()["anomaly_bounds"](spark, sf_dir))
     last = text[text.index("Exchange hashpartitioning"):].split("\n")[0]
