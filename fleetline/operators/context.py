@@ -30,8 +30,6 @@ def _text(*parts: str | Column) -> Column:
                       for p in parts])
 
 
-#: Parts that `context_lines` reads: lists of bounded length or single rows.
-PARTS = ("counts", "live", "routes", "alerts", "decisions", "arrivals", "weather", "surges")
 NAMES = 4
 
 
@@ -44,40 +42,42 @@ def _part(rows: DataFrame, section: int | Column, line: Column, number: str | Co
                        line.alias("line"))
 
 
-def context_parts(snap: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The parts of a snapshot that the text needs, cut to the lengths it shows. Store them to read each feed once."""
-    newest = [F.col("ts").desc(), "route_id", "direction", "stop_id"]
-    return {
-        "counts": snap["counts"], "live": snap["live"], "routes": top_routes(snap["all_vehicles"]), "weather": snap["weather"],
-        "alerts": snap["alerts"].orderBy(*newest, "curr_trip").limit(MAX_LISTED),
-        "decisions": snap["decisions"].orderBy(*newest, "dispatcher_note").limit(MAX_LISTED),
-        "arrivals": snap["arrivals"].orderBy(*BOARD_ORDER).limit(MAX_LISTED),
-        "surges": snap["surges"].orderBy("station_id").limit(MAX_SURGES)}
+def context_rows(snap: Mapping[str, DataFrame]) -> DataFrame:
+    """All lines of the text with what orders them, from the parts `snapshot` returns; lists are cut to the lengths shown.
 
-
-def _sections(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows (section, lines), lines being structs of a number and a text. All parts meet in one shuffle by section."""
+    A short table made in one job. Store it to read the feeds once for several texts.
+    """
     c = F.col
-    live = parts["live"].select(F.max("live")).scalar()
+    live = snap["live"].select(F.max("live")).scalar()
     flag = F.when(F.coalesce(live, F.lit(False)), "True").otherwise("False")
     place = blank_to(c("stop_name"), c("stop_id"))
     temp = F.when(c("temp_f").isNotNull(), _text(c("temp_f"), "°F (", c("temp_c"), "°C)")).otherwise("N/A")
-    by_time = (-c("ts"), ("route_id", "direction", "stop_id"))
-    rows = [
-        _part(parts["counts"], 1, _text("LIVE FLEET: ", c("trains"), " subway trains, ", c("buses"), " buses, ", c("routes"),
+    stop = ("route_id", "direction", "stop_id")
+    newest = [c("ts").desc(), *stop]
+    alerts = snap["alerts"].orderBy(*newest, "curr_trip").limit(MAX_LISTED)
+    decisions = snap["decisions"].orderBy(*newest, "dispatcher_note").limit(MAX_LISTED)
+    arrivals = snap["arrivals"].orderBy(*BOARD_ORDER).limit(MAX_LISTED)
+    surges = snap["surges"].orderBy("station_id").limit(MAX_SURGES)
+    return reduce(DataFrame.unionByName, [
+        _part(snap["counts"], 1, _text("LIVE FLEET: ", c("trains"), " subway trains, ", c("buses"), " buses, ", c("routes"),
                                         " active routes, ", c("alerts"), " headway alerts. data_live=", flag)),
-        _part(parts["routes"], F.when(c("mode") == "subway", 2).otherwise(3), _text(c("route_short"), "(", c("vehicles"), ")"), "position"),
-        _part(parts["alerts"], 4, _text("  - ", c("route_id"), " ", c("alert_type"), " [", c("severity"), "] @ ", place,
-                                        " (", c("headway_seconds"), "s)"), by_time[0], (*by_time[1], "curr_trip")),
-        _part(parts["decisions"], 5, _text("  - ", c("route_id"), ": ", c("action"), " — ", c("dispatcher_note")),
-              by_time[0], (*by_time[1], "dispatcher_note")),
-        _part(parts["arrivals"], 6, _text("  - ", c("route_id"), " @ ", place, " in ", c("eta_seconds"), "s"), BOARD_ORDER[0], BOARD_ORDER[1:]),
-        _part(parts["weather"], 7, _text("WEATHER: ", c("condition"), ", ", temp, ", rain: ", c("precip_mm"), "mm, wind: ",
+        _part(top_routes(snap["all_vehicles"]), F.when(c("mode") == "subway", 2).otherwise(3), _text(c("route_short"), "(", c("vehicles"), ")"), "position"),
+        _part(alerts, 4, _text("  - ", c("route_id"), " ", c("alert_type"), " [", c("severity"), "] @ ", place,
+                                        " (", c("headway_seconds"), "s)"), -c("ts"), (*stop, "curr_trip")),
+        _part(decisions, 5, _text("  - ", c("route_id"), ": ", c("action"), " — ", c("dispatcher_note")),
+              -c("ts"), (*stop, "dispatcher_note")),
+        _part(arrivals, 6, _text("  - ", c("route_id"), " @ ", place, " in ", c("eta_seconds"), "s"), BOARD_ORDER[0], BOARD_ORDER[1:]),
+        _part(snap["weather"], 7, _text("WEATHER: ", c("condition"), ", ", temp, ", rain: ", c("precip_mm"), "mm, wind: ",
                                          c("wind_kph"), " km/h")),
-        _part(parts["surges"], 8, _text(c("station_name"), " [", c("line"), "] (", c("crowd_level"), ", ", c("taps_per_minute"),
-                                        " taps/min)"), None, ("station_id",))]
+        _part(surges, 8, _text(c("station_name"), " [", c("line"), "] (", c("crowd_level"), ", ", c("taps_per_minute"),
+                                        " taps/min)"), None, ("station_id",))])
+
+
+def _sections(rows: DataFrame) -> DataFrame:
+    """Rows (section, lines), lines being structs of a number and a text. All lines meet in one shuffle by section."""
+    c = F.col
     order = F.struct(F.col("number").isNull().alias("last"), "number", *[f"name{i}" for i in range(NAMES)], "line")
-    listed = reduce(DataFrame.unionByName, rows).groupBy("section").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    listed = rows.groupBy("section").agg(F.array_sort(F.collect_list(order)).alias("found"))
     texts = F.transform("found", lambda x: x["line"])
     heading = F.create_map(*[F.lit(v) for item in {**HEADINGS, **TITLES}.items() for v in item])[c("section")]
     single = F.concat(F.coalesce(heading, F.lit("")), F.array_join(texts, ", "))
@@ -85,13 +85,13 @@ def _sections(parts: Mapping[str, DataFrame]) -> DataFrame:
     return listed.select("section", F.transform(lines, lambda t, i: F.struct(i.cast("long").alias("ord"), t.alias("line"))).alias("lines"))
 
 
-def context_lines(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows (section, ord, line) built from what `context_parts` returns."""
-    return _sections(parts).select("section", F.inline("lines"))
+def context_lines(rows: DataFrame) -> DataFrame:
+    """Rows (section, ord, line) built from `context_rows`."""
+    return _sections(rows).select("section", F.inline("lines"))
 
 
-def context_text(parts: Mapping[str, DataFrame]) -> DataFrame:
+def context_text(rows: DataFrame) -> DataFrame:
     """The lines as one text: one row, bounded by the list caps."""
     in_order = F.array_sort(F.collect_list(F.struct("section", "lines")))
     texts = F.transform(F.flatten(F.transform(in_order, lambda s: s["lines"])), lambda x: x["line"])
-    return _sections(parts).agg(F.array_join(texts, "\n").alias("text"))
+    return _sections(rows).agg(F.array_join(texts, "\n").alias("text"))

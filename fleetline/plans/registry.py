@@ -94,8 +94,8 @@ def _snapshot(spark, sf, stored=False):
 
 
 def _context(spark, sf):
-    """The parts of the snapshot that the text needs, as written tables."""
-    return {name: staged(part, f"context-{name}") for name, part in context.context_parts(_snapshot(spark, sf, True)).items()}
+    """The lines of the live view as a written table."""
+    return staged(context.context_rows(_snapshot(spark, sf, True)), "context")
 
 
 # ---- derived tables ----

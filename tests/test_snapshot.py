@@ -113,7 +113,7 @@ def test_snapshot_and_context(spark):
         "headway_forecast": spark.createDataFrame([forecast(55, 20)], FORECAST), "weather_events": sky, "passenger_surges": surges}
     snap = snapshot.snapshot(tables, NOW)
     assert tuple(snap["counts"].first()) == (1, 2, 3, 1, 1)
-    text = context.context_text(context.context_parts(snap)).first().text.split("\n")
+    text = context.context_text(context.context_rows(snap)).first().text.split("\n")
     assert text == [
         "LIVE FLEET: 1 subway trains, 2 buses, 3 active routes, 1 headway alerts. data_live=True",
         "SUBWAY LINES RUNNING: 1(1)", "BUS ROUTES RUNNING: M1(1), M2(1)", context.HEADINGS[4],
@@ -130,7 +130,7 @@ def test_empty_context_has_one_line(spark):
              "headway_forecast": spark.createDataFrame([], FORECAST),
              "weather_events": spark.createDataFrame([], "current struct<weather_code: int>, event_time timestamp_ntz"),
              "passenger_surges": spark.createDataFrame([], "station_id string, station_name string, line string, taps_per_minute int, crowd_level string, event_time long")}
-    lines = context.context_lines(context.context_parts(snapshot.snapshot(empty, at(90000)))).collect()
+    lines = context.context_lines(context.context_rows(snapshot.snapshot(empty, at(90000)))).collect()
     assert [r.line for r in lines] == ["LIVE FLEET: 0 subway trains, 0 buses, 0 active routes, 0 headway alerts. data_live=False"]
 
 
