@@ -13,34 +13,38 @@ texts that spell a special token are ordinary text; an empty table gives an empt
 from __future__ import annotations
 
 import base64
-import re
 import struct
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.llm.common import worker_held
+from fleetline.llm.common import BATCH_BYTES, worker_held
 from fleetline.session import new_run_dir
 
 CAPACITY, OPEN_SEQUENCES = 1024, 256
-#: Distinct text chunks whose ids a Python worker remembers.
-REMEMBERED_CHUNKS = 1 << 17
+#: Distinct text chunks whose ids a Python worker remembers, and the code points of the longest of them.
+REMEMBERED_CHUNKS, REMEMBERED_LENGTH = 1 << 17, 64
 #: Half-filled sequences that one task packs together at the end.
 BLOCKS_PER_TASK = 1 << 16
 
-# A space between two characters that are not white space: the tokenizer never joins across it, and the space
-# belongs to what follows. Elsewhere the text is left whole.
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = "".join(filter(str.isspace, map(chr, range(0x3001))))
+# Texts that are not cut at spaces: one stands before other white space or at the end. The tokenizer never joins across
+# a space that anything else follows, and that space belongs to what follows.
+_UNCUT = f" (?:[{_WHITE}]|\\z)"
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit bytes; ids of frequent chunks are remembered.
+    """Token ids of texts as little-endian 32-bit bytes; ids of chunks that occur again are remembered.
 
-    A text is cut at spaces between words, which changes no id. `ranks` is the same vocabulary in the form of the
-    faster library; without it the `tokenizers` file encodes the chunks that are not remembered.
+    A text is cut at spaces before words, which changes no id. Each different chunk of a batch is looked up once; those
+    not remembered are encoded by one call, and a token that begins with a space begins the next chunk. `ranks` is the
+    same vocabulary in the form of the faster library; without it the `tokenizers` file encodes them.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -51,38 +55,69 @@ class ChunkEncoder:
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.encode_chunk = tiktoken.Encoding(
-                "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+                "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_to_numpy
+            spaced = {i: token.startswith(b" ") for token, i in merges.items()}
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
-            self.encode_chunk = lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids
-        #: By chunk without the space before it.
-        self.known: dict[str, bytes] = {}
-
-    def _coded(self, chunk: str) -> bytes:
-        ids = self.encode_chunk(chunk)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _of(self, chunk: str) -> bytes:
-        coded = self.known.get(chunk)
-        if coded is None:
-            coded = self._coded(" " + chunk)
-            if len(self.known) < REMEMBERED_CHUNKS:
-                self.known[chunk] = coded
-        return coded
+            self.encode_chunk = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+            # Byte-level vocabularies write a space as this letter.
+            spaced = {i: token.startswith("\u0120") for token, i in tokenizer.get_vocab().items()}
+        #: Whether a token begins with a space, by id.
+        self.spaced = np.array([spaced.get(i, False) for i in range(max(spaced) + 1)])
+        #: Numbers of remembered chunks, by chunk without the space before it; chunk n has ids[bounds[n]:bounds[n + 1]].
+        self.known: dict[str, int] = {}
+        self.ids, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int32)
 
     def encode(self, text: str) -> bytes:
-        first, *chunks = text.split(" ")
-        found = list(map(self.known.get, chunks))
-        if None in found or not first or first[-1:].isspace():
-            if not first or first[-1].isspace() or any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
-                first, *chunks = _SAFE_SPACE.split(text)
-                if not chunks:
-                    return self._coded(first)
-            found = [self._of(c) for c in chunks]
-        return self._coded(first) + b"".join(found)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        uncut = pc.match_substring_regex(texts, _UNCUT)
+        cut_ids = iter(self._of_cut(texts.filter(pc.invert(uncut))))
+        return [self.encode_chunk(texts[i].as_py()).astype("<u4", copy=False).tobytes() if whole else next(cut_ids)
+                for i, whole in enumerate(uncut.to_pylist())]
+
+    def _of_cut(self, texts: pa.StringArray) -> list[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        chunks, at = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        later = np.ones(len(chunks), bool)
+        later[at[:-1]] = False
+        firsts = chunks.take(pa.array(at[:-1])).to_pylist()
+        coded = chunks.filter(pa.array(later)).dictionary_encode()
+        number = coded.indices.to_numpy()
+        source, begins, sizes = self._of_different(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), number)
+        ids, ends = _gathered(source, begins[number], sizes[number])
+        # A text's chunks but the first are the others of those before it.
+        bounds = np.concatenate([[0], ends])[at - np.arange(len(at))].tolist()
+        return [(self.encode_chunk(first).astype("<u4", copy=False).tobytes() if first else b"") + ids[i:j].tobytes()
+                for first, i, j in zip(firsts, bounds, bounds[1:])]
+
+    def _of_different(self, chunks: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each chunk where its own begin and how many there are; `number` has their occurrences."""
+        found = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int32, len(chunks))
+        new = np.flatnonzero(found < 0)
+        ids = self.encode_chunk(" ".join(["", *map(chunks.__getitem__, new.tolist())])).astype("<u4", copy=False)
+        starts = np.flatnonzero(self.spaced[ids]).astype(np.int32)
+        begins, sizes = self.bounds[found], np.diff(self.bounds, append=np.int32(0))[found]
+        begins[new], sizes[new] = starts + np.int32(len(self.ids)), np.diff(starts, append=np.int32(len(ids)))
+        source = np.concatenate([self.ids, ids])
+        again = [i for i in new[np.bincount(number, minlength=len(chunks))[new] > 1].tolist()
+                 if len(chunks[i]) <= REMEMBERED_LENGTH][:REMEMBERED_CHUNKS - len(self.known)]
+        if again:
+            kept, ends = _gathered(source, begins[again], sizes[again])
+            self.known.update(zip([chunks[i] for i in again], range(len(self.known), len(self.known) + len(again))))
+            self.bounds = np.concatenate([self.bounds, ends + np.int32(len(self.ids))])
+            self.ids = np.concatenate([self.ids, kept])
+        return source, begins, sizes
+
+
+def _gathered(source: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `source` one after another, and where each ends."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return source[np.repeat(begins - ends + sizes, sizes) + np.arange(sizes.sum(), dtype=np.int32)], ends
 
 
 def worker_encoder(path: str, ranks: str | None) -> ChunkEncoder:
@@ -161,6 +196,12 @@ def pack_documents(df: DataFrame, vocabulary: str, ranks: str | None = None, id_
     return final.unionByName(moved)
 
 
+def _stretches(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Rows of at most BATCH_BYTES of text beside their first."""
+    filled = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // BATCH_BYTES
+    return pairwise([0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)])
+
+
 def _pack_task(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None, end_id: int, capacity: int,
                most: int):
     encoder, bins = worker_encoder(vocabulary, ranks), OpenSequences(capacity, most)
@@ -170,9 +211,9 @@ def _pack_task(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str |
     for batch in batches:
         id_type, done = batch.schema.field(0).type, []
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 256):
-            for doc, text in zip(ids[at:at + 256], texts.slice(at, 256).to_pylist()):
-                data = encoder.encode(text) + end
+        for i, j in _stretches(texts):
+            for doc, data in zip(ids[i:j], encoder.encode_all(texts.slice(i, j - i))):
+                data += end
                 for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     sequence, offset, closed = bins.place(length)
                     waiting.setdefault(sequence, []).append(

@@ -1,10 +1,12 @@
 """Packed sequences against the tokenizer and against the rules of a packing."""
 
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,6 +57,49 @@ def test_chunks_give_the_same_ids_as_whole_texts(tokenizer, ranks):
             assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("ranks", [RANKS, None])
+def test_batches_of_random_texts_give_the_ids_of_whole_texts(tokenizer, ranks):
+    rng, white = random.Random(7), [c for c in map(chr, range(0x3001)) if c.isspace()]
+    spaced = [f"a {c}{d}b" for c in [*white, "\u180e", "\u200b", "\ufeff", ""] for d in ("", " ", "\n", c)]
+    parts = ["a", "the", "\u00e9t\u00e9", "'s", "12", "!?", "\u65e5", "x" * 70, "\U0001f600", "", "", "\n", "\t", " ", "\u00a0", "\x1c"]
+    words = [" ".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(600)]
+    glued = ["".join(rng.choice([*parts, " "]) for _ in range(12)) for _ in range(600)]
+    texts = spaced + words + glued + [" ".join(rng.choices(parts[:9], k=30)) for _ in range(200)]
+    encoder, rows = packing.ChunkEncoder(VOCABULARY, ranks), pa.array(texts)
+    got = [ids for at in range(0, len(texts), 97) for ids in encoder.encode_all(rows.slice(at, 97))]
+    assert len(got) == len(texts) and encoder.known
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.encode_all(rows.slice(3, 0)) == []
+
+
+def test_chunks_that_are_not_remembered_are_encoded_together():
+    encoder, calls = packing.ChunkEncoder(VOCABULARY, RANKS), []
+    encode = encoder.encode_chunk
+    encoder.encode_chunk = lambda chunk: calls.append(chunk) or encode(chunk)
+    encoder.encode(" ".join(f"word{i}," for i in range(1000)))
+    assert len(calls) <= 3
+
+
+def test_remembered_chunks_stay_few_and_short(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_CHUNKS", 5)
+    encoder = packing.ChunkEncoder(VOCABULARY, RANKS)
+    text = " ".join(["z" * 100] * 2 + [f"w{i % 40}" for i in range(200)])
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) == 5 and max(map(len, encoder.known)) < 10
+
+
+def test_stretches_hold_all_rows_and_little_text(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_BYTES", 100)
+    sizes = [0, 30, 30, 60, 500, 10, 0, 99, 100, 1]
+    found = list(packing._stretches(pa.array(["x" * n for n in sizes])))
+    assert [row for i, j in found for row in range(i, j)] == list(range(len(sizes)))
+    # Beside the first text of a stretch, which may be long.
+    assert all(sum(sizes[i + 1:j]) <= 100 for i, j in found)
+    assert [j - i for i, j in packing._stretches(pa.array([], pa.string()))] == [0]
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     bins = packing.OpenSequences(10, 2)
     assert bins.place(6) == (0, 0, [])
