@@ -44,7 +44,8 @@ class ChunkEncoder:
 
     A text is cut at spaces before words, which changes no id. Each different chunk of a batch is looked up once; those
     not remembered are encoded by one call, and a token that begins with a space begins the next chunk. `ranks` is the
-    same vocabulary in the form of the faster library; without it the `tokenizers` file encodes them.
+    same vocabulary in the form of the faster library; without it the `tokenizers` file encodes them,
+    and it encodes what that library cannot.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -54,15 +55,20 @@ class ChunkEncoder:
 
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.encode_chunk = tiktoken.Encoding(
+            fast = tiktoken.Encoding(
                 "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_to_numpy
+
+            def encode_chunk(chunk: str) -> np.ndarray:
+                try:
+                    return fast(chunk)
+                except ValueError:  # its pattern gives up on hundreds of thousands of white space characters in a row
+                    return _ids(_tokenizer(path), chunk)
+
+            self.encode_chunk = encode_chunk
             spaced = {i: token.startswith(b" ") for token, i in merges.items()}
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode_chunk = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+            tokenizer = _tokenizer(path)
+            self.encode_chunk = lambda chunk: _ids(tokenizer, chunk)
             # Byte-level vocabularies write a space as this letter.
             spaced = {i: token.startswith("\u0120") for token, i in tokenizer.get_vocab().items()}
         #: Whether a token begins with a space, by id.
@@ -114,6 +120,18 @@ class ChunkEncoder:
         return source, begins, sizes
 
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+def _ids(tokenizer, chunk: str) -> np.ndarray:
+    return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+
+
 def _gathered(source: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of `source` one after another, and where each ends."""
     ends = np.cumsum(sizes, dtype=np.int32)

@@ -81,6 +81,17 @@ def test_chunks_that_are_not_remembered_are_encoded_together():
     assert len(calls) <= 3
 
 
+def test_white_space_without_end(spark, tokenizer):
+    texts = ["one two two", "a" + " " * 1_000_000 + "b", "x y" + "\n" * 1_000_000 + "z", "last two"]
+    encoder = packing.ChunkEncoder(VOCABULARY, RANKS)
+    for text, ids in zip(texts, encoder.encode_all(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = packing.pack_documents(df, VOCABULARY, RANKS)
+    assert packed.agg({"length": "sum"}).first()[0] == sum(
+        len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+
+
 def test_remembered_chunks_stay_few_and_short(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED_CHUNKS", 5)
     encoder = packing.ChunkEncoder(VOCABULARY, RANKS)
